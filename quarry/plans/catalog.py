@@ -1,4 +1,6 @@
 """All registered queries outside the optional subpackage, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quarry.plans import search
+
+QUERIES: dict = {**search.QUERIES}
+ORACLE_SQL: dict = {**search.ORACLE_SQL}
