@@ -24,7 +24,8 @@ from pyspark.sql import Window as W
 
 from .common import fold, held_out, utf8
 
-PER_LANG, BITS, PENALTY, ORDERS, SEED, WORK_BYTES = 1500, 15, 12.0, (1, 2, 3, 4), 29, 6 << 20
+PER_LANG, BITS, PENALTY, ORDERS, SEED = 1500, 15, 12.0, (1, 2, 3, 4), 29
+WORK_BYTES, SCORE_BYTES, FEW = 8 << 20, 1 << 20, 4
 BUCKETS = 1 << BITS
 
 #: First code points of script ranges; each range reaches to the next one's start.
@@ -71,7 +72,7 @@ class Words:
                 at = np.flatnonzero(ok1)
             else:
                 # first or last byte may be a blank; all between are letters; at least one is a letter
-                run = np.cumsum(np.concatenate([[0], ~ok1]))
+                run = np.cumsum(np.concatenate([[False], ~ok1]), dtype=np.int32)
                 mid = run[n - 1 : len(b) - 0] - run[1 : len(b) - n + 2]
                 blanks = run[n:] - run[: len(b) - n + 1]
                 at = np.flatnonzero((mid[: len(blanks)] == 0) & (blanks < n) & (blanks <= (2 if n > 2 else 1)))
@@ -98,7 +99,7 @@ def word_scores(w: Words, table: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     if not len(w.start):
         return out
     # Each byte's word, for bytes from the blank before a word on.
-    owner = np.repeat(np.arange(len(w.end)), np.diff(np.concatenate([[0], w.end])))
+    owner = np.repeat(np.arange(len(w.end), dtype=np.int32), np.diff(np.concatenate([[0], w.end])))
     for at, bucket in w.grams():
         at_ok = at < len(owner)
         of = owner[at[at_ok]]
@@ -107,48 +108,77 @@ def word_scores(w: Words, table: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     return out + np.where(allowed[w.script], np.float32(0), np.float32(-1e4))
 
 
+def tail(v: list[float], scores: list[list[float]], penalty: float) -> tuple[list[int], int]:
+    """The rest of one text's path: the state of each of its words, and the state before them."""
+    past = []
+    for row in scores:
+        top = max(v)
+        jump = top - penalty
+        past.append((v.index(top), [x >= jump for x in v]))
+        v = [(x if x >= jump else jump) + y for x, y in zip(v, row, strict=True)]
+    state = v.index(max(v))
+    out = []
+    for best, stays in reversed(past):
+        out.append(state)
+        if not stays[state]:
+            state = best
+    return out[::-1], state
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The language of each word. first: where each text's words begin, and the end. Texts go side by side, longest first."""
+    """The language of each word. first: where each text's words begin, and the end.
+
+    Texts go side by side, longest first, a word of each at a time; the last few and longest are finished one by one.
+    """
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     start, size = first[:-1][order], size[order]
-    k = scores.shape[1]
-    best_of, stay = np.zeros(len(scores), np.int16), np.ones(scores.shape, bool)
     label = np.zeros(len(scores), np.int16)
     longest = int(size[0]) if len(size) else 0
+    if not longest:
+        return label
     active = np.searchsorted(-size, -np.arange(longest), side="left")  # texts with more than t words
-    v = scores[start[: active[0]]].copy() if longest else None
-    last = np.zeros(len(size), np.int16)
-    penalty = np.float32(penalty)
-    for t in range(1, longest):
+    few = int(max(1, np.searchsorted(-active, -FEW, side="left")))  # from this word on at most FEW texts are left
+    best_of, stay = np.zeros(len(scores), np.int8), np.ones(scores.shape, bool)
+    v, now = scores[start[: active[0]]].copy(), np.zeros(len(size), np.int64)
+    cost = np.float32(penalty)
+    for t in range(1, min(few, longest)):
         a = active[t]
         if a < len(v):
-            last[a : len(v)] = v[a:].argmax(1)
+            now[a : len(v)] = v[a:].argmax(1)
             v = v[:a]
         at = start[:a] + t
         arg = v.argmax(1)
-        jump = v[np.arange(a), arg][:, None] - penalty
+        jump = v[np.arange(a), arg][:, None] - cost
         stay[at] = v >= jump
         best_of[at] = arg
         v = np.maximum(v, jump) + scores[at]
-    if longest:
-        last[: len(v)] = v.argmax(1)
-    now = last
-    for t in range(longest - 1, -1, -1):
+    now[: len(v)] = v.argmax(1)
+    if few < longest:
+        for d in range(active[few]):
+            some = slice(start[d] + few, start[d] + size[d])
+            label[some], now[d] = tail(v[d].tolist(), scores[some].tolist(), float(penalty))
+    for t in range(min(few, longest) - 1, -1, -1):
         a = active[t]
         at = start[:a] + t
         label[at] = now[:a]
         if t:
             now[:a] = np.where(stay[at, now[:a]], now[:a], best_of[at])
-    return label if k else label
+    return label
 
 
 def label_texts(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
-    langs = model["langs"]
-    w = Words(texts)
-    label = viterbi(word_scores(w, model["table"], model["allowed"]), w.first)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    held = np.bincount(text_of * len(langs) + label, weights=w.length, minlength=len(texts) * len(langs)).reshape(len(texts), len(langs))
+    """Scores are made for a MB of text at a time, and the paths of all texts then side by side."""
+    langs, scores, lengths, sizes = model["langs"], [], [], []
+    for part in in_parts(texts, SCORE_BYTES):
+        w = Words(part)
+        scores.append(word_scores(w, model["table"], model["allowed"]))
+        lengths.append(w.length.astype(np.int32))
+        sizes.append(np.diff(w.first))
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+    label = viterbi(np.concatenate(scores), first)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(first))
+    held = np.bincount(text_of * len(langs) + label, weights=np.concatenate(lengths), minlength=len(texts) * len(langs)).reshape(len(texts), len(langs))
     total = held.sum(1)
     top = held.argmax(1)
     return [langs[top[i]] if total[i] else "und" for i in range(len(texts))], [float(held[i, top[i]] / total[i]) if total[i] else 0.0 for i in range(len(texts))]
@@ -196,7 +226,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, alpha: float = 0.5, least_s
         sums: dict = {}
         for batch in batches:
             for lang, group in batch.groupby("lang"):
-                for part in in_parts(list(group.text)):
+                for part in in_parts(list(group.text), SCORE_BYTES):
                     got = np.concatenate(count(part))
                     sums[lang] = sums[lang] + got if lang in sums else got
         for lang, got in sums.items():
