@@ -273,7 +273,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in a language that could be told: not `und`, and a language that holds at least half of the letters."""
+    """The documents in a language that could be told: not `und`, and one language holds at least a third of the letters."""
     model = learn(docs)
     out = with_language(docs, model, "__language")
-    return out.filter("__language.lang <> 'und' AND __language.score >= 0.5").drop("__language")
+    return out.filter("__language.lang <> 'und' AND __language.score * 3 >= 1").drop("__language")
