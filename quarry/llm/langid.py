@@ -103,6 +103,8 @@ def word_scores(w: Words, table: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     for at, bucket in w.grams():
         at_ok = at < len(owner)
         of = owner[at[at_ok]]
+        if not len(of):
+            continue
         cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         out[of[cut]] += np.add.reduceat(table[bucket[at_ok]], cut, axis=0)
     return out + np.where(allowed[w.script], np.float32(0), np.float32(-1e4))
