@@ -169,11 +169,13 @@ def scan(s: SparkSession, d: str) -> DataFrame:
     """One row for each document: paragraphs, chunks, mean chunk length, core sections that are missing, status."""
     p = with_paragraphs(s, d)
     c = chunking.chunks(p).groupBy("pmcid").agg(F.count("*").alias("chunk_count"), F.avg(F.length("text")).alias("mean"), F.sum(T.garbage(F.col("text")).cast("long")).alias("garbage_count"))
-    texts = F.filter("paragraphs", lambda x: F.length(T.collapse(x["text"])) >= 20)
+    # Each step is a column of its own and is used more than once, so that none is worked out again for each core section.
+    clean = p.withColumn("sections", F.transform(F.filter("paragraphs", lambda x: F.length(T.collapse(x["text"])) >= 20), lambda x: x["section"]))
+    clean = clean.withColumn("found", F.transform(F.array_distinct("sections"), lambda x: T.strip(F.lower(T.strip_numbering(x)))))
     core = ["discussion", "introduction", "methods", "results"]
-    found = F.array_distinct(F.transform(texts, lambda x: T.strip(F.lower(T.strip_numbering(x["section"])))))
-    missing = F.filter(F.array(*[F.lit(x) for x in core]), lambda x: ~F.exists(found, lambda y: F.contains(y, x)))
-    rows = p.select("pmcid", F.size(texts).alias("para_count"), F.array_join(missing, ",").alias("missing_core")).join(c, "pmcid", "left")
+    has = lambda name: F.exists("found", lambda y: F.contains(y, F.lit(name)))
+    missing = F.concat_ws(",", *[F.when(~has(x), F.lit(x)) for x in core])
+    rows = clean.select("pmcid", F.size("sections").alias("para_count"), missing.alias("missing_core")).join(c, "pmcid", "left")
     rows = rows.na.fill(0, ["chunk_count", "mean", "garbage_count"])
     return rows.select("pmcid", "para_count", "chunk_count", F.bround("mean").cast("long").alias("avg_chunk_len"), "missing_core", "garbage_count", M.paper_status(F.col("para_count"), F.col("garbage_count")).alias("status"))
 
