@@ -7,13 +7,14 @@ match, so exact search for the pieces finds every candidate window, and the rege
 verifies the edits and gives the span. Nothing caps the number of candidates.
 
 Defined cases: a null text is empty, and an empty text has no words, places or labels and scores 0; repeated rows are
-judged alike. Time is linear in the text plus the windows, which are merged where they overlap.
+judged alike. Time is linear in the text plus the candidates, each of which has a window of bounded length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,8 @@ FUZZY = [
     ("released into the public domain", "public-domain", 3),
     ("all rights reserved", "all-rights-reserved", 2),
 ]
+#: How many judged windows a scanner remembers.
+KNOWN = 50_000
 
 
 def pieces(phrase: str, k: int) -> list[tuple[int, bytes]]:
@@ -52,6 +55,17 @@ class Scanner:
         # Bytes are what is searched; notices are ASCII, so an edit is a byte of an ASCII word or of a longer character.
         self.fuzzy = [(p, label, k, pieces(p, k), regex.compile(b"(?b)(?:" + regex.escape(p.encode(), literal_spaces=True) + b"){e<=%d}" % k)) for p, label, k in fuzzy]
 
+        self.known: dict = {}
+
+    def best(self, pattern: regex.Pattern, window: bytes) -> tuple[int, int, int] | None:
+        """(edits, start, end) of a window's best match, if any. Texts repeat themselves, so windows already judged are remembered."""
+        if (pattern, window) not in self.known:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            m = pattern.search(window)
+            self.known[pattern, window] = m and (sum(m.fuzzy_counts), m.start(), m.end())
+        return self.known[pattern, window]
+
     @staticmethod
     def normal(text: str | None) -> tuple[bytes, int]:
         words = utf8(text).translate(WORD_BYTES).split()
@@ -61,36 +75,43 @@ class Scanner:
         """(first word, label) of every place of a base phrase in a normal text, overlapping ones too."""
         out = []
         for phrase, label in self.base:
-            at = text.find(phrase)
+            at, counted, word = text.find(phrase), 0, 0
             while at >= 0:
-                out.append((text.count(b" ", 0, at), label))
-                at = text.find(phrase, at + 1)
+                word += text.count(b" ", counted, at)
+                out.append((word, label))
+                counted, at = at, text.find(phrase, at + 1)
         return sorted(out)
 
     def matches(self, text: bytes) -> Iterator[tuple[str, str, int, int, int]]:
-        """(notice, label, edits, start byte, end byte) of every fuzzy match, best first within its window."""
+        """(notice, label, edits, start byte, end byte) of every fuzzy match, by notice and start; of overlapping ones the better."""
         for phrase, label, k, parts, pattern in self.fuzzy:
-            windows: list[list[int]] = []
+            # Each candidate has a window of its own: a best match over merged windows takes the square of their length.
+            windows = set()
             for start, piece in parts:
                 at = text.find(piece)
                 while at >= 0:
-                    windows.append([max(0, at - start - k), min(len(text), at - start + len(phrase) + k)])
+                    windows.add(at - start - k)
                     at = text.find(piece, at + 1)
-            windows.sort()
-            merged: list[list[int]] = []
-            for a, b in windows:
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                for m in pattern.finditer(text, a, b):
-                    yield phrase, label, sum(m.fuzzy_counts), m.start(), m.end()
+            kept: list[tuple[int, int, int]] = []
+            for at in sorted(windows):
+                first = max(0, at)
+                best = self.best(pattern, text[first : max(0, at + len(phrase) + 2 * k)])
+                if best is None:
+                    continue
+                now = (best[0], first + best[1], first + best[2])
+                if not kept or now[1] >= kept[-1][2]:
+                    kept.append(now)
+                elif now[0] < kept[-1][0]:
+                    kept[-1] = now
+            for edits, start, end in kept:
+                yield phrase, label, edits, start, end
 
     def spans(self, text: str | None) -> list[dict]:
         """Every fuzzy match of a text: notice, label, edits, first and last word, the matched words."""
         normal, _ = self.normal(text)
-        return [{"notice": p, "label": label, "edits": e, "first_word": normal.count(b" ", 0, max(a, 1)) - 1 + (normal[a : a + 1] == b" "), "last_word": normal.count(b" ", 0, b - (normal[b - 1 : b] == b" ")) - 1, "matched": normal[a:b].decode("utf-8", "replace").strip()} for p, label, e, a, b in self.matches(normal)]
+        blanks = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
+        before = lambda x: int(np.searchsorted(blanks, x))
+        return [{"notice": p, "label": label, "edits": e, "first_word": before(max(a, 1)) - 1 + (normal[a : a + 1] == b" "), "last_word": before(b - (normal[b - 1 : b] == b" ")) - 1, "matched": normal[a:b].decode("utf-8", "replace").strip()} for p, label, e, a, b in self.matches(normal)]
 
     def judge(self, text: str | None) -> tuple:
         normal, n = self.normal(text)

@@ -139,6 +139,16 @@ def test_notices_spans():
     assert places == [(0, "cc-by-nc"), (3, "cc-by-nc")]
 
 
+def test_notices_that_repeat():
+    """Each of many near notices is found, beside exact ones and beyond them, in time that grows with the text."""
+    near, scanner = "permission is hereby grante free of charge", notices.Scanner()
+    many = scanner.spans(f"{near} " * 3000)
+    assert len(many) == 3000 and {s["edits"] for s in many} == {1} and [s["first_word"] for s in many] == list(range(0, 21000, 7))
+    both = [(s["edits"], s["first_word"]) for s in scanner.spans(f"{near} permission is hereby granted free of charge {near}") if s["label"] == "mit"]
+    assert both == [(1, 0), (0, 7), (1, 14)]
+    assert scanner.judge("under the mit license " * 2000)[:4] == (8000, 2000, 0, 7996)
+
+
 def test_every_pair_within_two_bits_meets_at_an_anchor():
     rng, anchors = np.random.default_rng(5), simhash.Anchors()
     for _ in range(300):
