@@ -215,7 +215,7 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, most_at_home: int = MOS
         rest: list[pd.DataFrame] = []
 
         def edges(whole: pd.DataFrame) -> pd.DataFrame:
-            key = whole.anchor.to_numpy() * 4096 + whole.task.to_numpy()
+            key = whole.anchor.to_numpy() << 32 | whole.task.to_numpy()
             fp, home = whole.fp.to_numpy(np.int64).view(np.uint64), whole.home.to_numpy(bool)
             cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             size, at_home = np.diff(cut), np.add.reduceat(home.astype(np.int64), cut[:-1])
@@ -229,7 +229,7 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, most_at_home: int = MOS
         for batch in batches:
             if not len(batch):
                 continue
-            key = batch.anchor.to_numpy() * 4096 + batch.task.to_numpy()
+            key = batch.anchor.to_numpy() << 32 | batch.task.to_numpy()
             cut = int(np.searchsorted(key, key[-1], side="left"))
             if cut:
                 yield edges(pd.concat([*rest, batch[:cut]], ignore_index=True))
@@ -304,8 +304,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("token"))).alias("first")
     by_print = prints.groupBy("fp").agg(first)
     rooted = by_print.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    keep = rooted.select(F.col("first.doc_id").alias("__id"), F.col("first.token").alias("__token"), F.lit(1).alias("__keep"))
-    # A small row number for each (id, text) kept lets one of several equal rows stay, without a second shuffle of texts.
-    marked = docs.withColumn("__token2", token)
-    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (marked["__token2"] == keep["__token"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__token2"]).drop("__token2")
+    # Plain equality on two columns without nulls: the join and the removal of repeated rows then share one shuffle of the texts.
+    keys = lambda doc_id, token: {"__id": F.coalesce(doc_id, F.lit(0).cast("long")), "__token": F.xxhash64(token, doc_id.isNull())}
+    keep = rooted.withColumns(keys(F.col("first.doc_id"), F.col("first.token"))).select("__id", "__token")
+    marked = docs.withColumns(keys(F.col("doc_id"), token))
+    return marked.join(keep, ["__id", "__token"], "left_semi").dropDuplicates(["__id", "__token"]).drop("__id", "__token")
