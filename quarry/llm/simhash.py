@@ -294,18 +294,3 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     prints = written(docs.select("doc_id", fingerprinter()(F.col("text")).alias("fp")), "prints")
     return with_components(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: that with the smallest (doc_id, hash of the text), and one of rows equal in both."""
-    token = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    prints = written(docs.select("doc_id", token.alias("token"), fingerprinter()(F.col("text")).alias("fp")), "prints")
-    linked, _ = classes(prints)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("token"))).alias("first")
-    by_print = prints.groupBy("fp").agg(first)
-    rooted = by_print.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    # Plain equality on two columns without nulls: the join and the removal of repeated rows then share one shuffle of the texts.
-    keys = lambda doc_id, token: {"__id": F.coalesce(doc_id, F.lit(0).cast("long")), "__token": F.xxhash64(token, doc_id.isNull())}
-    keep = rooted.withColumns(keys(F.col("first.doc_id"), F.col("first.token"))).select("__id", "__token")
-    marked = docs.withColumns(keys(F.col("doc_id"), token))
-    return marked.join(keep, ["__id", "__token"], "left_semi").dropDuplicates(["__id", "__token"]).drop("__id", "__token")
