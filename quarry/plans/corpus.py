@@ -66,8 +66,7 @@ def pub_dates(s: SparkSession, d: str) -> DataFrame:
 
 
 def garbage_flags(s: SparkSession, d: str) -> DataFrame:
-    c = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(F.substring("text", 1, 300), " ", ";")).when(F.col("doc_id") % 3 == 1, F.regexp_replace(F.substring("text", 1, 40), " ", "")).otherwise(F.col("text"))
-    return docs(s, d).select("doc_id", T.garbage(c).alias("garbage"))
+    return docs(s, d).select("doc_id", T.garbage(F.col("text")).alias("garbage"))
 
 
 def papers_table(s: SparkSession, d: str) -> DataFrame:
