@@ -16,3 +16,12 @@ def test_garbage_flags_judge_whole_texts(spark, tmp_path):
     same(got, sql, str(tmp_path))
     assert {r.doc_id for r in got.filter("garbage").collect()} == {0, 1, 2, 3, 4, 5}
     same(catalog.QUERIES["garbage_flags"](spark, DATA), sql, DATA)
+
+
+def test_meta_lookup_join_reads_all_orders(spark, tmp_path):
+    sql = "SELECT coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(strftime(o_orderdate, '%Y'), '') AS o_year, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"
+    same(catalog.QUERIES["meta_lookup_join"](spark, DATA), sql, DATA)
+    spark.sql("SELECT 3L AS o_orderkey, '1-URGENT' AS o_orderpriority, DATE '1995-02-03' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT explode(array(3L, 3L, 4L)) AS l_orderkey, 1 AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["meta_lookup_join"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [("", "", 1), ("1-URGENT", "1995", 2)]
