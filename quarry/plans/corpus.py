@@ -26,8 +26,8 @@ def raw_records(s: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("PMC"), i.cast("string")).alias("pmcid"),
         F.when(i % 11 != 0, i.cast("string")).alias("pmid"),
         (i % 23 == 0).alias("no_pubmed_record"),
-        F.when(i % 19 == 0, "  ").otherwise(F.substring("text", 1, 60)).alias("title"),
-        F.when(i % 7 == 0, " ").otherwise(F.col("text")).alias("abstract"),
+        F.when(i % 19 == 0, "  ").otherwise(F.col("text")).alias("title"),
+        F.col("text").alias("abstract"),
         F.lit("").alias("doi"),
         F.col("source").alias("journal"),
         F.when(i % 29 == 0, "").otherwise((2015 + i % 12).cast("string")).alias("pub_year"),
@@ -131,10 +131,10 @@ def vector_completeness(s: SparkSession, d: str) -> DataFrame:
 
 
 def vector_upsert(s: SparkSession, d: str) -> DataFrame:
-    """Chunk rows with vectors; sections that share their first 30 slug characters collide, and the later row stays."""
+    """Chunk rows with vectors, of every document that has one; of rows with equal ids the later stays."""
     rows = docs(s, d).join(table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label"), "doc_id", "left")
     section = F.concat(F.lit("A section title of thirty chars: "), F.col("source"))
-    rows = rows.select((F.col("doc_id") % 100).alias("pmcid"), F.lit("fulltext").alias("source_type"), section.alias("section"), F.lit(0).alias("chunk_index"), F.col("embedding").alias("dense"), F.col("label").alias("sparse"), F.col("doc_id").alias("seq"))
+    rows = rows.select(F.col("doc_id").alias("pmcid"), F.lit("fulltext").alias("source_type"), section.alias("section"), F.lit(0).alias("chunk_index"), F.col("embedding").alias("dense"), F.col("label").alias("sparse"), F.col("doc_id").alias("seq"))
     return records.points(rows).select("id", "pmcid", "seq", "sparse")
 
 

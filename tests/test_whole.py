@@ -1,5 +1,6 @@
 """Queries over whole tables and values, held against SQL of their own: no prefix, no modulo rule, no single query."""
 
+from quarry.operators import chunking, records
 from quarry.plans import catalog, corpus
 from tests.compare import same
 
@@ -25,3 +26,25 @@ def test_meta_lookup_join_reads_all_orders(spark, tmp_path):
     spark.sql("SELECT explode(array(3L, 3L, 4L)) AS l_orderkey, 1 AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = catalog.QUERIES["meta_lookup_join"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == [("", "", 1), ("1-URGENT", "1995", 2)]
+
+
+def test_records_hold_whole_texts_of_all_rows(spark):
+    text = corpus.STRIP("text")
+    same(catalog.QUERIES["abstract_chunks"](spark, DATA), f"SELECT 'PMC' || doc_id AS pmcid, 'abstract' AS source_type, 'abstract' AS section, CAST(0 AS INTEGER) AS chunk_index, {text} AS text FROM documents WHERE {text} <> ''", DATA)
+    sql = f"SELECT 'PMC' || doc_id AS pmcid, nullif({text}, '') AS title, nullif({text}, '') AS abstract FROM documents WHERE {text} <> '' AND doc_id % 11 <> 0 AND doc_id % 23 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0"
+    same(catalog.QUERIES["papers_table"](spark, DATA).select("pmcid", "title", "abstract"), sql, DATA)
+
+
+def test_vector_upsert_keeps_every_document_with_a_vector(spark):
+    got = catalog.QUERIES["vector_upsert"](spark, DATA)
+    same(got.select("pmcid", "seq", "sparse"), "SELECT doc_id AS pmcid, doc_id AS seq, label AS sparse FROM documents JOIN embeddings ON vec_id = doc_id", DATA)
+    assert got.select("id").distinct().count() == got.count() > 100
+
+
+def test_blank_abstracts_and_colliding_ids(spark):
+    raw = spark.createDataFrame([("PMC1", " "), ("PMC2", None), ("PMC3", " a b ")], "pmcid string, abstract string")
+    assert [(r.pmcid, r.text) for r in chunking.abstract_chunks(raw).collect()] == [("PMC3", "a b")]
+    name = "A section title of thirty chars: "
+    rows = [(1, "fulltext", name + "x", 0, [1.0], 1, 10), (1, "fulltext", name + "y", 0, [2.0], 2, 11), (2, "fulltext", name + "x", 0, [3.0], 3, 12), (3, "fulltext", name, 0, None, 4, 13)]
+    chunks = spark.createDataFrame(rows, "pmcid long, source_type string, section string, chunk_index int, dense array<double>, sparse int, seq long")
+    assert sorted((r.pmcid, r.seq) for r in records.points(chunks).collect()) == [(1, 11), (2, 12)]
