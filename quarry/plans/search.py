@@ -23,10 +23,6 @@ def query_set(spark: SparkSession, d: str) -> DataFrame:
     return q.join(vectors(spark, d).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel")), "qid")
 
 
-def first_query(spark: SparkSession, d: str) -> DataFrame:
-    return query_set(spark, d).filter("qid = 0")
-
-
 def flat(hits: DataFrame) -> DataFrame:
     return hits.select("qid", "id", "score", "rank")
 
@@ -106,15 +102,15 @@ def health(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "dense_topk": lambda s, d: flat(R.dense_topk(first_query(s, d), vectors(s, d), 20)),
-    "dense_topk_filtered": lambda s, d: flat(R.dense_topk(first_query(s, d), vectors(s, d), 20, {"label": 3})),
+    "dense_topk": lambda s, d: flat(R.dense_topk(query_set(s, d), vectors(s, d), 20)),
+    "dense_topk_filtered": lambda s, d: flat(R.dense_topk(query_set(s, d), vectors(s, d), 20, {"label": 3})),
     "dense_topk_batch": lambda s, d: flat(R.dense_topk(query_set(s, d), vectors(s, d), 5)),
-    "sparse_topk": lambda s, d: flat(R.sparse_topk(first_query(s, d), corpus(s, d), 20)),
-    "sparse_topk_filtered": lambda s, d: flat(R.sparse_topk(first_query(s, d), corpus(s, d), 20, {"lang": "en", "journal": "src1"})),
+    "sparse_topk": lambda s, d: flat(R.sparse_topk(query_set(s, d), corpus(s, d), 20)),
+    "sparse_topk_filtered": lambda s, d: flat(R.sparse_topk(query_set(s, d), corpus(s, d), 20, {"lang": "en", "journal": "src1"})),
     "sparse_topk_batch": lambda s, d: flat(R.sparse_topk(query_set(s, d), corpus(s, d), 5)),
     "hybrid_rrf": lambda s, d: R.hybrid(query_set(s, d), corpus(s, d), vectors(s, d), 20).select("qid", "id", F.round("rrf_score", 9).alias("rrf_score"), "rank"),
     "hybrid_rerank": lambda s, d: R.search(query_set(s, d), corpus(s, d), vectors(s, d), 20, 5).select("qid", "id", "rerank_score", "rank"),
-    "search_preview": lambda s, d: R.preview(R.search(first_query(s, d), corpus(s, d), vectors(s, d), 20, 10), corpus(s, d)),
+    "search_preview": lambda s, d: R.preview(R.search(query_set(s, d), corpus(s, d), vectors(s, d), 20, 10), corpus(s, d)),
     "ablation_jaccard": ablation_jaccard,
     "rerank_churn": rerank_churn,
     "pooled_hits": pooled_hits,

@@ -1,7 +1,7 @@
 """Queries over whole tables and values, held against SQL of their own: no prefix, no modulo rule, no single query."""
 
 from quarry.operators import chunking, records
-from quarry.plans import catalog, corpus
+from quarry.plans import catalog, corpus, search
 from tests.compare import same
 
 DATA = "/root/testdata/sf0.001"
@@ -48,3 +48,20 @@ def test_blank_abstracts_and_colliding_ids(spark):
     rows = [(1, "fulltext", name + "x", 0, [1.0], 1, 10), (1, "fulltext", name + "y", 0, [2.0], 2, 11), (2, "fulltext", name + "x", 0, [3.0], 3, 12), (3, "fulltext", name, 0, None, 4, 13)]
     chunks = spark.createDataFrame(rows, "pmcid long, source_type string, section string, chunk_index int, dense array<double>, sparse int, seq long")
     assert sorted((r.pmcid, r.seq) for r in records.points(chunks).collect()) == [(1, 11), (2, 12)]
+
+
+def test_searches_run_for_the_whole_query_set(spark):
+    take = search.LIMITED
+    filtered = "(SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM {}) WHERE rank < 20"
+    preview = "SELECT qid, id, CAST(rank AS INTEGER) AS rank, coalesce(source, '') AS journal, coalesce(lang, '') AS lang, round(rerank_score, 3) AS score, substr(coalesce(text, ''), 1, 150) AS text FROM reranked LEFT JOIN documents ON doc_id = id WHERE rank < 10"
+    whole = {
+        "dense_topk": search.end(search.WITH) + take + "dense WHERE rank < 20",
+        "dense_topk_filtered": search.end(search.WITH) + take + filtered.format("dot WHERE label = 3"),
+        "sparse_topk": search.end(search.WITH) + take + "sparse WHERE rank < 20",
+        "sparse_topk_filtered": search.end(search.WITH) + take + filtered.format("terms WHERE lang = 'en' AND journal = 'src1'"),
+        "search_preview": search.end(search.HYBRID + search.RERANK) + preview,
+    }
+    for name, sql in whole.items():
+        got = catalog.QUERIES[name](spark, DATA)
+        same(got, sql, DATA)
+        assert got.select("qid").distinct().count() > 1, name
