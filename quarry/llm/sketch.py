@@ -17,13 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, shuffle_partitions, utf8, written
 
-WORDS, SCALE = 5, 8
+WORDS, SCALE = 5, 2
 #: Odd multipliers: of byte positions (with its inverse modulo 2 ** 64) and of word positions.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -128,25 +127,20 @@ def whole_id(x):
 
 
 def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over one range of sorted rows: the finished rows; then the first row and the last, whose next row is in another range."""
+    """Over sorted rows of one or more ranges: the finished rows, all but the last of each range."""
     own, held, rows = Powers(), None, []
-    part = TaskContext.get().partitionId()
-    names = [*(x.split()[0] for x in OUT.split(", ")), "part", "edge", "text"]
+    names = [x.split()[0] for x in OUT.split(", ")]
     for batch in batches:
-        for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
+        for part, doc_id, text in zip(batch.part, batch.doc_id, batch.text, strict=True):
             now = (whole_id(doc_id), text if isinstance(text, str) else "")
             mine = sketch(now[1], own)
-            if held is None:
-                rows.append((now[0], None, None, None, None, None, None, part, "first", now[1]))
-            else:
-                rows.append((*result(*held[0], now[1], own, held[1], mine), part, None, None))
-            held = now, mine
+            if held is not None and held[2] == part:
+                rows.append(result(*held[0], now[1], own, held[1], mine))
+            held = now, mine, part
             if len(rows) >= 2000:
                 yield pd.DataFrame(rows, columns=names, dtype=object)
                 rows = []
-    if held is not None:
-        rows.append((held[0][0], None, None, None, None, None, None, part, "last", held[0][1]))
-        yield pd.DataFrame(rows, columns=names, dtype=object)
+    yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def at_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,25 +153,40 @@ def at_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")], dtype=object)
 
 
+def numbered(key: Column, bounds: list[int], low: int = 0) -> Column:
+    """A key's range, the number of bounds up to it: a binary search as an expression."""
+    if not bounds:
+        return F.lit(low)
+    m = len(bounds) // 2
+    return F.when(key < F.lit(bounds[m]), numbered(key, bounds[:m], low)).otherwise(numbered(key, bounds[m + 1 :], low + m + 1))
+
+
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """docs (doc_id, text): each row's sketches and likenesses (OUT), its edited text made with the next row.
 
     One shuffle by ranges of ids; within a range rows follow each other as a stream. Only the ranges' first and last
-    texts (two for each partition) cross ranges. The finished rows are written to the shared folder meanwhile, so that
-    ranges, which a recomputation could cut otherwise, are fixed.
+    texts (two for each partition) cross ranges. The ranges' bounds are worked out first, from ids alone, so that a
+    recomputation cuts them alike; bounds and ranges' least and greatest ids are all that goes to the driver.
     """
     spark = docs.sparkSession
     n = partitions or shuffle_partitions(spark)
-    ranged = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = written(ranged.mapInPandas(in_order, f"{OUT}, part int, edge string, text string"), "sketch")
-    # Numbers of partitions that hold rows: as many integers as partitions at most.
-    parts = sorted(r.part for r in rows.filter("edge = 'first'").select("part").collect())
-    done = rows.filter("edge IS NULL").drop("part", "edge", "text")
-    if not parts:
+    least = F.lit(-(1 << 63)).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", least))
+    bounds = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
+    rows = rows.withColumn("part", numbered(F.col("key"), sorted(set(bounds))))
+    ends = sorted((r.part, r.low, r.high) for r in rows.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect())
+    ranged = rows.select("part", "doc_id", "text").repartitionByRange(n, "part").sortWithinPartitions("part", "doc_id", "text")
+    done = ranged.mapInPandas(in_order, OUT)
+    if not ends:
         return done
+    parts = [p for p, _, _ in ends]
+    ids = spark.createDataFrame([(k,) for k in sorted({k for _, *two in ends for k in two})], "key long")
+    row = F.struct("doc_id", "text")
+    # Written, as few as ranges: so that no row of a range is read for both its head and its tail again.
+    edges = written(rows.join(F.broadcast(ids), "key", "left_semi").groupBy("part").agg(F.min(row).alias("head"), F.max(row).alias("tail")), "edges")
     follows = spark.createDataFrame(list(zip(parts, [*parts[1:], parts[0]], strict=True)), "part int, next_part int")
-    heads = rows.filter("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("after"))
-    tails = rows.filter("edge = 'last'").select("doc_id", "text", "part").join(follows, "part").join(heads, "next_part")
+    heads = edges.select(F.col("part").alias("next_part"), F.col("head.text").alias("after"))
+    tails = edges.select("part", "tail.*").join(follows, "part").join(heads, "next_part")
     return done.unionByName(tails.select("doc_id", "text", "after").mapInPandas(at_edges, OUT))
 
 
