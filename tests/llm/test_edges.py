@@ -61,7 +61,7 @@ def test_pipeline_on_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op5_mixing", "op9_urlfilter"])
+@pytest.mark.parametrize("name", ["op1_warc", "op5_mixing", "op6_chat", "op9_urlfilter"])
 def test_against_sql(spark, edges, name):
     same(queries.QUERIES[name](spark, edges), queries.ORACLE_SQL[name], edges.removeprefix("file://"))
 
