@@ -4,16 +4,17 @@ Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share a
 source's size and the excess is shared again by weight (the fixed point is least(cap, level * weight), where the level is
 the largest over the sources in order of cap / weight of what is left over the weights that are left).
 
-Blocks: a source gives whole passes over itself, as many as fit, and for the rest blocks of equal size: `block` words, but at
-most a thousandth of the mean source. Blocks are allocated to sources by highest quotients words / (2 n + 1), then each
+Blocks: a source gives whole passes over itself, as many as come nearest its target, and blocks of equal size are added to
+these or, where they are too many, left out of the last: `block` words, but at most a thousandth of the mean source. So no
+cell is asked for more than about half of its words, and its last, short block costs nothing. Blocks are allocated to sources by highest quotients words / (2 n + 1), then each
 source's to its shards likewise, which gives integer quotas. Where seats are many the first of them are given at once:
 rounding words / d for a divisor d that is surely too large gives each no more than it must get, and only the last few per
 row are ranked by quotient.
 
 Selection: a cell (source, shard) is its documents in a seeded order as one line of words, cut into blocks. The blocks are put
 in the order of a seeded hash and taken until the cell's quota of words is full: the line's short last block, if it is among
-them, is made up from the start of the next block in that order. So a source gives its blocks' words exactly, less only where
-a cell has fewer words than its quota. A block is hundreds of words on end: most documents come whole or not at all.
+them, is made up from the start of the next block in that order. So a source gives its blocks' words exactly, but for a
+cell with fewer words than its quota. A block is hundreds of words on end: most documents come whole or not at all.
 
 Scale: the text is read once, and (doc, source, size, hash) is written to the shared folder; sources, cells and their plan are
 written too, each worked out once. A source has shards by its own size, about `CELL` blocks of words each (more where the
@@ -96,9 +97,9 @@ weighed AS (SELECT k, s, CASE (row_number() OVER (ORDER BY CASE WHEN k = 'n' THE
 levels AS (SELECT *, (t - (sum({cap} * s) OVER (ORDER BY s * 1.0e0 / w, k ROWS UNBOUNDED PRECEDING) - {cap} * s)) * 1.0e0
     / (sum(w) OVER () - (sum(w) OVER (ORDER BY s * 1.0e0 / w, k ROWS UNBOUNDED PRECEDING) - w)) AS level FROM weighed),
 aims AS (SELECT *, least({cap} * 1.0e0 * s, w * max(level) OVER ()) AS target FROM levels),
-passes AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE CAST(floor(target / s) AS BIGINT) END AS p FROM aims),
-rests AS (SELECT *, target - p * s AS v FROM passes),{seated}
-SELECT r.k, s, target, p, block, coalesce(q, 0) AS q, CAST(greatest(1, ceil(s / greatest({CELL}.0e0 * block, t / 1.0e6))) AS BIGINT) AS shards FROM rests r LEFT JOIN quota ON r.k = quota.k"""
+passes AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE CAST(floor(target / s + 0.5e0) AS BIGINT) END AS p FROM aims),
+rests AS (SELECT *, abs(target - p * s) AS v, CASE WHEN target < p * s THEN -1 ELSE 1 END AS sign FROM passes),{seated}
+SELECT r.k, s, target, p, sign, block, coalesce(q, 0) AS q, CAST(greatest(1, ceil(s / greatest({CELL}.0e0 * block, t / 1.0e6))) AS BIGINT) AS shards FROM rests r LEFT JOIN quota ON r.k = quota.k"""
 
 
 def cells_sql(d: Dialect) -> str:
@@ -110,7 +111,7 @@ def block_hash(d: Dialect, seed: int) -> str:
 
 
 def plan_sql(d: Dialect, seed: int) -> str:
-    """Of each cell: the hash of the last block that is taken whole, that of the next one, and how many of its words are taken."""
+    """Of each cell: the hash of the last block that counts whole, that of the next one, and how many of its words count."""
     seated = seats(d, "quota2", "voted", ["k", "shard"], "c", "seats", "PARTITION BY k")
     return f"""
 WITH voted AS (SELECT c.k, shard, c, t.q AS seats FROM cells c JOIN targets t ON c.k = t.k),{seated},
@@ -123,22 +124,24 @@ FROM ordered GROUP BY k, shard"""
 
 
 def lines_sql(d: Dialect, seed: int, carry: str = "") -> str:
-    """Every document's place in its cell's line, from word a up to word b, and its overlaps with the blocks that are taken."""
-    taken = f"least(b, j * block + CASE WHEN {block_hash(d, seed)} <= whole THEN block WHEN {block_hash(d, seed)} = part THEN more ELSE 0 END)"
-    overlap = f"greatest(0, {taken} - greatest(a, j * block))"
-    items = d.each(f"a {d.div} block", f"(b - 1) {d.div} block", overlap)
+    """Every document's place in its cell's line, from word a up to word b, and its overlaps with the blocks that are added or left out."""
+    until = f"(j * block + CASE WHEN {block_hash(d, seed)} <= whole THEN block WHEN {block_hash(d, seed)} = part THEN more ELSE 0 END)"
+    first, last, none = f"a {d.div} block", f"(b - 1) {d.div} block", "size = 0 OR whole IS NULL"
+    items = d.each(first, last, f"greatest(0, least(b, {until}) - greatest(a, j * block))")
+    runs = ""
+    if carry:
+        added = f"struct(greatest(a, j * block) - a AS first, least(b, {until}) - a AS stop)"
+        left = f"struct(greatest(a, {until}) - a AS first, least(b, (j + 1) * block) - a AS stop)"
+        runs = d.each(first, last, f"CASE WHEN sign > 0 THEN {added} ELSE {left} END")
+        runs = f", CASE WHEN {none} OR sign > 0 THEN p ELSE p - 1 END AS passes, CASE WHEN {none} THEN array() ELSE filter({runs}, x -> x.first < x.stop) END AS spans"
     return f"""
-WITH placed AS (SELECT z.*, s, target, p, block, h % shards AS shard FROM sizes z JOIN targets t ON z.k = t.k),
+WITH placed AS (SELECT z.*, s, target, p, sign, block, h % shards AS shard FROM sizes z JOIN targets t ON z.k = t.k),
 ends AS (SELECT *, CAST(sum(size) OVER (PARTITION BY k, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b FROM placed),
 spans AS (SELECT e.*, b - size AS a, whole, part, more FROM ends e LEFT JOIN plan n ON e.k = n.k AND e.shard = n.shard)
-SELECT {carry or "doc_id"}, CAST(size AS BIGINT) AS size, s AS source_size, target, CAST(p * size + CASE WHEN size = 0 OR whole IS NULL THEN 0 ELSE {d.total(items)} END AS BIGINT) AS taken{"" if not carry else SPANS.format(items=d.each(f"a {d.div} block", f"(b - 1) {d.div} block", f"struct(greatest(a, j * block) - a AS first, {taken} - a AS stop)"))}
+SELECT {carry or "doc_id"}, CAST(size AS BIGINT) AS size, s AS source_size, target, CAST(p * size + CASE WHEN {none} THEN 0 ELSE sign * {d.total(items)} END AS BIGINT) AS taken{runs}
 FROM spans"""
 
 
-#: Whole passes, and the words of the last pass as runs from `first` up to before `stop`.
-SPANS = ", p AS passes, CASE WHEN size = 0 OR whole IS NULL THEN array() ELSE filter({items}, x -> x.first < x.stop) END AS spans"
-
-
 def sizes(docs: DataFrame, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
     """docs as (doc_id, k, size, h): the source as a key, the number of words, a seeded hash of id and text."""
     name = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.coalesce("text", F.lit("")))
