@@ -7,7 +7,7 @@ the largest over the sources in order of cap / weight of what is left over the w
 Blocks: a source gives whole passes over itself, as many as come nearest its target, and blocks of equal size are added to
 these or, where they are too many, left out of the last: `block` words, but at most a thousandth of the mean source. So no
 cell is asked for more than about half of its words, and its last, short block costs nothing. Blocks are allocated to sources by highest quotients words / (2 n + 1), then each
-source's to its shards likewise, which gives integer quotas. Where seats are many the first of them are given at once:
+source's to bands of its shards and each band's to its shards likewise, which gives integer quotas. Where seats are many the first of them are given at once:
 rounding words / d for a divisor d that is surely too large gives each no more than it must get, and only the last few per
 row are ranked by quotient.
 
@@ -20,7 +20,7 @@ Scale: the text is read once, and (doc, source, size, hash) is written to the sh
 written too, each worked out once. A source has shards by its own size, about `CELL` blocks of words each (more where the
 whole would have over a million), so a hot source is dealt over as many tasks as its words ask for. What a cell sends to its
 documents is three numbers; a document works out the hashes of the blocks that it lies in itself. Only rows of sources (one
-for each) meet in one task, and rows of a source's cells.
+for each) meet in one task, and of a source's cells as many as the root of their number.
 
 Defined cases: null text is size 0; a source of size 0 has target 0; an empty table gives an empty result; rows with equal
 ids are rows of their own, and lie in cells of their own if their texts differ; ties of quotients go by code point of the
@@ -112,9 +112,12 @@ def block_hash(d: Dialect, seed: int) -> str:
 
 def plan_sql(d: Dialect, seed: int) -> str:
     """Of each cell: the hash of the last block that counts whole, that of the next one, and how many of its words count."""
-    seated = seats(d, "quota2", "voted", ["k", "shard"], "c", "seats", "PARTITION BY k")
+    banded = seats(d, "quota1", "bands", ["k", "band"], "c", "seats", "PARTITION BY k")
+    seated = seats(d, "quota2", "voted", ["k", "band", "shard"], "c", "seats", "PARTITION BY k, band")
     return f"""
-WITH voted AS (SELECT c.k, shard, c, t.q AS seats FROM cells c JOIN targets t ON c.k = t.k),{seated},
+WITH own AS (SELECT c.k, shard, c, t.q, shard % CAST(ceil(sqrt(shards)) AS BIGINT) AS band FROM cells c JOIN targets t ON c.k = t.k),
+bands AS (SELECT k, band, CAST(sum(c) AS BIGINT) AS c, max(q) AS seats FROM own GROUP BY k, band),{banded},
+voted AS (SELECT o.k, o.band, shard, c, g.q AS seats FROM own o JOIN quota1 g ON o.k = g.k AND o.band = g.band),{seated},
 filled AS (SELECT c.k, c.shard, c.c, t.block, coalesce(q.q, 0) AS q FROM cells c JOIN targets t ON c.k = t.k LEFT JOIN quota2 q ON c.k = q.k AND c.shard = q.shard),
 blocks AS (SELECT k, shard, c, block, q, {d.upto(0, f"(c - 1) {d.div} block")} AS j FROM filled WHERE q > 0 AND c > 0),
 hashed AS (SELECT *, {block_hash(d, seed)} AS hj FROM blocks),
