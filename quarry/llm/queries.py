@@ -17,4 +17,4 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op6_chat": chat.ORACLE_SQL, "op9_urlfilter": urlfilter.ORACLE_SQL}
+ORACLE_SQL = {"op1_warc": warc.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op6_chat": chat.ORACLE_SQL, "op9_urlfilter": urlfilter.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}

@@ -61,7 +61,7 @@ def test_pipeline_on_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op5_mixing", "op6_chat", "op9_urlfilter"])
+@pytest.mark.parametrize("name", ["op1_warc", "op5_mixing", "op6_chat", "op9_urlfilter", "op10_decontaminate"])
 def test_against_sql(spark, edges, name):
     same(queries.QUERIES[name](spark, edges), queries.ORACLE_SQL[name], edges.removeprefix("file://"))
 
@@ -157,7 +157,7 @@ def brute_hits(docs, bench):
 def test_decontamination(spark, edges):
     rows = queries.QUERIES["op10_decontaminate"](spark, edges).collect()
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{edges}/benchmark.parquet").collect()]
-    assert Counter(tuple(r) for r in rows) == Counter(brute_hits([(d[0], d[1]) for d in DOCS], bench))
+    assert Counter(tuple(r)[:6] for r in rows) == Counter(brute_hits([(d[0], d[1]) for d in DOCS], bench))
 
 
 def test_stages_keep_columns_and_repeat_safely(spark, edges):
