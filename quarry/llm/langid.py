@@ -1,19 +1,27 @@
 """Language identification of mixed text: script ranges, scores of words, and a Viterbi path with a switching penalty.
 
-Words are runs of letters. The script of a word (by ranges of code points) narrows the languages it can be in to those
-whose learning texts use that script. Its score for each of them is the sum of log probabilities of its byte n-grams (1 to
-4, blanks at its ends included), hashed into `BUCKETS`. A Viterbi path over the words of a text, with a penalty for each
-change of language, labels spans; the language that holds most bytes of letters is that of the text.
+Words are runs of letters (with the marks on them) of one script; digits, signs and blanks are between words, and so is a
+change of script. Runs of a script that is written without blanks are cut into words of `PIECE` letters, so that a path can
+change language within them. The script of a word (by ranges of code points) narrows the languages it can be in to those
+whose learning texts use that script. Its score for each of them is the sum of log probabilities of its n-grams of letters
+(1 to 4, blanks at its ends included), hashed into `BUCKETS`. A Viterbi path over the words of a text, with a penalty for
+each change of language, labels spans; the language that holds most letters is that of the text.
 
-Learning takes rows whose crc32(doc_id) mod 3 is not 1 and lang is not null: `per_lang` texts of each language (a stated
-bound, chosen by a hash of the id), counted by the executors. Labelling covers every whole text.
+Learning takes rows whose crc32(doc_id) mod 3 is not 1 and lang is not null: `per_lang` ids of each of the `most_langs` most
+frequent languages (stated bounds; ids chosen by a hash), of rows with equal id and language one, counted by the executors.
+Labelling covers every whole text.
 
 Defined cases: `und` and score 0 for a text that is null or has no letter; likewise for all if nothing could be learnt; a
-tie goes to the language that comes first by code point; further columns are kept by `with_language`.
+tie goes to the language that comes first by code point; a script that no learning text has narrows nothing; marks without
+a letter are no words; `with_language` and `with_spans` keep further columns, and their own takes the place of one of the
+same name; rows without an id are labelled, not learnt from.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,42 +30,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fold, held_out, utf8
+from .common import fold, held_out
 
-PER_LANG, BITS, PENALTY, ORDERS, SEED = 1500, 15, 12.0, (1, 2, 3, 4), 29
-WORK_BYTES, SCORE_BYTES, FEW = 8 << 20, 1 << 20, 4
+PER_LANG, MOST_LANGS, BITS, PENALTY, ORDERS, SEED = 1500, 256, 15, 12.0, (1, 2, 3, 4), 29
+WORK_BYTES, SCORE_BYTES, FEW, PIECE = 8 << 20, 1 << 20, 4, 4
 BUCKETS = 1 << BITS
 
-#: First code points of script ranges; each range reaches to the next one's start.
-SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0580, "hebrew"), (0x0600, "arabic"), (0x0800, "indic"), (0x1000, "southeast"), (0x2000, "sign"), (0x3000, "kana"), (0x4000, "han"), (0xA000, "hangul"), (0xE000, "other"), (0x10000, "astral")]
-#: Of a script range's first code point: its first UTF-8 byte. Ranges that begin inside a lead byte start with that byte.
-LEADS = [chr(max(x, 0x80)).encode("utf-8", "surrogatepass")[0] if x else 0 for x, _ in SCRIPTS]
-SCRIPT_OF = np.searchsorted(np.array(LEADS), np.arange(256), side="right").astype(np.int8) - 1
-SCRIPT_OF[:0xC2] = 0  # ASCII, and the bytes that follow a lead byte
-#: ASCII letters and all bytes of other characters stay, the rest are blanks.
-LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-
-def has_letter(text: str, raw: bytes) -> bool:
-    return bool(raw.strip()) and (any(97 <= b <= 122 for b in raw[:200]) or any(c.isalpha() for c in text))
+#: Scripts, by the first word of their letters' Unicode names; `OTHER` is any further letter.
+SCRIPTS = ["OTHER", "LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "GEORGIAN", "HEBREW", "ARABIC", "SYRIAC", "THAANA", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "THAI", "LAO", "TIBETAN", "MYANMAR", "KHMER", "ETHIOPIC", "MONGOLIAN", "HANGUL", "HIRAGANA", "KATAKANA", "CJK"]
+#: Of these, those that are written without blanks between words.
+UNSPACED = ["THAI", "LAO", "TIBETAN", "MYANMAR", "KHMER", "HIRAGANA", "KATAKANA", "CJK"]
+#: Kinds of code points: no letter, a mark (of the script of what it stands on), a letter that any script uses; then scripts.
+GAP, MARK, SHARED, FIRST = 0, 1, 2, 3
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """The kind of every code point: ranges of the scripts, from the names of letters."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    number = {name: i + FIRST for i, name in enumerate(SCRIPTS)}
+    for c in range(sys.maxunicode + 1):
+        category = unicodedata.category(chr(c))
+        if category[0] == "M":
+            out[c] = MARK
+        elif category[0] == "L":
+            name = unicodedata.name(chr(c), "OTHER").replace("FULLWIDTH ", "").replace("HALFWIDTH ", "").split()
+            # Modifiers and the long vowel sign go with the letters before them.
+            out[c] = SHARED if category == "Lm" else number.get(name[0], number["OTHER"])
+    return out
 
 
 class Words:
-    """Words of several texts as one buffer; all arrays are over words."""
+    """Words of several texts as one buffer of code points; all arrays are over words."""
 
     def __init__(self, texts: list[str | None]):
-        lowered = [utf8(t.lower()).translate(LETTERS) if isinstance(t, str) else b"" for t in texts]
-        self.spoken = np.array([bool(x) and has_letter(t, x) for t, x in zip(texts, lowered, strict=True)], bool)
-        self.bytes = np.frombuffer(b"    " + b"    ".join(x if ok else b"" for x, ok in zip(lowered, self.spoken, strict=True)) + b"    ", np.uint8)
-        inside = self.bytes != 32
-        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        raw = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) if isinstance(t, str) else np.zeros(0, np.uint32) for t in texts]
+        gap = np.full(4, 32, np.uint32)
+        points = np.concatenate([gap, *(x for r in raw for x in (r, gap))])
+        kind = kinds()[points]
+        at = np.arange(len(kind))
+        kind = kind[np.maximum.accumulate(np.where((kind != MARK) & (kind != SHARED), at, 0))] if (kind <= SHARED).any() else kind
+        kind = np.where(kinds()[points] == SHARED, np.where(kind == GAP, FIRST, kind), kind)
+        inside = kind > GAP
+        # Where a word ends and another begins with nothing between: a change of script, or a piece of a run without blanks.
+        change = np.concatenate([[True], kind[1:] != kind[:-1]])
+        into = at - np.maximum.accumulate(np.where(change, at, 0))
+        unspaced = np.isin(kind, [SCRIPTS.index(x) + FIRST for x in UNSPACED])
+        cut = np.flatnonzero(inside & np.concatenate([[False], inside[:-1]]) & (change | (unspaced & (into % PIECE == 0))))
+        points = np.where(inside, points, np.uint32(32))
+        self.bytes = np.insert(points, cut, np.uint32(32)) if len(cut) else points
+        self.inside = self.bytes != 32
+        edges = np.flatnonzero(self.inside[1:] != self.inside[:-1]) + 1
         self.start, self.end = edges[::2], edges[1::2]
-        bounds = np.cumsum([4, *(len(x) * ok + 4 for x, ok in zip(lowered, self.spoken, strict=True))])
-        self.first = np.searchsorted(self.start, bounds)  # of each text its first word; then the end
         self.length = self.end - self.start
-        self.script = np.maximum.reduceat(SCRIPT_OF[self.bytes], edges)[::2] if len(edges) else np.zeros(0, np.int8)
-        # Where each word's n-grams lie: from the blank before it to the blank after it.
-        self.inside = inside
+        # Where words lie in the texts themselves, and which words are a text's.
+        self.place = self.start - np.searchsorted(cut + np.arange(len(cut)), self.start, side="left") if len(cut) else self.start
+        self.script = kind[self.place].astype(np.int8) - FIRST
+        self.bounds = np.cumsum([4, *(len(r) + 4 for r in raw)])
+        self.first = np.searchsorted(self.place, self.bounds)
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, buckets) for each order: n-grams that hold at most one blank at each end."""
@@ -80,12 +110,12 @@ class Words:
             yield at, ((mixed >> np.uint32(32 - BITS)) ^ np.uint32(n * 7919)) & np.uint32(BUCKETS - 1)
 
     def word_of(self, at: np.ndarray) -> np.ndarray:
-        """The word that an n-gram at these bytes belongs to (one that starts at the blank before a word is that word's)."""
+        """The word that an n-gram at these places belongs to (one that starts at the blank before a word is that word's)."""
         return np.searchsorted(self.end, at, side="right")
 
 
 def count(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of buckets, and of bytes by script."""
+    """Counts of buckets, and of letters by script."""
     w = Words(texts)
     out = np.zeros(BUCKETS, np.int64)
     for _, bucket in w.grams():
@@ -98,7 +128,7 @@ def word_scores(w: Words, table: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     out = np.zeros((len(w.start), table.shape[1]), np.float32)
     if not len(w.start):
         return out
-    # Each byte's word, for bytes from the blank before a word on.
+    # Each letter's word, for letters from the blank before a word on.
     owner = np.repeat(np.arange(len(w.end), dtype=np.int32), np.diff(np.concatenate([[0], w.end])))
     for at, bucket in w.grams():
         at_ok = at < len(owner)
@@ -208,21 +238,39 @@ def in_parts(texts: list, most: int = WORK_BYTES) -> Iterator[list]:
         yield held
 
 
-def learn(docs: DataFrame, per_lang: int = PER_LANG, alpha: float = 0.5, least_share: float = 0.01) -> dict:
-    """The model from docs (doc_id, text, lang). Languages are few (a row of counts for each goes to the driver)."""
+def with_spans(docs: DataFrame, model: dict, name: str = "spans") -> DataFrame:
+    """docs with one more column: the text's spans as (start, stop, lang), in code points of its lower-cased form."""
+
+    @F.pandas_udf("array<struct<start: long, stop: long, lang: string>>")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([char_spans(t, model) for t in texts], dtype=object)
+
+    return docs.drop(name).withColumn(name, label.asNondeterministic()(F.col("text")))
+
+
+def char_spans(text: str | None, model: dict) -> list[dict]:
+    if not model["langs"]:
+        return []
+    w = Words([text])
+    label = viterbi(word_scores(w, model["table"], model["allowed"]), w.first)
+    cut = [0, *(np.flatnonzero(label[1:] != label[:-1]) + 1), len(label)]
+    return [{"start": int(w.place[a]) - 4, "stop": int(w.place[b - 1] + w.length[b - 1]) - 4, "lang": model["langs"][label[a]]} for a, b in zip(cut, cut[1:], strict=False) if b > a]
+
+
+def learn(docs: DataFrame, per_lang: int = PER_LANG, alpha: float = 0.5, least_share: float = 0.01, most_langs: int = MOST_LANGS) -> dict:
+    """The model from docs (doc_id, text, lang). A row of counts for each of at most most_langs languages goes to the driver."""
     ours = docs.select("doc_id", "text", "lang").filter((fold() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in ours.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = ours.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"), F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(most_langs).collect()
     if not sizes:
         return {"langs": [], "table": np.zeros((BUCKETS, 0), np.float32), "allowed": np.zeros((len(SCRIPTS), 0), bool)}
     # Thin each language to about twice its bound by a hash of the id first, so that no large group is ranked.
-    share = F.lit(2.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(2.0, 2 * per_lang / n))).otherwise(share)
+    share = docs.sparkSession.createDataFrame([(r.lang, min(2.0, 2.0 * per_lang / max(r.n, 1))) for r in sizes], "lang string, share double")
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    thin = ours.select("doc_id", "lang").filter(hashed < share)
-    # A bound of per_lang ids for each of a few languages.
+    thin = ours.select("doc_id", "lang").join(F.broadcast(share), "lang").filter(hashed < F.col("share")).select("doc_id", "lang").distinct()
+    # A bound of per_lang ids for each of at most most_langs languages; rows that repeat an id and language count once.
     chosen = thin.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))).filter(F.col("r") <= per_lang)
-    picked = ours.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
+    picked = ours.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
@@ -236,7 +284,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, alpha: float = 0.5, least_s
             yield pd.DataFrame({"lang": lang, "i": at, "n": got[at]})
 
     got = picked.select("lang", "text").mapInPandas(counts, "lang string, i long, n long").groupBy("lang", "i").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sizes, key=lambda x: x.encode("utf-8"))
+    langs = sorted((r.lang for r in sizes), key=lambda x: x.encode("utf-8", "surrogatepass"))
     c = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
     c[pd.Categorical(got.lang, categories=langs).codes, got.i.to_numpy(int)] = got.n
     grams, scripts = c[:, :BUCKETS].T + alpha, c[:, BUCKETS:].T
@@ -265,7 +313,7 @@ def labeller(model: dict):
 
 def with_language(docs: DataFrame, model: dict, name: str = "language") -> DataFrame:
     """docs with one more column, (lang, score)."""
-    return docs.withColumn(name, labeller(model)(F.col("text")))
+    return docs.drop(name).withColumn(name, labeller(model)(F.col("text")))
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,4 +326,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in a language that could be told: not `und`, and one language holds at least a third of the letters."""
     model = learn(docs)
     out = with_language(docs, model, "__language")
-    return out.filter("__language.lang <> 'und' AND __language.score * 3 >= 1").drop("__language")
+    return out.filter("__language.lang <> 'und' AND __language.score * 3 >= 1").drop("__language").select(docs.columns)
