@@ -1,17 +1,20 @@
 """URL rules judged by a Bloom filter cascade.
 
-A rule is a key host + path. The keys of a url are all pairs of a suffix of its host at a label boundary and a prefix of its
-path as long as some rule's path; a rule fits the url if its key is among them. Listed keys are encoded in a first Bloom
+A rule is a key host + path. The keys of a url are all pairs of a suffix of its host at a label boundary (of at most as many
+labels as some rule's host has) and a prefix of its path as long as some rule's path; a rule fits the url if its key is
+among them. Listed keys are encoded in a first Bloom
 filter; those of the corpus's complete key universe that pass it though they are not listed, in a second; listed keys that
 pass both, in a third; and so on by turns until nothing passes wrongly. The parity of the first filter that a key fails
 tells then exactly whether it is listed, for every key of the universe, and urls are judged without a join.
 
-Scale: the first filter's error rate is set from the counts of listed and unlisted keys, so what passes it wrongly, and
+Scale: the universe is worked out once and written. The first filter's error rate is set from the counts of listed and unlisted keys, so what passes it wrongly, and
 with it each later filter, is about as large as the list. The universe is distinct keys (summed in part before the
 shuffle); only 16-byte hashes of wrongly passing keys go to the driver, which is proportional to the list.
 
 Defined cases: a null url, or one without `://`, has empty host and path and no rule; an empty list lets everything pass
-as `default`; a path shorter than a rule's does not fit; rows with equal urls are judged alike.
+as `default`; a path shorter than a rule's does not fit; rows with equal urls are judged alike; a host or path of any length
+has as many keys as the rules ask for, no more. `with_verdicts` keeps further columns, and its own (host, path, rule,
+verdict) take the place of any of the same name. Which rules there are is a stated list, and with it what the driver holds.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Fixed values: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 DEFAULT, LATER_RATE = "allow", 0.5
@@ -45,7 +50,7 @@ class Bloom:
         self.bits = np.packbits(bits)
 
     def at(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        salt = (self.level + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        salt = np.uint64((int(self.level) + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         a, b = keys[:, 0] ^ salt, (keys[:, 1] + salt) | np.uint64(1)
         for i in range(self.k):
             x = a + np.uint64(i) * b
@@ -77,22 +82,38 @@ class Cascade:
 
 
 def passing(universe: DataFrame, cascade: Cascade, n: int, listed: np.ndarray) -> np.ndarray:
-    """Hashes of the unlisted keys of universe (key) that pass all n filters: about as many as are listed."""
+    """Hashes of the unlisted keys of universe (a, b) that pass all n filters: about as many as are listed."""
+    own = np.sort(listed[:, 0])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = set(map(tuple, listed.tolist()))
         for batch in batches:
-            h = hashes(list(batch.key))
+            h = batch[["a", "b"]].to_numpy(np.int64).view(np.uint64).reshape(-1, 2)
             h = h[cascade.depth(h) == n]
-            h = np.array([x for x in h.tolist() if tuple(x) not in own], np.uint64).reshape(-1, 2)
-            yield pd.DataFrame(h.view(np.int64), columns=["a", "b"])
+            # Keys that share the first hash with a listed one are told apart by both.
+            near = np.isin(h[:, 0], own, assume_unique=False)
+            known = set(map(tuple, listed[np.isin(listed[:, 0], h[near, 0])].tolist())) if near.any() else set()
+            keep = ~near
+            keep[near] = [tuple(x) not in known for x in h[near].tolist()]
+            yield pd.DataFrame(h[keep].view(np.int64), columns=["a", "b"])
 
     got = universe.mapInPandas(rows, "a long, b long").distinct().toPandas()
     return got.to_numpy(np.int64).view(np.uint64).reshape(-1, 2)
 
 
+def hashed(keys: DataFrame) -> DataFrame:
+    """keys (key) as the distinct pairs of their hashes (a, b)."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(np.unique(hashes(list(batch.key)), axis=0).view(np.int64), columns=["a", "b"])
+
+    return keys.mapInPandas(rows, "a long, b long").distinct()
+
+
 def build(universe: DataFrame, listed: list[str], size: int | None = None) -> Cascade:
-    """The cascade for listed keys over universe (key, distinct)."""
+    """The cascade for listed keys over a universe, as keys (key) or as their hashes (a, b)."""
+    if "key" in universe.columns:
+        universe = hashed(universe)
     own = hashes(sorted(set(listed)))
     if not len(own):
         return Cascade([])
@@ -115,25 +136,29 @@ def parted(url: str = "url") -> dict:
     return {"host": F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "path": F.substr(rest, F.length(host) + 1)}
 
 
-def keys_of(host: str, path: str, lengths: list[int]) -> list[str]:
-    """All keys of a url, as host + path."""
-    if not host:
+def keys_of(host: str, path: str, lengths: list[int], labels: int) -> list[str]:
+    """The keys of a url, as host + path: suffixes of the host of up to `labels` labels, prefixes of the path of the rules' lengths."""
+    if not host or labels < 1:
         return []
-    labels = host.split(".")
-    return [".".join(labels[i:]) + path[:n] for i in range(len(labels)) for n in lengths if n <= len(path)]
+    last = host.rsplit(".", labels)[-labels:]
+    return [".".join(last[i:]) + path[:n] for i in range(len(last)) for n in lengths if n <= len(path)]
 
 
 def with_verdicts(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = DEFAULT, url: str = "url") -> DataFrame:
     """urls with host, path, rule (the longest that fits, else null) and verdict."""
     lengths = sorted({len(p) for _, _, p in rules})
-    split = urls.withColumns(parted(url))
+    labels = max((h.count(".") + 1 for _, h, _ in rules), default=0)
+    longest = max(lengths, default=0)
+    split = urls.drop("host", "path", "rule", "verdict").withColumns(parted(url))
+    # Of a host and a path no more than the rules' own can be part of any key.
+    ends = split.select(F.substring_index("host", ".", -max(labels, 1)).alias("host"), F.substring("path", 1, longest).alias("path")).distinct()
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": sorted({k for h, p in zip(batch.host, batch.path, strict=True) for k in keys_of(h, p, lengths)})}, dtype=object)
+            keys = sorted({k for h, p in zip(batch.host, batch.path, strict=True) for k in keys_of(h, p, lengths, labels)})
+            yield pd.DataFrame(hashes(keys).view(np.int64), columns=["a", "b"])
 
-    # Of a path no more than the longest rule's is part of any key.
-    universe = split.select("host", F.substring("path", 1, max(lengths, default=0)).alias("path")).distinct().mapInPandas(expand, "key string").distinct()
+    universe = written(ends.mapInPandas(expand, "a long, b long").distinct(), "universe")
     size = universe.count()
     cascades = {v: build(universe, [h + p for w, h, p in rules if w == v], size) for v in sorted({v for v, _, _ in rules})}
 
@@ -141,11 +166,11 @@ def with_verdicts(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, de
     def judge(hosts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known: dict = {}
         for host, path in hosts:
-            pairs = list(zip(host, (p[: max(lengths, default=0)] for p in path), strict=True))
+            pairs = list(zip(host, (p[:longest] for p in path), strict=True))
             if len(known) > 100_000:
                 known.clear()
             new = [x for x in set(pairs) if x not in known]
-            keys = [keys_of(*x, lengths) for x in new]
+            keys = [keys_of(*x, lengths, labels) for x in new]
             flat = [k for ks in keys for k in ks]
             h = hashes(flat)
             listed = {v: c.has(h) for v, c in cascades.items()}
@@ -156,7 +181,8 @@ def with_verdicts(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, de
                 at += len(ks)
             yield pd.DataFrame([known[x] for x in pairs], columns=["rule", "verdict"], dtype=object)
 
-    out = split.withColumn("__judged", judge.asNondeterministic()("host", "path"))
+    judged = judge.asNondeterministic()(F.substring_index("host", ".", -max(labels, 1)), F.substring("path", 1, longest))
+    out = split.withColumn("__judged", judged)
     return out.select("*", "__judged.rule", "__judged.verdict").drop("__judged")
 
 
