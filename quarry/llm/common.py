@@ -27,13 +27,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/quarry-{name}-{uuid.uuid4().hex}"
 
 
+#: The tables written so far, by path; what a caller no longer reads can be deleted (`deleted`).
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the planner takes the size of df to be: that of its files, scaled to its columns."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 3; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3))

@@ -4,6 +4,7 @@ The fraction does not depend on the text, so sketches of any two texts, however
 unbiased estimates of containment and likeness. A sketch also names its text (64 bits of a digest), so that texts too
 short to have a retained hash still compare: alike if equal, else not.
 
+A text is hashed some MB at a time, however long it is or a word in it; ranges of ids are as many as the input's size asks for.
 Words are runs of anything but ASCII blanks, A-Z lower-cased; shingles are five words (a shorter text is one shingle).
 Defined cases: a null text is empty; the empty text has no shingle; rows with equal ids follow each other in the order of
 their texts, and the next document of a row is the next row in that order; a null id comes first; one row alone is its own
@@ -20,9 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, shuffle_partitions, utf8, written
+from .common import LOWER_BYTES, input_bytes, shuffle_partitions, utf8, written
 
-WORDS, SCALE = 5, 2
+WORDS, SCALE, PIECE, RANGE_BYTES = 5, 2, 4 << 20, 96 << 20
+#: All ASCII blanks to one.
+BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 #: Odd multipliers: of byte positions (with its inverse modulo 2 ** 64) and of word positions.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -54,30 +57,67 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(raw: bytes, own: Powers, words: int = WORDS) -> np.ndarray:
-    """A 64-bit hash of each shingle of words of a lower-cased text."""
-    b = np.frombuffer(raw, np.uint8)
-    blank = (b == 32) | ((b >= 9) & (b <= 13))
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    start, end = edges[::2], edges[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = own.of(len(b) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
-    word = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    k = min(words, len(word))
-    out = np.zeros(len(word) - k + 1, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(BASE) + word[i : len(word) - k + 1 + i]
-    return mixed(out + np.uint64(k))
+def giant(raw: bytes, own: Powers) -> np.uint64:
+    """The hash of one word of any length, a piece at a time."""
+    total, far = 0, 1
+    for at in range(0, len(raw), PIECE):
+        b = np.frombuffer(raw[at : at + PIECE], np.uint8)
+        up, _ = own.of(len(b) + 1)
+        total += int(((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)]).sum(dtype=np.uint64)) * far
+        far = far * int(up[len(b)]) % (1 << 64)
+    return mixed(np.array([(total + len(raw)) % (1 << 64)], np.uint64))[0]
+
+
+def word_hashes(raw: bytes, own: Powers) -> Iterator[np.ndarray]:
+    """64-bit hashes of the words of a lower-cased text, some MB of text at a time."""
+    raw, at = raw.translate(BLANKS), 0
+    while at < len(raw):
+        end = len(raw) if at + PIECE >= len(raw) else raw.rfind(b" ", at, at + PIECE)
+        if end <= at:
+            if raw[at : at + 1] == b" ":
+                at += 1
+                continue
+            end = raw.find(b" ", at + PIECE)
+            end = len(raw) if end < 0 else end
+            yield np.array([giant(raw[at:end], own)], np.uint64)
+            at = end
+            continue
+        b = np.frombuffer(raw[at:end], np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], b == 32, [True]]).astype(np.int8)))
+        start, stop = edges[::2], edges[1::2]
+        up, down = own.of(len(b) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
+        yield mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+        at = end
+
+
+def shingle_hashes(raw: bytes, own: Powers, words: int = WORDS) -> Iterator[np.ndarray]:
+    """A 64-bit hash of each shingle of words of a lower-cased text, some MB of text at a time."""
+    held, some = np.zeros(0, np.uint64), False
+    for word in word_hashes(raw, own):
+        word = np.concatenate([held, word])
+        if len(word) >= words:
+            out = np.zeros(len(word) - words + 1, np.uint64)
+            for i in range(words):
+                out = out * np.uint64(BASE) + word[i : len(word) - words + 1 + i]
+            yield mixed(out + np.uint64(words))
+            some = True
+        held = word[max(0, len(word) - words + 1) :]
+    if len(held) and not some:
+        out = np.zeros(1, np.uint64)
+        for x in held:
+            out = out * np.uint64(BASE) + x
+        yield mixed(out + np.uint64(len(held)))
 
 
 def sketch(text: str, own: Powers, scale: int = SCALE) -> tuple[bytes, np.ndarray]:
     """(8 bytes that name the text, sorted retained hashes as their upper 32 of the bits below the threshold)."""
     raw = utf8(text)
-    h = shingle_hashes(raw.translate(LOWER_BYTES), own)
-    kept = h[h < np.uint64((1 << 64) // scale)]
-    return hashlib.blake2b(raw, digest_size=8).digest(), np.unique((kept * np.uint64(scale)) >> np.uint64(32)).astype(np.uint32)
+    kept = [np.zeros(0, np.uint32)]
+    for h in shingle_hashes(raw.translate(LOWER_BYTES), own):
+        h = h[h < np.uint64((1 << 64) // scale)] if scale > 1 else h
+        kept.append(np.unique((h * np.uint64(scale)) >> np.uint64(32)).astype(np.uint32))
+    return hashlib.blake2b(raw, digest_size=8).digest(), np.unique(np.concatenate(kept)) if len(kept) > 2 else kept[-1]
 
 
 def packed(s: tuple[bytes, np.ndarray]) -> bytes:
@@ -169,7 +209,7 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     recomputation cuts them alike; bounds and ranges' least and greatest ids are all that goes to the driver.
     """
     spark = docs.sparkSession
-    n = partitions or shuffle_partitions(spark)
+    n = partitions or max(shuffle_partitions(spark), input_bytes(docs) // RANGE_BYTES)
     least = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", least))
     bounds = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []

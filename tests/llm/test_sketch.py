@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quarry.llm import sketch
 
 
@@ -16,3 +18,44 @@ def test_likeness_of_short_texts():
         got = sketch.likeness(a, b)
         off, zero = off + (abs(got - true) > 0.25), zero + (got == 0)
     assert zero == 0 and off <= 20
+
+
+def exact(a, b):
+    """Jaccard similarity of the sets of five-word shingles."""
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))} if t.split() else set()
+    x, y = shingles(a), shingles(b)
+    return 1.0 if a == b else len(x & y) / len(x | y) if x | y else 0.0
+
+
+def test_likeness_with_every_hash_retained_is_exact():
+    """With the whole range retained the estimate is the similarity itself, so hashes of shingles are those of their words."""
+    own, rng = sketch.Powers(), random.Random(9)
+    for _ in range(60):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(40))]
+        b = a[: rng.randrange(len(a) + 1)] + [rng.choice("abcdefgh") for _ in range(rng.randrange(10))]
+        a, b = " ".join(a), "  ".join(b)
+        assert abs(sketch.likeness(sketch.sketch(a, own, 1), sketch.sketch(b, own, 1)) - exact(a, b)) < 1e-9
+
+
+def test_next_documents(spark):
+    """near_next and the fixed edges of ranges against the exact similarity, with few and many ranges, repeated and null ids."""
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(rng.choice([None, 3, i, i]), " ".join(base[: rng.randrange(200, 400)] + [f"x{rng.randrange(99)}" for _ in range(rng.randrange(100))])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(rows, key=lambda d: (d[0] is not None, d[0] or 0, d[1].encode()))
+    want = {(d, t): exact(t, order[(i + 1) % len(order)][1]) for i, (d, t) in enumerate(order)}
+    for n in (1, 7):
+        got = sorted((r.doc_id is not None, r.doc_id or 0, round(r.near_next, 9)) for r in sketch.with_next(frame, n).collect())
+        first = first if n > 1 else got
+        assert got == first
+        assert abs(sum(x for *_, x in got) / len(got) - sum(want.values()) / len(want)) < 0.03
+
+
+@pytest.mark.parametrize("piece", [3, 64, 1000])
+def test_pieces_change_nothing(monkeypatch, piece):
+    rng = random.Random(piece)
+    texts = ["", " \n", "a", "a b\tc d", "x" * 5000 + " y z", " ".join(f"w{rng.randrange(999)}" for _ in range(2000)), "é\x0b" * 99]
+    whole = [sketch.packed(sketch.sketch(t, sketch.Powers())) for t in texts]
+    monkeypatch.setattr(sketch, "PIECE", piece)
+    assert [sketch.packed(sketch.sketch(t, sketch.Powers())) for t in texts] == whole
