@@ -27,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, shuffle_partitions, utf8, written
+from .common import LOWER_BYTES, input_bytes, shuffle_partitions, utf8, written
 
 WORDS, SEED, THRESHOLD, MOST_AT_HOME = 3, 42, 2, 4096
+#: For the number of tasks: rows sent for each fingerprint, at most about; bytes of them that a task should get.
+SPREAD, TASK_BYTES = 256, 512 << 20
 #: Fixed value: the generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR, BITS, RADIUS = 0xAE3, 23, 3
 
@@ -166,24 +168,23 @@ def home_bitmap(prints: DataFrame, threshold: int) -> np.ndarray:
 def star(homes: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, smallest of its group) that link what is linked between homes and fps, with as many as members at most."""
     own = np.unique(np.concatenate([homes, fps]))
-    parent = np.arange(len(own))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    at_home, at = np.searchsorted(own, homes), np.searchsorted(own, fps)
+    top = np.arange(len(own))
     for a in range(0, len(homes), 64):
         some = homes[a : a + 64]
         for b in range(0, len(fps), 1 << 16):
-            block = fps[b : b + (1 << 16)]
-            i, j = np.nonzero(np.bitwise_count(some[:, None] ^ block[None, :]) <= threshold)
-            for x, y in zip(np.searchsorted(own, some[i]).tolist(), np.searchsorted(own, block[j]).tolist(), strict=True):
-                p, q = root(x), root(y)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-    top = np.array([root(i) for i in range(len(own))], np.int64)
+            i, j = np.nonzero(np.bitwise_count(some[:, None] ^ fps[b : b + (1 << 16)][None, :]) <= threshold)
+            x, y = at_home[a + i], at[b + j]
+            # Hook the larger of two groups' smallest members to the smaller one, until all that are linked agree.
+            while len(x):
+                p, q = top[x], top[y]
+                open_ = p != q
+                if not open_.any():
+                    break
+                x, y, p, q = x[open_], y[open_], p[open_], q[open_]
+                np.minimum.at(top, np.maximum(p, q), np.minimum(p, q))
+                while (top[top] != top).any():
+                    top = top[top]
     linked = top != np.arange(len(own))
     return own[linked], own[top[linked]]
 
@@ -246,7 +247,7 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, most_at_home: int = MOS
     dealt = sent.join(crowded, "anchor", "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
     dealt = dealt.withColumn("task", F.explode(F.when(F.col("tasks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tasks") - 1))))
     dealt = dealt.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("tasks")) == F.col("task")))
-    n = shuffle_partitions(spark)
+    n = max(shuffle_partitions(spark), input_bytes(prints) * SPREAD // TASK_BYTES)
     grouped = dealt.select("anchor", "task", "fp", "home").repartition(n, "anchor", "task").sortWithinPartitions("anchor", "task")
     return grouped.mapInPandas(compare, "a long, b long").distinct()
 
