@@ -9,6 +9,12 @@ the largest key is the response, the others become revisits.
 Archives are written and read by Spark's own writers and readers, so that any store that Spark reaches will do, a failed
 task leaves nothing behind, and a lost executor's work is done again. Archives hold a bounded number of bytes and records.
 
+What cannot be read is told, not raised: a header line without its fields, a length that is no number or runs past the end
+makes a record of kind `bad` with the archive, the byte where it starts and the reason as its url, and ends that archive (there
+is no telling where its next record begins); the other archives are read on. `write_warc` leaves bad records out, and
+`read_warc` gives a row of kind `bad` likewise. Keys travel in an HTTP header of their own name; one that is no number of 18
+digits is no key. `intact` says of a record that its payload's digest is that of its header.
+
 Defined cases: a null payload is empty; a null url is `urn:none`; blanks in urls are percent-encoded; a null key is kept
 as null, and is never the response if an equal payload has a key; records with equal key and payload are of one type.
 An empty table gives empty results.
@@ -21,6 +27,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,6 +46,8 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 RECORD = "archive string, version int, kind string, record_id string, url string, ip string, ts string, mime string, key long, head binary, payload binary, payload_bytes long, digest string, sha1 string"
 READ = "kind string, record_id string, refers_to_id string, url string, ts string, key long, refers_to_key long, payload_bytes long, digest string, payload binary, intact boolean"
 BATCH_BYTES = 4 << 20
+#: Headers of our own: the key that a payload came with, and those of a revisit.
+KEY = "X-Quarry-Key"
 
 
 def arc_builder(archive_bytes: int, archive_records: int):
@@ -64,7 +73,7 @@ def arc_builder(archive_bytes: int, archive_records: int):
                 payload = payload if isinstance(payload, str) else ""
                 url = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) if isinstance(url, str) and url else "urn:none"
                 n = len(payload.encode("utf-8", "surrogatepass"))
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: {mime}; charset=utf-8\r\nContent-Length: {n}\r\nX-Key: {key or ''}\r\n\r\n"
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: {mime}; charset=utf-8\r\nContent-Length: {n}\r\n{KEY}: {key or ''}\r\n\r\n"
                 held.append((url, ip, ts, mime, head + payload, len(head) + n))
                 size += n
                 if size >= archive_bytes or len(held) >= archive_records:
@@ -100,7 +109,10 @@ def arc_records(data: bytes) -> Iterator[tuple[int, dict, bytes]]:
         opening = line.startswith("filedesc:")
         # A version block tells its own field count only inside its body; its line is told apart by the count of blanks.
         own = (ARC_FIELDS[2] if line.count(" ") >= 9 else ARC_FIELDS[1]).split() if opening else names
-        fields = dict(zip(own, line.rsplit(" ", len(own) - 1), strict=True))
+        parts = line.rsplit(" ", len(own) - 1)
+        fields = dict(zip(own, parts, strict=False))
+        if len(parts) != len(own) or not fields.get("Archive-length", "").isdigit():
+            raise ValueError(f"ARC header line at byte {at} is malformed")
         n = int(fields["Archive-length"])
         body = data[end + 1 : end + 1 + n]
         if len(body) < n:
@@ -129,8 +141,8 @@ def header(head: bytes, name: bytes) -> bytes | None:
     return m[1].strip() if m else None
 
 
-def whole(value: bytes | str | None) -> int | None:
-    return int(value) if value else None
+def whole(value: bytes | None) -> int | None:
+    return int(value) if value and re.fullmatch(rb"-?\d{1,18}", value) else None
 
 
 def in_batches(rows: Iterator[tuple], names: list[str], size) -> Iterator[pd.DataFrame]:
@@ -155,14 +167,17 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for name, content in batch.itertuples(index=False, name=None):
-                for version, f, body in arc_records(unpacked(content)):
-                    url, ts = f["URL"], iso(f["Archive-date"])
-                    head, payload = split_http(body)
-                    kind = "warcinfo" if url.startswith("filedesc:") else "response" if head else "resource"
-                    sha = hashlib.sha1(payload)
-                    key = whole(header(head, b"X-Key"))
-                    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {f['IP-address']} {ts} {key} {sha.hexdigest()}")
-                    yield name, version, kind, f"<urn:uuid:{ident}>", url, f["IP-address"], ts, f["Content-type"], key, head, payload, len(payload), sha.hexdigest(), base64.b32encode(sha.digest()).decode()
+                try:
+                    for version, f, body in arc_records(unpacked(content)):
+                        url, ts = f["URL"], iso(f["Archive-date"])
+                        head, payload = split_http(body)
+                        kind = "warcinfo" if url.startswith("filedesc:") else "response" if head else "resource"
+                        sha = hashlib.sha1(payload)
+                        key = whole(header(head, KEY.encode()))
+                        ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {f['IP-address']} {ts} {key} {sha.hexdigest()}")
+                        yield name, version, kind, f"<urn:uuid:{ident}>", url, f["IP-address"], ts, f["Content-type"], key, head, payload, len(payload), sha.hexdigest(), base64.b32encode(sha.digest()).decode()
+                except (ValueError, EOFError, OSError, zlib.error) as e:
+                    yield name, None, "bad", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {e}')}>", str(e), None, None, None, None, b"", b"", 0, None, None
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return in_batches(rows(batches), names_of(RECORD), lambda r: len(r[10]))
@@ -176,6 +191,7 @@ def write_warc(records: DataFrame, path: str, least: int = 1000, file_records: i
     Which payloads repeat is summed before the shuffle (a row for each digest and task), so that a payload which a third
     of all records hold is no hot group there; the join back is one that adaptive execution splits where a key is hot.
     """
+    records = records.filter("kind <> 'bad'")
     big = (F.col("kind") == "response") & (F.col("payload_bytes") >= least)
     repeated = (
         records.filter(big & F.col("key").isNotNull())
@@ -200,7 +216,7 @@ def write_warc(records: DataFrame, path: str, least: int = 1000, file_records: i
         line("WARC-Date", F.col("ts")),
         line("WARC-IP-Address", F.col("ip")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(F.col("key").isNotNull(), line("X-Key", raw("key"))).otherwise(F.lit("")),
+        F.when(F.col("key").isNotNull(), line(KEY, raw("key"))).otherwise(F.lit("")),
         F.when(
             again,
             F.concat(
@@ -208,8 +224,8 @@ def write_warc(records: DataFrame, path: str, least: int = 1000, file_records: i
                 line("WARC-Refers-To", F.col("first.record_id")),
                 line("WARC-Refers-To-Target-URI", F.col("first.url")),
                 line("WARC-Refers-To-Date", F.col("first.ts")),
-                line("X-Refers-To-Key", F.col("first.key").cast("string")),
-                line("X-Payload-Length", raw("payload_bytes")),
+                line(f"{KEY}-Refers-To", F.col("first.key").cast("string")),
+                line(f"{KEY}-Payload-Length", raw("payload_bytes")),
             ),
         ).otherwise(F.lit("")),
         line("Content-Type", F.when(F.col("kind") == "response", F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))),
@@ -243,16 +259,19 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         told = lambda v: v.decode("utf-8", "replace") if v else None
         for batch in batches:
             for (content,) in batch.itertuples(index=False, name=None):
-                for head, block in warc_records(unpacked(content)):
-                    kind = told(header(head, b"WARC-Type"))
-                    http, payload = split_http(block)
-                    said = base64.b32decode((header(head, b"WARC-Payload-Digest") or b"sha1:").split(b":")[1]).hex()
-                    if kind == "revisit":
-                        n, digest, intact = whole(header(head, b"X-Payload-Length")), said, True
-                    else:
-                        n, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                        intact = digest == said
-                    yield kind, told(header(head, b"WARC-Record-ID")), told(header(head, b"WARC-Refers-To")), told(header(head, b"WARC-Target-URI")), told(header(head, b"WARC-Date")), whole(header(head, b"X-Key")), whole(header(head, b"X-Refers-To-Key")), n, digest, payload if payloads else None, intact
+                try:
+                    for head, block in warc_records(unpacked(content)):
+                        kind = told(header(head, b"WARC-Type"))
+                        http, payload = split_http(block)
+                        said = base64.b32decode((header(head, b"WARC-Payload-Digest") or b"sha1:").split(b":")[1]).hex()
+                        if kind == "revisit":
+                            n, digest, intact = whole(header(head, f"{KEY}-Payload-Length".encode())), said, True
+                        else:
+                            n, digest = len(payload), hashlib.sha1(payload).hexdigest()
+                            intact = digest == said
+                        yield kind, told(header(head, b"WARC-Record-ID")), told(header(head, b"WARC-Refers-To")), told(header(head, b"WARC-Target-URI")), told(header(head, b"WARC-Date")), whole(header(head, KEY.encode())), whole(header(head, f"{KEY}-Refers-To".encode())), n, digest, payload if payloads else None, intact
+                except (ValueError, EOFError, OSError, zlib.error) as e:
+                    yield "bad", None, None, str(e), None, None, None, 0, None, None, False
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return in_batches(rows(batches), names_of(READ), lambda r: len(r[9] or b""))
@@ -281,7 +300,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read_warc(spark, warc, payloads=False)
         .filter(F.col("kind").isin("response", "revisit"))
-        .select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_to_key").alias("refers_to"))
+        .select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_to_key").alias("refers_to"), "intact")
     )
 
 
@@ -290,6 +309,6 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coa
 q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN top END AS refers_to
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN top END AS refers_to, true AS intact
 FROM q
 """
