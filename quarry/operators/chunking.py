@@ -1,61 +1,89 @@
 """Chunks of documents: paragraphs of a section merged up to a limit, captions on their own, indices per section.
 
-The whole fold runs within a row's arrays, so nothing is shuffled: a document's paragraphs come in and its chunks leave.
+An ordered fold: a document's paragraphs come in as arrays and its chunks leave as one, a batch of documents at a time, in time
+linear in the text (a fold of column functions copies its result at every step). Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import sentences, strip
+from quarry.functions.text import strip
 
 MAX_CHARS, MIN_CHARS = 3200, 80  # a token is about four characters
 CAPTIONS = ["table_caption", "figure_caption"]
+CHUNKS = "array<struct<section: string, chunk_index: int, text: string>>"
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def packed(pieces: Column, limit: int) -> Column:
+class Packer:
     """Pieces joined by blanks as long as length + piece + 1 stays within limit; a longer piece stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-
-    def step(s: Column, p: Column) -> Column:
-        fits = F.length(s["cur"]) + F.length(p) + 1 <= limit
-        done = F.when(fits | (s["cur"] == ""), s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"])))
-        return F.struct(done.alias("done"), F.when(fits, F.ltrim(F.concat(s["cur"], F.lit(" "), p))).otherwise(p).alias("cur"))
-
-    return F.aggregate(pieces, start, step, lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"]))))
-
 
-def merged(texts: Column, limit: int) -> Column:
-    """Texts of a section as chunks. One over the limit closes the chunk before it, and is cut at its sentences."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-    closed = lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"])))
-
-    def step(s: Column, p: Column) -> Column:
-        over, fits = F.length(p) > limit, F.length(s["cur"]) + F.length(p) + 1 <= limit
-        done = F.when(over, F.concat(closed(s), packed(sentences(p), limit))).when(fits, s["done"]).otherwise(closed(s))
-        return F.struct(done.alias("done"), F.when(over, F.lit("")).when(fits, F.ltrim(F.concat(s["cur"], F.lit(" "), p))).otherwise(p).alias("cur"))
-
-    return F.aggregate(texts, start, step, closed)
+    def __init__(self, limit: int):
+        self.limit, self.done, self.held, self.size = limit, [], [], 0
+
+    def close(self) -> None:
+        if self.size:
+            self.done.append(" ".join(self.held))
+        self.held, self.size = [], 0
+
+    def add(self, piece: str) -> None:
+        if self.size + len(piece) + 1 > self.limit:
+            self.close()
+        self.size += len(piece) + (1 if self.held else 0)
+        self.held.append(piece)
+
+    def paragraph(self, text: str) -> None:
+        """One over the limit closes the chunk before it, and is cut at its sentences."""
+        if len(text) <= self.limit:
+            self.add(text)
+            return
+        self.close()
+        for piece in SENTENCE.split(text):
+            self.add(piece)
+        self.close()
+
+
+def fold(sections: list, texts: list, captions: list, limit: int, least: int) -> list[dict]:
+    """Sections in the order in which they are first met, wherever their paragraphs stand; captions follow a section's chunks."""
+    own: dict[str, tuple[Packer, list[str]]] = {}
+    for section, text, caption in zip(sections, texts, captions, strict=True):
+        text = text.strip() if text else ""
+        if text:
+            packer, below = own.setdefault("unknown" if section is None else section, (Packer(limit), []))
+            below.append(text) if caption else packer.paragraph(text)
+    out = []
+    for section, (packer, below) in own.items():
+        packer.close()
+        kept = [t for t in (*packer.done, *below) if len(t) >= least]
+        out += [{"section": section, "chunk_index": i, "text": t} for i, t in enumerate(kept)]
+    return out
+
+
+def chunked(paragraphs: Column, limit: int = MAX_CHARS, least: int = MIN_CHARS) -> Column:
+    """The chunks (CHUNKS) of an array of paragraphs (section, text, type); null for null."""
+
+    @F.pandas_udf(CHUNKS)
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([None if s is None else fold(s, t, c, limit, least) for s, t, c in zip(*columns, strict=True)], dtype=object)
+
+    part = lambda f: F.transform(paragraphs, f)
+    return apply.asNondeterministic()(part(lambda p: p["section"]), part(lambda p: p["text"]), part(lambda p: F.coalesce(p["type"].isin(CAPTIONS), F.lit(False))))
 
 
 def chunks(docs: DataFrame, limit: int = MAX_CHARS, least: int = MIN_CHARS) -> DataFrame:
     """(pmcid, source_type, section, chunk_index, text) of docs (pmcid, paragraphs array<struct<section, text, type>>).
 
-    Sections with equal titles are one, wherever they stand; captions follow a section's chunks in its count; what is
-    shorter than `least` is dropped before it is counted.
+    Sections with equal titles are one; captions follow a section's chunks in its count; what is shorter than `least` is
+    dropped before it is counted.
     """
-    clean = F.filter(F.transform("paragraphs", lambda p: F.struct(F.coalesce(p["section"], F.lit("unknown")).alias("section"), strip(F.coalesce(p["text"], F.lit(""))).alias("text"), p["type"].isin(CAPTIONS).alias("caption"))), lambda p: p["text"] != "")
-    rows = docs.select("pmcid", clean.alias("p")).withColumn("names", F.array_distinct(F.transform("p", lambda p: p["section"])))
-
-    def of_section(name: Column) -> Column:
-        own = F.filter("p", lambda p: p["section"] == name)
-        text = lambda a: F.transform(a, lambda p: p["text"])
-        body = merged(text(F.filter(own, lambda p: ~F.coalesce(p["caption"], F.lit(False)))), limit)
-        kept = F.filter(F.concat(body, text(F.filter(own, lambda p: F.coalesce(p["caption"], F.lit(False))))), lambda t: F.length(t) >= least)
-        return F.transform(kept, lambda t, i: F.struct(name.alias("section"), i.cast("int").alias("chunk_index"), t.alias("text")))
-
-    out = rows.select("pmcid", F.explode(F.flatten(F.transform("names", of_section))).alias("c"))
+    out = docs.select("pmcid", F.explode(chunked(F.col("paragraphs"), limit, least)).alias("c"))
     return out.select("pmcid", F.lit("fulltext").alias("source_type"), "c.*")
 
 

@@ -24,11 +24,12 @@ def ir_metrics(runs: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
         F.sum(F.when(hit & top, 1).otherwise(0)).alias("hits"),
         F.coalesce(1.0 / F.min(F.when(hit, F.col("i"))), F.lit(0.0)).alias("rr"),
     )
-    # A query with a positive for which a strategy found nothing counts as zero.
-    every = ideal.crossJoin(F.broadcast(runs.select("strategy").distinct()))  # a handful of strategies
-    full = every.join(per, ["strategy", "qid"], "left").na.fill(0)
-    mean = lambda c: F.round(F.avg(c), 6)
-    return full.groupBy("strategy").agg(mean(F.col("dcg") / F.col("idcg")).alias("ndcg"), mean(F.col("hits") / F.col("n")).alias("recall"), mean(F.col("hits") / F.lit(k)).alias("precision"), mean(F.col("rr")).alias("mrr"))
+    # A query with a positive for which a strategy found nothing counts as zero: sums over what was found, by the number of queries.
+    found = per.join(ideal, "qid", "left").withColumn("known", F.col("n").isNotNull())
+    total = lambda c, name: F.sum(F.when(F.col("known"), c).otherwise(0.0)).alias(name)
+    sums = found.groupBy("strategy").agg(total(F.col("dcg") / F.col("idcg"), "ndcg"), total(F.col("hits") / F.col("n"), "recall"), total(F.col("hits") / F.lit(k), "precision"), total(F.col("rr"), "mrr"))
+    one_row = F.broadcast(ideal.agg(F.count("*").alias("queries")))
+    return sums.crossJoin(one_row).filter("queries > 0").select("strategy", *[F.round(F.col(c) / F.col("queries"), 6).alias(c) for c in ("ndcg", "recall", "precision", "mrr")])
 
 
 def advice(metrics: DataFrame) -> DataFrame:

@@ -33,23 +33,54 @@ def latest(rows: DataFrame, key: str, *version: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(F.struct(*version, *rest)).alias("x")).select(key, "x.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with every row of new put in place of old's row of that key, or added."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))
+def last(rows: DataFrame, key: str, version: tuple[str, ...] = ()) -> DataFrame:
+    """One row of each key, that with the greatest version (of equal ones the greatest row); a null key is a key like any other."""
+    if not version:
+        return latest(rows, key, *[c for c in rows.columns if c != key][:1]) if len(rows.columns) > 1 else rows.distinct()
+    return latest(rows, key, *version)
 
 
-def lookup(rows: DataFrame, papers: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """rows with columns of papers; what is missing is an empty string. The side that is small is broadcast by size, not by name."""
-    found = rows.join(papers.select(key, *columns), key, "left")
+def upsert(old: DataFrame, new: DataFrame, key: str, version: tuple[str, ...] = ()) -> DataFrame:
+    """old with every row of new put in place of old's rows of that key, or added; of repeated new keys the last writer's.
+
+    version: columns of new that tell who wrote last; they are left out of the result if old does not have them. Null keys
+    replace null keys.
+    """
+    rows = last(new, key, version).select(old.columns)
+    gone = rows.select(F.col(key).alias("__key"))
+    return old.join(gone, F.col(key).eqNullSafe(F.col("__key")), "left_anti").unionByName(rows)
+
+
+def lookup(rows: DataFrame, papers: DataFrame, key: str, columns: list[str], version: tuple[str, ...] = ()) -> DataFrame:
+    """rows with columns of papers, by the last row of a key; what is missing is an empty string. The side that is small is broadcast by size, not by name."""
+    one = last(papers.select(key, *dict.fromkeys([*columns, *version])), key, version).select(key, *columns)
+    found = rows.join(one, key, "left")
     return found.select(*rows.columns, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
 
 
-def backfill(rows: DataFrame, newer: DataFrame, key: str, column: str) -> DataFrame:
-    """rows with `column` from newer where it has the key, else as it was."""
-    got = newer.select(key, F.col(column).alias("__new"))
+def backfill(rows: DataFrame, newer: DataFrame, key: str, column: str, version: tuple[str, ...] = ()) -> DataFrame:
+    """rows with `column` from the last row of newer that has the key and a value, else as it was; a blank key takes nothing."""
+    known = newer.filter(F.col(column).isNotNull() & (strip(F.col(key).cast("string")) != ""))
+    got = last(known.select(key, *dict.fromkeys([column, *version])), key, version).select(key, F.col(column).alias("__new"))
     return rows.join(got, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
 
 
+def update_groups(rows: DataFrame, key: str, values: list[str], most: int = 500) -> DataFrame:
+    """Updates batched by what they set: (values..., part, keys), the keys that get equal values in sorted lists of at most `most`.
+
+    A key is dealt to a part by a hash, as many parts as the group's size asks for, so no list grows with the table.
+    """
+    # eqNullSafe on the values, so that rows that set a null are a group too.
+    sizes = rows.groupBy(*values).agg(F.count("*").alias("__n"))
+    same = None
+    for v in values:
+        one = F.col(f"r.{v}").eqNullSafe(F.col(f"s.{v}"))
+        same = one if same is None else same & one
+    dealt = rows.alias("r").join(sizes.alias("s"), same).select("r.*", F.pmod(F.xxhash64(F.col(f"r.{key}")), F.ceil(F.col("__n") * 2 / most)).alias("part"))
+    lists = dealt.groupBy(*values, "part").agg(F.array_sort(F.collect_set(key)).alias("keys"))
+    return lists.select(*values, "part", "keys")
+
+
 def points(chunks: DataFrame) -> DataFrame:
     """Vector rows from chunks (pmcid, source_type, section, chunk_index, dense, sparse, seq): incomplete ones dropped, of equal ids the last."""
     ready = chunks.filter(F.col("dense").isNotNull() & F.col("sparse").isNotNull())
@@ -62,6 +93,14 @@ def states(log: DataFrame, key: str, status: str, *version: str) -> DataFrame:
     return log.groupBy(key).agg(F.max(F.struct(*version, status)).alias("x")).select(key, F.col(f"x.{status}").alias("status"))
 
 
+def failed(rows: DataFrame, key: str, *vectors: str) -> DataFrame:
+    """The distinct keys of rows that lack one of their vectors: what is to be done again."""
+    lacking = None
+    for v in vectors:
+        lacking = F.col(v).isNull() if lacking is None else lacking | F.col(v).isNull()
+    return rows.filter(lacking).select(key).distinct()
+
+
 def pending(keys: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return keys.join(done.select(key), key, "left_anti")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import chunking, markup, records
 from quarry.operators import metrics as M
+from quarry.operators import retrieval as R
 from quarry.sources.tables import table
 
 WS = T.WS
@@ -105,7 +108,9 @@ def table_upsert(s: SparkSession, d: str) -> DataFrame:
 
 
 def pending_anti_join(s: SparkSession, d: str) -> DataFrame:
-    return records.pending(table(s, d, "customer").select(F.col("c_custkey").alias("custkey")), table(s, d, "orders").select(F.col("o_custkey").alias("custkey")), "custkey")
+    """Customers without an urgent order that is still open: some have one, some don't."""
+    done = table(s, d, "orders").filter("o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("custkey"))
+    return records.pending(table(s, d, "customer").select(F.col("c_custkey").alias("custkey")), done, "custkey")
 
 
 def event_log(s: SparkSession, d: str) -> DataFrame:
@@ -165,18 +170,24 @@ def health_distribution(s: SparkSession, d: str) -> DataFrame:
 
 
 def scan(s: SparkSession, d: str) -> DataFrame:
-    """One row for each document: paragraphs, chunks, mean chunk length, core sections that are missing, status."""
-    p = with_paragraphs(s, d)
-    c = chunking.chunks(p).groupBy("pmcid").agg(F.count("*").alias("chunk_count"), F.avg(F.length("text")).alias("mean"), F.sum(T.garbage(F.col("text")).cast("long")).alias("garbage_count"))
+    """One row for each document: paragraphs, chunks, mean chunk length, core sections that are missing, status. Worked out within the row."""
+    rows = with_paragraphs(s, d).withColumn("chunks", chunking.chunked(F.col("paragraphs")))
     # Each step is a column of its own and is used more than once, so that none is worked out again for each core section.
-    clean = p.withColumn("sections", F.transform(F.filter("paragraphs", lambda x: F.length(T.collapse(x["text"])) >= 20), lambda x: x["section"]))
-    clean = clean.withColumn("found", F.transform(F.array_distinct("sections"), lambda x: T.strip(F.lower(T.strip_numbering(x)))))
+    rows = rows.withColumn("sections", F.transform(F.filter("paragraphs", lambda x: F.length(T.collapse(x["text"])) >= 20), lambda x: x["section"]))
+    rows = rows.withColumn("found", F.transform(F.array_distinct("sections"), lambda x: T.strip(F.lower(T.strip_numbering(x)))))
     core = ["discussion", "introduction", "methods", "results"]
     has = lambda name: F.exists("found", lambda y: F.contains(y, F.lit(name)))
-    missing = F.concat_ws(",", *[F.when(~has(x), F.lit(x)) for x in core])
-    rows = clean.select("pmcid", F.size("sections").alias("para_count"), missing.alias("missing_core")).join(c, "pmcid", "left")
-    rows = rows.na.fill(0, ["chunk_count", "mean", "garbage_count"])
-    return rows.select("pmcid", "para_count", "chunk_count", F.bround("mean").cast("long").alias("avg_chunk_len"), "missing_core", "garbage_count", M.paper_status(F.col("para_count"), F.col("garbage_count")).alias("status"))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    chars = F.coalesce(F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + F.length(c["text"])), F.lit(0).cast("long"))
+    rows = rows.select(
+        "pmcid",
+        F.size("sections").alias("para_count"),
+        count("chunks").alias("chunk_count"),
+        F.coalesce(F.bround(chars / F.nullif(count("chunks"), F.lit(0).cast("long"))).cast("long"), F.lit(0).cast("long")).alias("avg_chunk_len"),
+        F.concat_ws(",", *[F.when(~has(x), F.lit(x)) for x in core]).alias("missing_core"),
+        count(F.filter("chunks", lambda c: T.garbage(c["text"]))).alias("garbage_count"),
+    )
+    return rows.withColumn("status", M.paper_status(F.col("para_count"), F.col("garbage_count")))
 
 
 def chunk_len_percentiles(s: SparkSession, d: str) -> DataFrame:
@@ -193,10 +204,31 @@ def seeded_sample(s: SparkSession, d: str) -> DataFrame:
 
 
 def jats(s: SparkSession, d: str) -> DataFrame:
-    """documents as full-text markup, a line a paragraph."""
+    """documents as full-text markup: the first line is a paragraph of the body, the others go by turns through what a section holds."""
     safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    body = F.array_join(F.transform(F.split(safe, "\n"), lambda t: F.concat(F.lit("<p>"), t, F.lit("</p>"))), "")
-    return docs(s, d).select("doc_id", F.concat(F.lit("<article><body><sec><title>Main <i>part</i></title>"), body, F.lit("</sec><sec><title>References</title><p>A reference that is left out.</p></sec></body></article>")).alias("xml"))
+
+    def part(t: Column, i: Column) -> Column:
+        put = lambda form: F.concat(*[y for x in re.split("([@#])", form) for y in [t if x == "@" else i.cast("string") if x == "#" else F.lit(x)]])
+        out = F.when(i == 0, put("<p>@</p><sec><title>Main <i>part</i></title>"))
+        for k, form in enumerate(FORMS):
+            out = out.when(i % len(FORMS) == k, put(form))
+        return out
+
+    body = F.array_join(F.transform(F.split(safe, "\n"), part), "")
+    return docs(s, d).select("doc_id", F.concat(F.lit("<article><body>"), body, F.lit("</sec><sec><title>References</title><sec><p>A reference that is left out.</p></sec></sec></body></article>")).alias("xml"))
+
+
+#: What line number # with the text @ becomes, by turns.
+FORMS = [
+    "<p>@</p>",
+    "<sec><p>@</p></sec>",
+    "<sec><title>Sub #</title><p>@</p></sec>",
+    "<fig><caption><p>@</p></caption></fig>",
+    "<table-wrap><caption><title>T. </title><p>@</p></caption></table-wrap>",
+    "<list><list-item><p>@</p><list><list-item><p>nested @</p></list-item></list></list-item></list>",
+    "<p>@<b>lost</b><list><list-item><p>inner <i>x</i> @</p></list-item></list>tail</p>",
+    "<boxed-text><p>left out @</p></boxed-text>",
+]
 
 
 def jats_paragraphs(s: SparkSession, d: str) -> DataFrame:
@@ -208,10 +240,35 @@ def pages_paragraphs(s: SparkSession, d: str) -> DataFrame:
     return markup.exploded(markup.paragraphs(pages, parse=markup.parse_page))
 
 
+def damaged(s: SparkSession, d: str) -> DataFrame:
+    """Full texts of documents, seven of eight of them damaged by a rule on the id in one of the ways that diagnosis tells apart."""
+    forms = [None, "<article><body>", "<article><front/></article>", "<article xmlns='u'><body><sec><p>A long enough text, in a name space.</p></sec></body></article>", "<article><body><fig/></body></article>", "<article><body><p>short</p></body></article>", "<article><body><sec><p>short</p></sec></body></article>"]
+    xml = F.col("xml")
+    for k, form in enumerate(forms):
+        xml = F.when(F.col("doc_id") % 8 == k, F.lit(form).cast("string")).otherwise(xml)
+    return jats(s, d).withColumn("xml", xml)
+
+
 def fail_diagnosis(s: SparkSession, d: str) -> DataFrame:
-    """Web pages read as XML: why they give no paragraph."""
-    pages = table(s, d, "pages").select("page_id", F.col("html").alias("xml"))
-    return pages.select(markup.column(markup.diagnose, "string")(F.col("xml")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """Of the full texts without a paragraph: why, how many, and the first three as examples."""
+    rows = damaged(s, d).select("doc_id", "xml", F.size(markup.column(markup.parse_fulltext, markup.PARAGRAPHS)("xml")).alias("n"))
+    failed = rows.withColumn("status", M.paper_status(F.col("n"), F.lit(0))).filter("status = 'FAIL'")
+    reasons = failed.select("doc_id", markup.column(markup.diagnose, "string")(F.col("xml")).alias("reason"))
+    first = R.top(reasons, 3, F.col("doc_id"), by="reason").groupBy("reason").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("examples"))
+    return reasons.groupBy("reason").agg(F.count("*").alias("n")).join(first, "reason")
+
+
+def embeddings_grouped(s: SparkSession, d: str) -> DataFrame:
+    """Payload updates batched by what they set: of each (language, source) the ids in lists of at most 500; here, what the lists hold."""
+    lists = records.update_groups(docs(s, d).select("doc_id", "lang", "source"), "doc_id", ["lang", "source"])
+    k = F.col("keys")
+    return lists.groupBy("lang", "source").agg(F.sum(F.size(k)).alias("n"), F.min(F.array_min(k)).alias("least"), F.max(F.array_max(k)).alias("greatest"), F.sum(F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"), (F.max(F.size(k)) <= 500).alias("bounded"))
+
+
+def failed_keys(s: SparkSession, d: str) -> DataFrame:
+    """The distinct sources of documents of which some lack a vector, to be embedded again."""
+    rows = docs(s, d).join(table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return records.failed(rows, "doc_id", "embedding")
 
 
 QUERIES = {
@@ -223,6 +280,7 @@ QUERIES = {
     "progress_state": progress_state, "status_move": status_move, "vector_completeness": vector_completeness, "vector_upsert": vector_upsert, "payload_scan": payload_scan,
     "existence_split": existence_split, "id_mapping": id_mapping, "health_distribution": health_distribution, "parse_scan_status": scan, "chunk_len_percentiles": chunk_len_percentiles,
     "missing_sections": missing_sections, "seeded_sample": seeded_sample, "jats_paragraphs": jats_paragraphs, "pages_paragraphs": pages_paragraphs, "fail_diagnosis": fail_diagnosis,
+    "update_groups": embeddings_grouped, "failed_keys": failed_keys,
 }
 
 STRIP = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
@@ -230,8 +288,8 @@ COLLAPSE = lambda c: STRIP(f"regexp_replace({c}, '{WS}+', ' ', 'g')")  # noqa: E
 UUID5 = """(SELECT concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab', CAST(strpos('0123456789abcdef', substr(h, 17, 1)) - 1 AS INTEGER) % 4 + 1, 1), substr(h, 18, 3), '-', substr(h, 21, 12)))"""
 POINT = lambda name: f"sha1(unhex('{T.NAMESPACE_HEX}') || encode({name}))"
 RAW = """
-WITH raw AS (SELECT doc_id, 'PMC' || doc_id AS pmcid, CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id AS VARCHAR) END AS pmid, doc_id % 23 = 0 AS no_pubmed_record, CASE WHEN doc_id % 19 = 0 THEN '  ' ELSE substr(text, 1, 60) END AS title,
-  CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE text END AS abstract, source AS journal, CASE WHEN doc_id % 29 = 0 THEN '' ELSE CAST(2015 + doc_id % 12 AS VARCHAR) END AS pub_year,
+WITH raw AS (SELECT doc_id, 'PMC' || doc_id AS pmcid, CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id AS VARCHAR) END AS pmid, doc_id % 23 = 0 AS no_pubmed_record, CASE WHEN doc_id % 19 = 0 THEN '  ' ELSE text END AS title,
+  text AS abstract, source AS journal, CASE WHEN doc_id % 29 = 0 THEN '' ELSE CAST(2015 + doc_id % 12 AS VARCHAR) END AS pub_year,
   (['Jan', '2', '12', 'Winter', '', '13', 'Sept', '06', 'september', '0'])[doc_id % 10 + 1] AS pub_month, CASE WHEN doc_id % 5 = 0 THEN '' ELSE CAST(doc_id % 33 AS VARCHAR) END AS pub_day, lang FROM documents),
 dated AS (SELECT *, CASE WHEN regexp_matches(pub_month, '^[0-9]{1,2}$') THEN CAST(pub_month AS INTEGER) ELSE CASE lower(substr(pub_month, 1, 3)) WHEN 'jan' THEN 1 WHEN 'sep' THEN 9 END END AS m,
   CASE WHEN pub_day = '' THEN 1 ELSE least(CAST(pub_day AS INTEGER), 28) END AS dd FROM raw),
@@ -271,6 +329,14 @@ scan AS (SELECT a.pmcid, CAST(para_count AS INTEGER) AS para_count, coalesce(chu
   CASE WHEN para_count = 0 THEN 'FAIL' WHEN para_count < 5 THEN 'SPARSE' WHEN coalesce(garbage_count, 0) > 0 THEN 'GARBAGE' ELSE 'OK' END AS status FROM paras a LEFT JOIN good b ON a.pmcid = b.pmcid)
 """
 )
+#: Rows of `jats`: (line i, part j, section, text, type); what is shorter than 20 characters is left out before it is numbered.
+JATS_SQL = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+forms AS (SELECT doc_id, i, 0 AS j, CASE WHEN i = 0 THEN 'body' WHEN i % 8 = 2 THEN 'Sub ' || i ELSE 'Main part' END AS section,
+    CASE WHEN i > 0 AND i % 8 = 4 THEN {COLLAPSE("('T. ' || t)")} WHEN i > 0 AND i % 8 = 6 THEN {STRIP('t')} ELSE {COLLAPSE('t')} END AS text,
+    CASE WHEN i = 0 THEN 'paragraph' WHEN i % 8 = 3 THEN 'figure_caption' WHEN i % 8 = 4 THEN 'table_caption' ELSE 'paragraph' END AS type FROM lines WHERE i = 0 OR i % 8 <> 7
+  UNION ALL SELECT doc_id, i, 1, 'Main part', {COLLAPSE("('nested ' || t)")}, 'paragraph' FROM lines WHERE i > 0 AND i % 8 = 5
+  UNION ALL SELECT doc_id, i, 1, 'Main part', {COLLAPSE("('inner x ' || t)")}, 'paragraph' FROM lines WHERE i > 0 AND i % 8 = 6),
+parsed AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS pos, section, text, type FROM forms WHERE length(text) >= 20)"""
 NAMES = ", ".join(f"'{x}'" for x in [*T.SKIPPED, "Supplementary Material", " Funding ", "Introduction", "REFERENCES", "2. Methods", ""])
 
 ORACLE_SQL = {
@@ -278,7 +344,7 @@ ORACLE_SQL = {
     "sentence_split": f"WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents) SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS sentence FROM s",
     "section_skip": f"WITH t AS (SELECT doc_id, ([{NAMES}])[doc_id % {len(T.SKIPPED) + 6} + 1] AS title FROM documents) SELECT doc_id, title, trim(lower(title)) IN ({', '.join(repr(x) for x in T.SKIPPED)}) AS skipped, substr(replace(lower(title), ' ', '_'), 1, 30) AS slug, regexp_replace(title, '^[0-9]+[.\\s]*', '') AS plain FROM t",
     "pub_date_parse": RAW + "SELECT pmcid, pub_year, pub_month, pub_day, CAST(pub_date AS VARCHAR) AS pub_date FROM dates",
-    "garbage_flags": f"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(substr(text, 1, 300), ' ', ';') WHEN doc_id % 3 = 1 THEN replace(substr(text, 1, 40), ' ', '') ELSE text END AS c FROM documents) SELECT doc_id, {GARBAGE.format(c='c', n=COLLAPSE('c'))} AS garbage FROM t",
+    "garbage_flags": f"SELECT doc_id, {GARBAGE.format(c='text', n=COLLAPSE('text'))} AS garbage FROM documents",
     "record_validity": RAW + "SELECT pmcid, status FROM dates",
     "papers_table": RAW + f"SELECT pmcid, {', '.join(NULLED(c) for c in ('pmid', 'title', 'journal', 'pub_year', 'pub_month', 'pub_day', 'abstract'))}, CAST(NULL AS VARCHAR) AS doi, CAST(pub_date AS VARCHAR) AS pub_date FROM dates WHERE status = 'valid'",
     "chunk_fulltext": chunk_sql(3200, 80) + "SELECT * FROM chunks",
@@ -286,15 +352,15 @@ ORACLE_SQL = {
     "chunk_index": chunk_sql(3200, 80) + f", h AS (SELECT *, {POINT('''concat_ws('_', CAST(pmcid AS VARCHAR), source_type, substr(replace(lower(section), ' ', '_'), 1, 30), CAST(chunk_index AS VARCHAR))''')} AS h FROM chunks) SELECT pmcid, section, chunk_index, CAST(length(text) AS INTEGER) AS n_chars, {UUID5} AS point_id FROM h",
     "abstract_chunks": RAW + f"SELECT pmcid, 'abstract' AS source_type, 'abstract' AS section, CAST(0 AS INTEGER) AS chunk_index, {STRIP('abstract')} AS text FROM raw WHERE {STRIP('abstract')} <> ''",
     "point_id": f"WITH h AS (SELECT doc_id, {POINT('''concat_ws('_', CAST(doc_id AS VARCHAR), 'abstract', substr(replace(lower(source), ' ', '_'), 1, 30), '0')''')} AS h FROM documents) SELECT doc_id, {UUID5} AS id FROM h",
-    "meta_lookup_join": "SELECT coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(strftime(o_orderdate, '%Y'), '') AS o_year, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 10 <> 3) ON l_orderkey = o_orderkey GROUP BY ALL",
+    "meta_lookup_join": "SELECT coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(strftime(o_orderdate, '%Y'), '') AS o_year, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
     "payload_backfill": "SELECT vec_id AS id, coalesce(nullif(d.lang, 'es'), CAST(label AS VARCHAR)) AS lang FROM embeddings LEFT JOIN documents d ON vec_id = doc_id",
     "papers_upsert": "SELECT o_custkey AS custkey, o_orderdate, o_orderkey, o_orderstatus, round(o_totalprice, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
     "table_upsert": "WITH n AS (SELECT o_custkey AS key, max(o_orderpriority) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT * FROM n UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT key FROM n)",
-    "pending_anti_join": "SELECT c_custkey AS custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "pending_anti_join": "SELECT c_custkey AS custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')",
     "progress_state": "SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "status_move": "WITH s AS (SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1) SELECT CASE WHEN status = 'error' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') THEN 'pending' ELSE status END AS status, count(*) AS n FROM s GROUP BY 1",
     "vector_completeness": "SELECT lang, count(vec_id) AS complete, count(*) - count(vec_id) AS failed FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY lang",
-    "vector_upsert": f"WITH r AS (SELECT doc_id % 100 AS pmcid, max(doc_id) AS seq FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY 1), h AS (SELECT r.*, label AS sparse, {POINT('''concat_ws('_', CAST(pmcid AS VARCHAR), 'fulltext', 'a_section_title_of_thirty_chars', '0')'''.replace('chars', 'char'))} AS h FROM r JOIN embeddings ON vec_id = seq) SELECT {UUID5} AS id, pmcid, seq, sparse FROM h",
+    "vector_upsert": f"WITH h AS (SELECT doc_id AS pmcid, doc_id AS seq, label AS sparse, {POINT('''concat_ws('_', CAST(doc_id AS VARCHAR), 'fulltext', substr(replace(lower('A section title of thirty chars: ' || source), ' ', '_'), 1, 30), '0')''')} AS h FROM documents JOIN embeddings ON vec_id = doc_id) SELECT {UUID5} AS id, pmcid, seq, sparse FROM h",
     "payload_scan": "SELECT doc_id, lang, source AS journal FROM documents WHERE lang = 'de'",
     "existence_split": "SELECT doc_id, doc_id IN (SELECT vec_id FROM embeddings) AS present FROM labels WHERE toxic = 1",
     "id_mapping": RAW + "SELECT pmcid, coalesce(CAST(l.doc_id + 1000000 AS VARCHAR), pmid) AS pmid FROM raw LEFT JOIN labels l ON raw.doc_id = l.doc_id",
@@ -303,5 +369,10 @@ ORACLE_SQL = {
     "chunk_len_percentiles": SCAN + ", l AS (SELECT list(avg_chunk_len ORDER BY avg_chunk_len) AS l, count(*) AS n FROM scan WHERE avg_chunk_len > 0) SELECT l[n // 2 + 1] AS median, l[n // 10 + 1] AS p10, l[n * 9 // 10 + 1] AS p90 FROM l",
     "missing_sections": SCAN + ", u AS (SELECT unnest(string_split(missing_core, ',')) AS section FROM scan) SELECT section, count(*) AS n FROM u WHERE section <> '' GROUP BY section",
     "seeded_sample": "SELECT doc_id, md5('42|' || doc_id) AS h FROM documents ORDER BY h LIMIT 50",
-    "jats_paragraphs": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), c AS (SELECT doc_id, i, {COLLAPSE('t')} AS text FROM l) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, 'Main part' AS section, text, 'paragraph' AS type FROM c WHERE length(text) >= 20",
+    "jats_paragraphs": f"WITH {JATS_SQL} SELECT * FROM parsed",
+    "fail_diagnosis": f"""WITH {JATS_SQL}, whole AS (SELECT DISTINCT doc_id FROM parsed), r AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'missing file' WHEN 1 THEN 'malformed' WHEN 2 THEN 'no body' WHEN 3 THEN 'namespaced body' WHEN 4 THEN 'neither sec nor p' WHEN 5 THEN 'p without sec' ELSE 'other' END AS reason,
+  doc_id % 8 < 7 OR doc_id NOT IN (SELECT doc_id FROM whole) AS fail FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY doc_id) AS i FROM r WHERE fail)
+SELECT reason, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (WHERE i <= 3) AS examples FROM n GROUP BY reason""",
+    "update_groups": "SELECT lang, source, count(*) AS n, min(doc_id) AS least, max(doc_id) AS greatest, CAST(sum(doc_id) AS BIGINT) AS total, true AS bounded FROM documents GROUP BY lang, source",
+    "failed_keys": "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
 }

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans.corpus import raw_records
+from quarry.plans.corpus import RAW, raw_records
+from quarry.sources.shared import fresh_path
 from quarry.streaming import incremental
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint folder of the session; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file://' + tempfile.mkdtemp()).rstrip('/')}/ingest-{uuid.uuid4().hex}"
-
-
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records arrive in two deliveries, the second with all of the first again; the log has each key once."""
-    folder = work_folder(spark)
+    folder = fresh_path(spark, "ingest")
     raw = raw_records(spark, sf_dir)
     schema = raw.schema
     raw.filter("pmcid < 'PMC5'").write.parquet(f"{folder}/in/a")
@@ -30,4 +22,4 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"incremental_ingest": incremental_ingest}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict = {"incremental_ingest": RAW + "SELECT pmcid, status FROM dates"}

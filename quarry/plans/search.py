@@ -1,4 +1,7 @@
-"""Search and evaluation queries. The query set is the whole benchmark table, each item with the vector of its number."""
+"""Search and evaluation queries. The query set is the whole benchmark table, each item with the vector of its number, if any.
+
+An item without a vector has no dense hits; its sparse ones count all the same.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import metrics as M
 from quarry.operators import retrieval as R
+from quarry.sources.shared import written
 from quarry.sources.tables import table
 
 
@@ -20,17 +24,25 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def query_set(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
-    return q.join(vectors(spark, d).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel")), "qid")
+    return q.join(vectors(spark, d).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel")), "qid", "left")
 
 
 def flat(hits: DataFrame) -> DataFrame:
     return hits.select("qid", "id", "score", "rank")
 
 
+def legs(spark: SparkSession, d: str, n: int = 40) -> tuple[DataFrame, DataFrame]:
+    """The dense and the sparse leg of the whole query set, n hits deep, worked out once."""
+    q = query_set(spark, d)
+    leg = lambda hits, name: hits.select(F.lit(name).alias("leg"), "qid", "id", "score", "rank")
+    both = written(leg(R.dense_topk(q, vectors(spark, d), n), "dense").unionByName(leg(R.sparse_topk(q, corpus(spark, d), n), "sparse")), "legs")
+    return tuple(both.filter(F.col("leg") == x).drop("leg") for x in ("dense", "sparse"))
+
+
 def strategies(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The four systems' hits for the whole query set, and C at D's depth (E)."""
-    q, c, v = query_set(spark, d), corpus(spark, d), vectors(spark, d)
-    dense, sparse = R.dense_topk(q, v, 40), R.sparse_topk(q, c, 40)
+    """The four systems' hits for the whole query set, and C at D's depth (E): all are cuts of the same two legs."""
+    q, c = query_set(spark, d), corpus(spark, d)
+    dense, sparse = legs(spark, d)
     cut = lambda x, n: x.filter(F.col("rank") < n)
     fused = R.rrf(dense, sparse, 20)
     run = lambda x, s: x.select("qid", "id", F.col(s).alias("score"), "rank")
@@ -44,18 +56,19 @@ def strategies(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
+    """(strategy, qid, id, score, rank): five hits a query and strategy, written, as every reader reads them more than once."""
     out = None
     for name, hits in strategies(spark, d).items():
         one = hits.select(F.lit(name).alias("strategy"), "qid", "id", "score", "rank")
         out = one if out is None else out.unionByName(one)
-    return out
+    return written(out, "runs")
 
 
 def qrels(spark: SparkSession, d: str) -> DataFrame:
     """Grades: 2 for the query's label and quality 1, 1 for the query's label alone; a known label beats a judged grade."""
     q, v = query_set(spark, d).select("qid", "qlabel"), vectors(spark, d).select("id", "label")
     good = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"), F.lit(2).alias("known"))
-    same = v.join(R.few(q), F.col("label") == F.col("qlabel"))
+    same = v.join(q, F.col("label") == F.col("qlabel"))
     return same.join(good, "id", "left").select("qid", "id", F.coalesce("known", F.lit(1)).alias("rel"))
 
 
@@ -122,8 +135,8 @@ QUERIES = {
 
 WITH = """
 WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings),
-q AS (SELECT item_id AS qid, text AS qtext, vec AS qvec, label AS qlabel FROM benchmark JOIN v ON item_id = id),
-dot AS (SELECT q.qid, v.id, v.label, round(list_dot_product(v.vec, q.qvec) / (sqrt(list_dot_product(v.vec, v.vec)) * sqrt(list_dot_product(q.qvec, q.qvec))), 6) AS score FROM q CROSS JOIN v),
+q AS (SELECT item_id AS qid, text AS qtext, vec AS qvec, label AS qlabel FROM benchmark LEFT JOIN v ON item_id = id),
+dot AS (SELECT q.qid, v.id, v.label, round(list_dot_product(v.vec, q.qvec) / (sqrt(list_dot_product(v.vec, v.vec)) * sqrt(list_dot_product(q.qvec, q.qvec))), 6) AS score FROM q CROSS JOIN v WHERE qvec IS NOT NULL),
 dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM dot),
 qt AS (SELECT qid, term, ln(1 + count(*)) AS qw FROM (SELECT qid, unnest(regexp_extract_all(lower(qtext), '[a-z0-9]+')) AS term FROM q) GROUP BY ALL),
 dt AS (SELECT id, lang, journal, term, ln(1 + count(*)) AS dw FROM (SELECT doc_id AS id, lang, source AS journal, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL),
@@ -164,16 +177,16 @@ def end(text: str) -> str:
 
 
 ORACLE_SQL = {
-    "dense_topk": end(WITH) + LIMITED + "dense WHERE qid = 0 AND rank < 20",
-    "dense_topk_filtered": end(WITH) + LIMITED + "(SELECT qid, id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM dot WHERE qid = 0 AND label = 3) WHERE rank < 20",
+    "dense_topk": end(WITH) + LIMITED + "dense WHERE rank < 20",
+    "dense_topk_filtered": end(WITH) + LIMITED + "(SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM dot WHERE label = 3) WHERE rank < 20",
     "dense_topk_batch": end(WITH) + LIMITED + "dense WHERE rank < 5",
-    "sparse_topk": end(WITH) + LIMITED + "sparse WHERE qid = 0 AND rank < 20",
-    "sparse_topk_filtered": end(WITH) + LIMITED + "(SELECT qid, id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM terms WHERE qid = 0 AND lang = 'en' AND journal = 'src1') WHERE rank < 20",
+    "sparse_topk": end(WITH) + LIMITED + "sparse WHERE rank < 20",
+    "sparse_topk_filtered": end(WITH) + LIMITED + "(SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM terms WHERE lang = 'en' AND journal = 'src1') WHERE rank < 20",
     "sparse_topk_batch": end(WITH) + LIMITED + "sparse WHERE rank < 5",
     "hybrid_rrf": end(HYBRID) + "SELECT qid, id, round(rrf_score, 9) AS rrf_score, CAST(rank AS INTEGER) AS rank FROM fused",
     "hybrid_rerank": end(HYBRID + RERANK) + "SELECT qid, id, rerank_score, CAST(rank AS INTEGER) AS rank FROM reranked WHERE rank < 5",
     "search_preview": end(HYBRID + RERANK) + """SELECT qid, id, CAST(rank AS INTEGER) AS rank, coalesce(source, '') AS journal, coalesce(lang, '') AS lang, round(rerank_score, 3) AS score, substr(coalesce(text, ''), 1, 150) AS text
-  FROM reranked LEFT JOIN documents ON doc_id = id WHERE qid = 0 AND rank < 10""",
+  FROM reranked LEFT JOIN documents ON doc_id = id WHERE rank < 10""",
     "ablation_jaccard": ALL + "SELECT qid, round(CASE WHEN na + nb - ab = 0 THEN 0 ELSE ab * 1.0e0 / (na + nb - ab) END, 6) AS jaccard, CAST(na - ab AS INTEGER) AS dense_only, CAST(nb - ab AS INTEGER) AS sparse_only FROM sizes",
     "rerank_churn": ALL + "SELECT round(avg(nd - cd), 6) AS mean_new, round(avg(nc - cd), 6) AS mean_dropped, round(avg(CASE WHEN na + nb - ab = 0 THEN 0 ELSE ab * 1.0e0 / (na + nb - ab) END), 6) AS mean_jaccard FROM sizes",
     "pooled_hits": ALL + "SELECT qid, id, strategy, CAST(rank AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY strategy DESC, rank DESC) AS n FROM runs WHERE strategy < 'E') WHERE n = 1",

@@ -56,6 +56,7 @@ SELECT c.conv_id, coalesce(t, '{memory.NOTHING}') AS transcript FROM (SELECT DIS
 
 LAST = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS r FROM conversations)"
 CONTEXT = search.end(search.HYBRID + search.RERANK) + "SELECT qid, string_agg('[' || {head} || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM reranked LEFT JOIN documents ON doc_id = id WHERE rank < {n} GROUP BY qid"
+SESSIONS = f"WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(to_json(list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn, role, text)) AS VARCHAR) AS history, count(*) AS n_messages FROM {LAST} WHERE r <= 3 GROUP BY conv_id) "
 ORACLE_SQL = {
     "recent_messages": f"SELECT conv_id, turn, role, text FROM {LAST} WHERE r <= 3",
     "summary_transcript": transcript_sql(3, 2000, 12000),
@@ -65,5 +66,7 @@ ORACLE_SQL = {
     "sentiment_summary": """WITH r AS (SELECT source, d.doc_id AS pos, quality IS NULL AS error, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'unknown' END AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 c AS (SELECT source, label, count(*) AS c, min(pos) AS p FROM r WHERE NOT error GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c DESC, p) AS n FROM c)
 SELECT r.source, count(*) AS total, count(*) FILTER (WHERE NOT error) AS valid, any_value(b.label) AS dominant, coalesce(any_value(b.c), 0) AS dominant_count FROM r LEFT JOIN b ON r.source = b.source AND b.n = 1 GROUP BY r.source""",
+    "session_upsert": SESSIONS + "SELECT * FROM s",
+    "session_lookup": SESSIONS + "SELECT * FROM s WHERE session_id = '7'",
     "paper_detail": "SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents WHERE doc_id = 42",
 }
