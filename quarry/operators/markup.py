@@ -111,37 +111,62 @@ def diagnose(xml: str | None) -> str:
     return "p without sec" if "sec" not in tags else "other"
 
 
+def own_pmid(xml: str | None) -> str | None:
+    """The first non-empty pmid in a full text's own metadata."""
+    try:
+        root = ET.fromstring(xml or "")
+    except ET.ParseError:
+        return None
+    ids = ((e.text or "").strip() for e in root.iterfind(".//article-meta/article-id[@pub-id-type='pmid']"))
+    return next(filter(None, ids), None)
+
+
+def whole_text(node: ET.Element | None) -> str:
+    return "" if node is None else "".join(node.itertext()).strip()
+
+
+def labelled(node: ET.Element) -> str:
+    text, label = whole_text(node), node.get("Label", "")
+    return f"{label}: {text}" if text and label else text
+
+
+def person(node: ET.Element) -> str:
+    last = whole_text(node.find("LastName"))
+    return f"{whole_text(node.find('ForeName'))} {last}".strip() if last else ""
+
+
+def first_of(*paths: str):
+    """The first of several places that has a text."""
+    return lambda article: next((t for p in paths if (t := whole_text(article.find(p)))), "")
+
+
+def all_of(path: str, read):
+    return lambda article: [t for node in article.iterfind(path) if (t := read(node))]
+
+
+#: A metadata record, field by field: how each is read from an article.
+FIELDS = {
+    "doi": lambda article: (all_of(".//ArticleId[@IdType='doi']", lambda n: (n.text or "").strip() or " ")(article) or [""])[0].strip(),
+    "title": first_of(".//ArticleTitle"),
+    "abstract": lambda article: "\n".join(all_of(".//AbstractText", labelled)(article)),
+    "authors": all_of(".//Author", person),
+    "journal": first_of(".//Journal/Title"),
+    "pub_year": first_of(".//PubDate/Year", ".//ArticleDate/Year"),
+    "pub_month": first_of(".//PubDate/Month", ".//ArticleDate/Month"),
+    "pub_day": first_of(".//PubDate/Day", ".//ArticleDate/Day"),
+    "keywords": all_of(".//Keyword", lambda n: (n.text or "").strip()),
+    "article_types": all_of(".//PublicationType", lambda n: n.text),
+}
+RECORD = ", ".join(f"{f} {'array<string>' if f in ('authors', 'keywords', 'article_types') else 'string'}" for f in (*FIELDS, "parse_error"))
+
+
 def parse_pubmed(xml: str | None) -> dict:
     """A metadata record; `parse_error` alone if there is none to be read."""
     try:
         article = ET.fromstring(xml or "").find(".//PubmedArticle")
     except ET.ParseError as e:
         return {"parse_error": str(e)}
-    if article is None:
-        return {"parse_error": "no article"}
-
-    def first(path: str, node: ET.Element = article) -> str:
-        found = node.find(path)
-        return "".join(found.itertext()).strip() if found is not None else ""
-
-    parts = [(a.get("Label", ""), "".join(a.itertext()).strip()) for a in article.findall(".//AbstractText")]
-    people = [(first("ForeName", a), first("LastName", a)) for a in article.findall(".//Author")]
-    dois = [(a.text or "").strip() for a in article.findall(".//ArticleId") if a.get("IdType") == "doi"]
-    dated = {x: first(f".//PubDate/{x}") or first(f".//ArticleDate/{x}") for x in ("Year", "Month", "Day")}
-    return {
-        "doi": dois[0] if dois else "",
-        "title": first(".//ArticleTitle"),
-        "abstract": "\n".join(f"{label}: {text}" if label else text for label, text in parts if text),
-        "authors": [f"{fore} {last}".strip() for fore, last in people if last],
-        "journal": first(".//Journal/Title"),
-        "pub_year": dated["Year"], "pub_month": dated["Month"], "pub_day": dated["Day"],
-        "keywords": [k.text.strip() for k in article.findall(".//Keyword") if k.text],
-        "article_types": [t.text for t in article.findall(".//PublicationType") if t.text],
-        "parse_error": None,
-    }
-
-
-RECORD = "doi string, title string, abstract string, authors array<string>, journal string, pub_year string, pub_month string, pub_day string, keywords array<string>, article_types array<string>, parse_error string"
+    return {"parse_error": "no article"} if article is None else {f: read(article) for f, read in FIELDS.items()} | {"parse_error": None}
 
 
 class PageText(HTMLParser):

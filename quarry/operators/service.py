@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 import json
+import logging
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from quarry.operators.agent import Agent
+from quarry.operators.records import latest
 
-SESSION = "session_id string, summary string, history string, retrieved_chunks string, version long"
+log = logging.getLogger(__name__)
+
+SESSION = "session_id string, summary string, history string, retrieved_chunks string, version long, updated_at timestamp, bucket int"
+BUCKETS = 256
+#: How a model says that there is nothing to sum up.
+NOTHING = ("无", "无。", "无.")
+
+
+def bucket_of(key: str) -> int:
+    return zlib.crc32(key.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 class Sessions:
-    """Sessions as an append-only Parquet log; the latest version of an id is the session."""
+    """Sessions as an append-only Parquet log in folders by a hash of the id; the latest version of an id is the session.
+
+    A lookup reads one folder of BUCKETS. Saving and loading are best effort: a failure is told, and the turn goes on.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -29,35 +44,56 @@ class Sessions:
         key, rows = (session_id or "").strip(), self.rows()
         if not key or rows is None:
             return None
-        last = rows.filter(F.col("session_id") == key).orderBy(F.col("version").desc()).limit(1).collect()
+        last = rows.filter((F.col("bucket") == bucket_of(key)) & (F.col("session_id") == key)).orderBy(F.col("version").desc()).limit(1).collect()
         if not last:
             return None
-        try:
-            history = json.loads(last[0].history)
-        except ValueError:
-            history = []
-        return {"summary": last[0].summary or "", "history": history if isinstance(history, list) else [], "retrieved_chunks": json.loads(last[0].retrieved_chunks or "[]"), "version": last[0].version}
+        listed = lambda x: y if isinstance(y := parsed(x), list) else []
+        return {"summary": last[0].summary or "", "history": listed(last[0].history), "retrieved_chunks": listed(last[0].retrieved_chunks), "version": last[0].version, "updated_at": last[0].updated_at}
 
-    def save(self, session_id: str, summary: str, history: list, chunks: list) -> None:
+    def save(self, session_id: str, summary: str, history: list, chunks: list) -> bool:
+        """Whether it was saved; a blank id is no session."""
         key = (session_id or "").strip()
         if not key:
-            return
-        version = ((self.load(key) or {}).get("version") or 0) + 1
-        row = (key, summary or "", json.dumps(history, ensure_ascii=False), json.dumps(chunks, ensure_ascii=False), version)
-        self.spark.createDataFrame([row], SESSION).coalesce(1).write.mode("append").parquet(self.path)
+            return False
+        try:
+            version = ((self.load(key) or {}).get("version") or 0) + 1
+            row = (key, summary or "", json.dumps(history or [], ensure_ascii=False), json.dumps(chunks if isinstance(chunks, list) else [], ensure_ascii=False), version, None, bucket_of(key))
+            frame = self.spark.createDataFrame([row], SESSION).withColumn("updated_at", F.current_timestamp())
+            frame.coalesce(1).write.partitionBy("bucket").mode("append").parquet(self.path)
+        except Exception:
+            log.warning("session %s was not saved", key, exc_info=True)
+            return False
+        return True
+
+    def compacted(self, path: str) -> Sessions:
+        """The latest versions alone, under another path: one file a folder instead of one a turn."""
+        rows = self.rows()
+        if rows is not None:
+            latest(rows, "session_id", "version").select([x.split()[0] for x in SESSION.split(", ")]).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+        return Sessions(self.spark, path)
+
+
+def parsed(text: str | None) -> object:
+    try:
+        return json.loads(text or "[]")
+    except ValueError:
+        return None
 
 
 def summarized(old: str, messages: list[dict], write, keep: int = 3) -> tuple[str, list[dict]]:
-    """(new summary, last messages): all but the last `keep` messages join the old summary; a failing writer keeps the old one."""
+    """(new summary, last messages): all but the last `keep` messages join the old summary, which is written anew with them.
+
+    With neither there is nothing to write; a writer that fails keeps the old one, one that finds nothing empties it.
+    """
     past, recent = (messages[:-keep], messages[-keep:]) if len(messages) > keep else ([], list(messages))
-    if not past:
+    if not messages or not (past or (old or "").strip()):
         return old or "", recent
     lines = [f"[{m['role']}]: {m['content'].strip()[:2000]}" for m in past if (m.get("content") or "").strip()]
     try:
-        new = write(old or "", "\n".join(lines)[:12000])
+        new = write(old or "", "\n".join(lines)[:12000]).strip()
     except Exception:  # noqa: BLE001  whatever a model does, the session goes on
         return old or "", recent
-    return ("" if new.strip() == "无" else new.strip()), recent
+    return ("" if new in NOTHING else new), recent
 
 
 def chat(agent: Agent, sessions: Sessions, user_input: str, session_id: str = "default", write=lambda old, text: (old + "\n" + text).strip()[-2000:]) -> dict:

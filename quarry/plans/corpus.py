@@ -299,11 +299,14 @@ dates AS (SELECT *, CASE WHEN pub_year <> '' AND m BETWEEN 1 AND 12 AND dd >= 1
 NULLED = lambda c: f"nullif({STRIP(c)}, '') AS {c}"
 
 
-def chunk_sql(limit: int, least: int) -> str:
+LINES = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+p AS (SELECT doc_id, (['1. Introduction', 'Methods', '3.1 Results'])[i % 3 + 1] AS section, {STRIP('t')} AS t, i, i % 7 = 6 AS caption FROM lines)"""
+
+
+def chunk_sql(limit: int, least: int, paragraphs: str = LINES) -> str:
     """Units (paragraphs; sentences of those over the limit) in runs that cannot be merged across; a recursive walk numbers chunks."""
     return f"""
-WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-p AS (SELECT doc_id, (['1. Introduction', 'Methods', '3.1 Results'])[i % 3 + 1] AS section, {STRIP('t')} AS t, i, i % 7 = 6 AS caption FROM lines),
+WITH RECURSIVE {paragraphs},
 body AS (SELECT *, CASE WHEN length(t) > {limit} THEN 1 ELSE 0 END AS big FROM p WHERE NOT caption AND t <> ''),
 run AS (SELECT *, sum(big) OVER w * 2 - big AS r FROM body WINDOW w AS (PARTITION BY doc_id, section ORDER BY i ROWS UNBOUNDED PRECEDING)),
 cut AS (SELECT doc_id, section, r, i, CASE WHEN big = 1 THEN string_split(regexp_replace(t, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)) ELSE [t] END AS us FROM run),
