@@ -161,8 +161,8 @@ def names_of(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the ARC files under path (RECORD), ready to be written as WARC."""
+def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row for each record of the ARC files under path (RECORD), ready to be written as WARC; without payloads, all but their bytes."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
@@ -175,7 +175,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                         sha = hashlib.sha1(payload)
                         key = whole(header(head, KEY.encode()))
                         ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {f['IP-address']} {ts} {key} {sha.hexdigest()}")
-                        yield name, version, kind, f"<urn:uuid:{ident}>", url, f["IP-address"], ts, f["Content-type"], key, head, payload, len(payload), sha.hexdigest(), base64.b32encode(sha.digest()).decode()
+                        yield name, version, kind, f"<urn:uuid:{ident}>", url, f["IP-address"], ts, f["Content-type"], key, head if payloads else b"", payload if payloads else b"", len(payload), sha.hexdigest(), base64.b32encode(sha.digest()).decode()
                 except (ValueError, EOFError, OSError, zlib.error) as e:
                     yield name, None, "bad", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {e}')}>", str(e), None, None, None, None, b"", b"", 0, None, None
 
@@ -185,22 +185,18 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, RECORD)
 
 
-def write_warc(records: DataFrame, path: str, least: int = 1000, file_records: int = 2048) -> None:
+def write_warc(records: DataFrame, path: str, least: int = 1000, file_records: int = 2048, digests: DataFrame | None = None) -> None:
     """records (RECORD) as gzipped WARC files. Of equal payloads of at least `least` bytes one is a response, the others revisit it.
 
-    Which payloads repeat is summed before the shuffle (a row for each digest and task), so that a payload which a third
-    of all records hold is no hot group there; the join back is one that adaptive execution splits where a key is hot.
+    Which payloads repeat is told from digests (records, or the same without their bytes) and summed before the shuffle (a row
+    for each digest and task), so that a payload which a third of all records hold is no hot group there; the join back is
+    one that adaptive execution splits where a key is hot.
     """
     records = records.filter("kind <> 'bad'")
     big = (F.col("kind") == "response") & (F.col("payload_bytes") >= least)
-    repeated = (
-        records.filter(big & F.col("key").isNotNull())
-        .groupBy("digest")
-        .agg(F.count("*").alias("n"), F.max(F.struct("key", "record_id", "url", "ts")).alias("first"))
-        .join(records.filter(big & F.col("key").isNull()).groupBy("digest").agg(F.count("*").alias("m")), "digest", "left")
-        .filter(F.col("n") + F.coalesce("m", F.lit(0)) > 1)
-        .select(F.col("digest").alias("match"), "first")
-    )
+    first = F.max(F.when(F.col("key").isNotNull(), F.struct("key", "record_id", "url", "ts"))).alias("first")
+    repeated = (records if digests is None else digests).filter(big).groupBy("digest").agg(F.count("*").alias("n"), first)
+    repeated = repeated.filter("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("match"), "first")
     # Small payloads never revisit; a key of their own keeps them from meeting in one task.
     of = records.withColumn("match", F.when(big, F.col("digest")).otherwise(F.concat(F.lit("-"), "record_id")))
     of = of.join(repeated, "match", "left")
@@ -229,7 +225,7 @@ def write_warc(records: DataFrame, path: str, least: int = 1000, file_records: i
             ),
         ).otherwise(F.lit("")),
         line("Content-Type", F.when(F.col("kind") == "response", F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))),
-        line("Content-Length", F.octet_length(block).cast("string")),
+        line("Content-Length", (F.octet_length("head") + F.when(again, F.lit(0)).otherwise(F.col("payload_bytes"))).cast("string")),
         F.lit("\r\n"),
         block,
     )
@@ -281,7 +277,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 1000) -> None:
     """All ARC files under arc_path as WARC files under warc_path."""
-    write_warc(read_arc(spark, arc_path), warc_path, least)
+    write_warc(read_arc(spark, arc_path), warc_path, least, digests=read_arc(spark, arc_path, payloads=False))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
