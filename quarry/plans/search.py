@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import metrics as M
+from quarry.operators import providers
 from quarry.operators import retrieval as R
 from quarry.sources.shared import written
 from quarry.sources.tables import table
@@ -31,18 +32,24 @@ def flat(hits: DataFrame) -> DataFrame:
     return hits.select("qid", "id", "score", "rank")
 
 
-def legs(spark: SparkSession, d: str, n: int = 40) -> tuple[DataFrame, DataFrame]:
-    """The dense and the sparse leg of the whole query set, n hits deep, worked out once."""
-    q = query_set(spark, d)
+def fixed_set(spark: SparkSession, d: str, texts: list[tuple[str, str]]) -> DataFrame:
+    """(qid, intent, qtext, qvec, qlabel) of fixed queries (intent, text) numbered from 0, each with the vector of its number, if any."""
+    q = spark.createDataFrame([(i, intent, text) for i, (intent, text) in enumerate(texts)], "qid long, intent string, qtext string")
+    return q.join(vectors(spark, d).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel")), "qid", "left")
+
+
+def legs(spark: SparkSession, d: str, n: int = 40, q: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The dense and the sparse leg of a query set (the whole benchmark), n hits deep, worked out once."""
+    q = query_set(spark, d) if q is None else q
     leg = lambda hits, name: hits.select(F.lit(name).alias("leg"), "qid", "id", "score", "rank")
     both = written(leg(R.dense_topk(q, vectors(spark, d), n), "dense").unionByName(leg(R.sparse_topk(q, corpus(spark, d), n), "sparse")), "legs")
     return tuple(both.filter(F.col("leg") == x).drop("leg") for x in ("dense", "sparse"))
 
 
-def strategies(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The four systems' hits for the whole query set, and C at D's depth (E): all are cuts of the same two legs."""
-    q, c = query_set(spark, d), corpus(spark, d)
-    dense, sparse = legs(spark, d)
+def strategies(spark: SparkSession, d: str, q: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The four systems' hits for a query set (the whole benchmark), and C at D's depth (E): all are cuts of the same two legs."""
+    q, c = query_set(spark, d) if q is None else q, corpus(spark, d)
+    dense, sparse = legs(spark, d, q=q)
     cut = lambda x, n: x.filter(F.col("rank") < n)
     fused = R.rrf(dense, sparse, 20)
     run = lambda x, s: x.select("qid", "id", F.col(s).alias("score"), "rank")
@@ -55,10 +62,10 @@ def strategies(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
-def runs(spark: SparkSession, d: str) -> DataFrame:
+def runs(spark: SparkSession, d: str, q: DataFrame | None = None) -> DataFrame:
     """(strategy, qid, id, score, rank): five hits a query and strategy, written, as every reader reads them more than once."""
     out = None
-    for name, hits in strategies(spark, d).items():
+    for name, hits in strategies(spark, d, q).items():
         one = hits.select(F.lit(name).alias("strategy"), "qid", "id", "score", "rank")
         out = one if out is None else out.unionByName(one)
     return written(out, "runs")
@@ -114,6 +121,74 @@ def health(spark: SparkSession, d: str) -> DataFrame:
     return out.crossJoin(F.broadcast(asked)).select("*", (F.col("has_en") == 0).alias("warn_en"), (F.col("has_de") == 0).alias("warn_de"), (F.col("unique_ratio") < 0.5).alias("warn_unique"), (F.col("recent_ratio") < 0.3).alias("warn_recent"), (F.col("asked") > F.col("answered")).alias("warn_failed"))
 
 
+def health_run(spark: SparkSession, d: str) -> DataFrame:
+    """Five hits for each of the fixed queries, by intent: hits, different ids, queries with none, and the share of hits from 2022 on."""
+    q = fixed_set(spark, d, HEALTH)
+    hits = strategies(spark, d, q)["D"].withColumn("recent", ((2015 + F.col("id") % 12) >= 2022).cast("int"))
+    of = q.select("qid", "intent").join(hits, "qid", "left")
+    each = of.groupBy("intent").agg(F.count("id").alias("hits"), F.count_distinct("id").alias("different"), F.count_distinct("qid").alias("asked"), F.count_distinct(F.when(F.col("id").isNotNull(), F.col("qid"))).alias("answered"), F.coalesce(F.sum("recent"), F.lit(0).cast("long")).alias("recent"))
+    return each.select("*", (F.col("asked") > F.col("answered")).alias("warn_failed"), (F.col("different") < 0.5 * F.col("hits")).alias("warn_unique"), (F.col("recent") < 0.3 * F.col("hits")).alias("warn_recent"))
+
+
+def ablation_run(spark: SparkSession, d: str) -> DataFrame:
+    """The four systems' five best ids for each fixed query, how far dense and sparse agree, and how many reranking brought in."""
+    q = fixed_set(spark, d, [("", x) for x in ABLATION])
+    got = runs(spark, d, q).groupBy("qid").pivot("strategy", ["A", "B", "C", "D"]).agg(F.array_sort(F.collect_set("id")))
+    empty = F.array().cast("array<long>")
+    found = q.select("qid", F.col("qtext").alias("query")).join(got, "qid", "left").select("query", *[F.coalesce(c, empty).alias(c) for c in "ABCD"])
+    joined = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(name) for c, name in zip("ABCD", ("dense", "sparse", "hybrid", "reranked"), strict=True)]
+    return found.select("query", F.round(M.jaccard(F.col("A"), F.col("B")), 6).alias("jaccard"), F.size(F.array_except("D", "C")).alias("rerank_new"), *joined)
+
+
+def judge_grades(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, id, rel) of the pooled ten best of both legs: known grades first, then the stand-in judge's."""
+    q, c = query_set(spark, d), corpus(spark, d)
+    dense, sparse = legs(spark, d, 10)
+    pool = dense.select("qid", "id").unionByName(sparse.select("qid", "id")).distinct()
+    known = table(spark, d, "labels").filter("quality = 1").groupBy(F.col("doc_id").alias("id")).agg(F.lit(2).alias("known"))
+    pairs = pool.join(q.select("qid", "qtext"), "qid").join(c.select("id", "text"), "id", "left").join(known, "id", "left")
+    return providers.judged(pairs, providers.by_words).select("qid", "id", "rel")
+
+
+def effective_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Of every hit of the sparse leg, of fusion and of reranking the score that counts: the last stage's that it reached."""
+    q, c = query_set(spark, d), corpus(spark, d)
+    dense, sparse = legs(spark, d)
+    fused = R.rrf(dense, sparse, 20)
+    one = lambda hits, name: hits.select("qid", "id", F.col(name))
+    hits = one(sparse, "score").join(one(fused, "rrf_score"), ["qid", "id"], "full_outer").join(one(R.rerank(fused, q, c, 5), "rerank_score"), ["qid", "id"], "full_outer")
+    return hits.select("qid", "id", F.round(R.effective_score("rerank_score", "rrf_score", "score"), 6).alias("score"))
+
+
+#: The health run's queries, by intent.
+HEALTH = [
+    ("机制", "autonomic dysfunction mechanism in long covid"),
+    ("机制", "SARS-CoV-2 spike protein persistence chronic symptoms"),
+    ("机制", "microbiome dysbiosis long covid pathophysiology"),
+    ("症状", "post-exertional malaise fatigue long covid"),
+    ("症状", "brain fog cognitive impairment long covid"),
+    ("症状", "long covid cardiovascular symptoms palpitations"),
+    ("治疗", "antivirals treatment long covid clinical trial"),
+    ("治疗", "low dose naltrexone long covid"),
+    ("治疗", "rehabilitation exercise therapy post-covid"),
+    ("流行病学", "long covid prevalence omicron variant"),
+    ("流行病学", "long covid risk factors age sex comorbidities"),
+    ("流行病学", "long covid incidence vaccination effect"),
+    ("综述", "long covid systematic review meta-analysis"),
+    ("综述", "post-acute sequelae SARS-CoV-2 overview"),
+]
+#: The ablation run's queries.
+ABLATION = [
+    "autonomic dysfunction treatment long covid",
+    "post-exertional malaise mechanism pathophysiology",
+    "long covid prevalence omicron variant 2022 2023",
+    "brain fog cognitive impairment intervention",
+    "mast cell activation long covid symptoms",
+    "antivirals paxlovid long covid clinical trial results",
+    "gut microbiome dysbiosis long covid",
+    "long covid systematic review meta-analysis outcomes",
+]
+
 QUERIES = {
     "dense_topk": lambda s, d: flat(R.dense_topk(query_set(s, d), vectors(s, d), 20)),
     "dense_topk_filtered": lambda s, d: flat(R.dense_topk(query_set(s, d), vectors(s, d), 20, {"label": 3})),
@@ -131,6 +206,10 @@ QUERIES = {
     "metric_advice": lambda s, d: M.advice(M.ir_metrics(runs(s, d), qrels(s, d))),
     "result_diversity": result_diversity,
     "health_warnings": health,
+    "health_run": health_run,
+    "ablation_run": ablation_run,
+    "judge_grades": judge_grades,
+    "effective_scores": effective_scores,
 }
 
 WITH = """
@@ -176,6 +255,20 @@ def end(text: str) -> str:
     return text.rstrip().rstrip(",") + "\n"
 
 
+BENCHMARK = "q AS (SELECT item_id AS qid, text AS qtext, vec AS qvec, label AS qlabel FROM benchmark LEFT JOIN v ON item_id = id)"
+
+
+def asking(sql: str, texts: list[str]) -> str:
+    """sql over fixed queries, numbered from 0, in place of the benchmark."""
+    values = ", ".join("(CAST({} AS BIGINT), '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(texts))
+    out = sql.replace(BENCHMARK, f"f(qid, qtext) AS (VALUES {values}), q AS (SELECT f.qid, qtext, vec AS qvec, label AS qlabel FROM f LEFT JOIN v ON f.qid = id)")
+    if out == sql:
+        raise ValueError("no query set to replace")
+    return out
+
+
+INTENTS = ", ".join(f"(CAST({i} AS BIGINT), '{x}')" for i, (x, _) in enumerate(HEALTH))
+IDS = "coalesce((SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FROM runs WHERE runs.qid = f.qid AND strategy = '{}'), '')"
 ORACLE_SQL = {
     "dense_topk": end(WITH) + LIMITED + "dense WHERE rank < 20",
     "dense_topk_filtered": end(WITH) + LIMITED + "(SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM dot WHERE label = 3) WHERE rank < 20",
@@ -198,4 +291,14 @@ h AS (SELECT round(nd - na, 6) AS hybrid_gain, round(nd - nc, 6) AS rerank_gain,
 s AS (SELECT CAST(max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS INTEGER) AS has_en, CAST(max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) AS INTEGER) AS has_de, round(count(DISTINCT id) * 1.0e0 / count(*), 6) AS unique_ratio,
   round(count(*) FILTER (WHERE year >= 2022) * 1.0e0 / count(*), 6) AS recent_ratio, count(DISTINCT qid) AS answered, (SELECT count(*) FROM q) AS asked FROM h)
 SELECT *, has_en = 0 AS warn_en, has_de = 0 AS warn_de, unique_ratio < 0.5 AS warn_unique, recent_ratio < 0.3 AS warn_recent, asked > answered AS warn_failed FROM s""",
+    "health_run": asking(ALL, [x for _, x in HEALTH]) + f""", i(qid, intent) AS (VALUES {INTENTS}), h AS (SELECT i.qid, intent, id FROM i LEFT JOIN (SELECT * FROM runs WHERE strategy = 'D') r ON i.qid = r.qid),
+e AS (SELECT intent, count(id) AS hits, count(DISTINCT id) AS different, count(DISTINCT qid) AS asked, count(DISTINCT qid) FILTER (WHERE id IS NOT NULL) AS answered, count(id) FILTER (WHERE 2015 + id % 12 >= 2022) AS recent FROM h GROUP BY intent)
+SELECT *, asked > answered AS warn_failed, different < 0.5 * hits AS warn_unique, recent < 0.3 * hits AS warn_recent FROM e""",
+    "ablation_run": asking(ALL, ABLATION) + f"""SELECT f.qtext AS query, round(CASE WHEN coalesce(na + nb - ab, 0) = 0 THEN 0 ELSE ab * 1.0e0 / (na + nb - ab) END, 6) AS jaccard, CAST(coalesce(nd - cd, 0) AS INTEGER) AS rerank_new,
+  {IDS.format('A')} AS dense, {IDS.format('B')} AS sparse, {IDS.format('C')} AS hybrid, {IDS.format('D')} AS reranked FROM f LEFT JOIN sizes ON sizes.qid = f.qid""",
+    "judge_grades": end(WITH) + """, pool AS (SELECT DISTINCT qid, id FROM (SELECT qid, id FROM dense WHERE rank < 10 UNION ALL SELECT qid, id FROM sparse WHERE rank < 10)),
+w AS (SELECT pool.qid, pool.id, list_distinct(regexp_extract_all(lower(qtext), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(coalesce(text, ''), 1, 600)), '[a-z0-9]+')) AS b, quality FROM pool JOIN q ON pool.qid = q.qid LEFT JOIN documents ON doc_id = pool.id LEFT JOIN (SELECT DISTINCT doc_id AS l, 1 AS quality FROM labels WHERE quality = 1) ON l = pool.id)
+SELECT qid, id, CAST(CASE WHEN quality = 1 THEN 2 WHEN len(a) = 0 THEN 0 WHEN len(list_intersect(a, b)) * 2 >= len(a) THEN 2 WHEN len(list_intersect(a, b)) * 4 >= len(a) THEN 1 ELSE 0 END AS INTEGER) AS rel FROM w""",
+    "effective_scores": end(HYBRID + RERANK) + """, s AS (SELECT qid, id FROM sparse WHERE rank < 40 UNION SELECT qid, id FROM fused)
+SELECT s.qid, s.id, round(coalesce(r.rerank_score, f.rrf_score, p.score, 0), 6) AS score FROM s LEFT JOIN (SELECT * FROM reranked WHERE rank < 5) r ON s.qid = r.qid AND s.id = r.id LEFT JOIN fused f ON s.qid = f.qid AND s.id = f.id LEFT JOIN (SELECT * FROM sparse WHERE rank < 40) p ON s.qid = p.qid AND s.id = p.id""",
 }
