@@ -49,8 +49,9 @@ def deleted(spark: SparkSession, paths: list[str]) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the planner takes the size of df to be: that of its files, scaled to its columns."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """What the planner takes the size of df to be: that of its files, scaled to its columns; 0 where it has no idea."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def fold(doc_id: str = "doc_id") -> Column:
