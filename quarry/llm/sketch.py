@@ -14,6 +14,7 @@ next document; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,29 +194,49 @@ def at_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")], dtype=object)
 
 
-def numbered(key: Column, bounds: list[int], low: int = 0) -> Column:
-    """A key's range, the number of bounds up to it: a binary search as an expression."""
+def numbered(key: Column, prefix: Column, bounds: list[tuple[int, int]], low: int = 0) -> Column:
+    """A row's range, the number of bounds (key, prefix) up to it: a binary search as an expression."""
     if not bounds:
         return F.lit(low)
     m = len(bounds) // 2
-    return F.when(key < F.lit(bounds[m]), numbered(key, bounds[:m], low)).otherwise(numbered(key, bounds[m + 1 :], low + m + 1))
+    k, x = bounds[m]
+    before = (key < F.lit(k)) if x <= 0 else (key < F.lit(k)) | ((key == F.lit(k)) & (prefix < F.lit(x)))
+    return F.when(before, numbered(key, prefix, bounds[:m], low)).otherwise(numbered(key, prefix, bounds[m + 1 :], low + m + 1))
+
+
+def ranges(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Bounds (key, prefix) of about n ranges of rows (key, prefix) of equal numbers of rows. An id that fills more than one is cut by its texts' first bytes."""
+    quantiles = lambda m: F.lit([i / m for i in range(1, m)])
+    found = (rows.agg(F.percentile_approx("key", quantiles(n), max(10_000, 20 * n))).first()[0] or []) if n > 1 else []
+    times = Counter(found)
+    hot = [k for k, m in times.items() if m > 1]
+    bounds = {(k, 0) for k in times}
+    if hot:
+        cuts = rows.filter(F.col("key").isin(hot)).groupBy("key").agg(F.percentile_approx("prefix", quantiles(max(times.values()) + 1), 10_000).alias("cuts"))
+        for r in cuts.collect():  # as many rows as ids with over a range's share of all rows: fewer than n
+            step = max(1, len(r.cuts) // times[r.key])
+            bounds |= {(r.key, x) for x in r.cuts[step - 1 :: step]}
+    return sorted(bounds)
 
 
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """docs (doc_id, text): each row's sketches and likenesses (OUT), its edited text made with the next row.
 
     One shuffle by ranges of ids; within a range rows follow each other as a stream. Only the ranges' first and last
-    texts (two for each partition) cross ranges. The ranges' bounds are worked out first, from ids alone, so that a
-    recomputation cuts them alike; bounds and ranges' least and greatest ids are all that goes to the driver.
+    texts (two for each partition) cross ranges. The ranges' bounds are worked out first, from ids alone (and from the first
+    bytes of the texts of an id that many rows share), so that a recomputation cuts them alike; bounds and ranges' least and
+    greatest ids are all that goes to the driver.
     """
     spark = docs.sparkSession
     n = partitions or max(shuffle_partitions(spark), input_bytes(docs) // RANGE_BYTES)
     least = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", least))
-    bounds = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
-    rows = rows.withColumn("part", numbered(F.col("key"), sorted(set(bounds))))
+    # The first six bytes as a number that orders as they do.
+    prefix = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
+    bounds = ranges(rows.withColumn("prefix", prefix), n)
+    rows = rows.withColumn("part", numbered(F.col("key"), prefix, bounds))
     ends = sorted((r.part, r.low, r.high) for r in rows.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect())
-    ranged = rows.select("part", "doc_id", "text").repartitionByRange(n, "part").sortWithinPartitions("part", "doc_id", "text")
+    ranged = rows.select("part", "doc_id", "text").repartitionByRange(max(n, len(bounds) + 1), "part").sortWithinPartitions("part", "doc_id", "text")
     done = ranged.mapInPandas(in_order, OUT)
     if not ends:
         return done

@@ -59,3 +59,19 @@ def test_pieces_change_nothing(monkeypatch, piece):
     whole = [sketch.packed(sketch.sketch(t, sketch.Powers())) for t in texts]
     monkeypatch.setattr(sketch, "PIECE", piece)
     assert [sketch.packed(sketch.sketch(t, sketch.Powers())) for t in texts] == whole
+
+
+def test_an_id_that_many_rows_share_is_cut(spark):
+    """A third of the rows without an id and a third with one id: their ranges are cut by the texts' first bytes; nothing changes."""
+    rng = random.Random(12)
+    text = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(99)}" for _ in range(rng.randrange(30)))
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, text()) for i in range(900)] + [(50, "same text")] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = sorted(rows, key=lambda d: (d[0] is not None, d[0] or 0, d[1].encode()))
+    own = sketch.Powers()
+    want = sorted(str((d, len(t), sketch.packed(sketch.sketch(sketch.edited(t, order[(i + 1) % len(order)][1]), own)).hex())) for i, (d, t) in enumerate(order))
+    assert sorted(str((r.doc_id, r.n_chars, bytes(r.edited_sketch).hex())) for r in sketch.with_next(frame, 12).collect()) == want
+    keyed = frame.selectExpr("coalesce(doc_id, -9223372036854775808L) AS key", "cast(conv(rpad(hex(substring(encode(text, 'utf-8'), 1, 6)), 12, '0'), 16, 10) AS long) AS prefix")
+    bounds = sketch.ranges(keyed, 12)
+    sizes = [r["count"] for r in keyed.withColumn("part", sketch.numbered(keyed.key, keyed.prefix, bounds)).groupBy("part").count().collect()]
+    assert len(bounds) >= 9 and max(sizes) < 250
