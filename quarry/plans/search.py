@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import metrics as M
 from quarry.operators import providers
 from quarry.operators import retrieval as R
@@ -109,7 +110,7 @@ def result_diversity(spark: SparkSession, d: str) -> DataFrame:
 def health(spark: SparkSession, d: str) -> DataFrame:
     """Hits by kind and the warnings that follow: a kind absent, few different ids, few recent ones, queries without hits."""
     hits = strategies(spark, d)["D"].join(corpus(spark, d).select("id", "lang"), "id", "left").withColumn("year", (2015 + F.col("id") % 12).cast("string"))
-    recent = F.col("year").rlike(r"^\d+$") & (F.col("year").try_cast("int") >= 2022)
+    recent = T.digits_only(F.col("year")) & (F.col("year").try_cast("int") >= 2022)
     out = hits.agg(
         F.max(F.when(F.col("lang") == "en", 1).otherwise(0)).alias("has_en"),
         F.max(F.when(F.col("lang") == "de", 1).otherwise(0)).alias("has_de"),

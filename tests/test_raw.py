@@ -197,6 +197,11 @@ def test_agent_plans_and_filters(talker):
     assert agent.sentiment([{"text": "x"}], lambda t: "no list")["results"][0]["error"] and agent.sentiment([{"text": "x"}], lambda t: 1 / 0)["valid"] == 0
 
 
+def test_encoded_questions_have_dense_hits(talker):
+    own = agent.Agent(talker.spark, talker.corpus, talker.vectors, encode=lambda q: [1.0, 0.0] if "fox" in q else [0.0, 1.0])
+    assert [h["pmcid"] for h in own.hits("zzz fox zzz")] == ["1"] and [h["pmcid"] for h in own.hits("blue")] == ["2", "1"]
+
+
 def test_sessions(spark, tmp_path):
     s = service.Sessions(spark, f"file://{tmp_path}/s")
     assert not s.save(" ", "x", [], []) and s.load("a") is None
