@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from .common import fold, held_out
 
 PER_LANG, MOST_LANGS, BITS, PENALTY, ORDERS, SEED = 1500, 256, 15, 12.0, (1, 2, 3, 4), 29
-WORK_BYTES, SCORE_BYTES, FEW, PIECE = 8 << 20, 1 << 20, 4, 4
+WORK_BYTES, SCORE_BYTES, FEW, PIECE = 4 << 20, 1 << 19, 4, 4
 BUCKETS = 1 << BITS
 
 #: Scripts, by the first word of their letters' Unicode names; `OTHER` is any further letter.
@@ -200,7 +200,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) ->
 
 
 def label_texts(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
-    """Scores are made for a MB of text at a time, and the paths of all texts then side by side."""
+    """Scores are made for half a million letters at a time, and the paths of all texts then side by side."""
     langs, scores, lengths, sizes = model["langs"], [], [], []
     for part in in_parts(texts, SCORE_BYTES):
         w = Words(part)
