@@ -252,12 +252,12 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, most_at_home: int = MOS
     return grouped.mapInPandas(compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of edges (a, b): alternating large-star and small-star until nothing changes."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (a, b): alternating large-star and small-star until nothing changes, which takes about the log of a chain's length."""
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e = written(edges.filter("a <> b"), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         # Every node's smallest neighbour, itself included; then larger neighbours point to it.
         near = both(e)
         least = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -269,11 +269,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         e = written(small.filter("a <> b").distinct(), "small")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == last:
-            break
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def classes(prints: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
