@@ -54,6 +54,13 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with as many more underscores before it as it takes to be none of df's columns."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 3; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, utf8, written
+from .common import WORD_BYTES, unused, utf8, written
 
 WINDOW, LEAST, BLOCK_BYTES, MOST_BYTES, SHARD_BYTES = 13, 3, 16 << 20, 512 << 20, 4 << 20
 #: How many sets of windows a worker remembers the items of.
@@ -379,7 +379,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", window:
     parts = list(benchmark_parts(benchmark, window, block_bytes, most_bytes)) if one else benchmark_parts(benchmark, window, block_bytes, most_bytes)
     kept: list[str] = []
     for k, blocks in enumerate(parts if not one else []):
-        kept.append(f"__found{k}")
+        kept.append(unused(docs, f"__found{k}"))
         docs = written(docs.withColumn(kept[-1], finder(blocks)(F.col("text"))), "found")
         for p in blocks.parts:
             p.destroy()
@@ -459,5 +459,6 @@ FROM d LEFT JOIN hit ON d.r = hit.r LEFT JOIN held ON d.r = held.r LEFT JOIN bes
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not contaminated."""
-    out = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__hits")
-    return out.filter(~contaminated("__hits")).drop("__hits").select(docs.columns)
+    own = unused(docs, "__hits")
+    out = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), own)
+    return out.filter(~contaminated(own)).drop(own)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fold, held_out
+from .common import fold, held_out, unused
 
 PER_LANG, MOST_LANGS, BITS, PENALTY, ORDERS, SEED = 1500, 256, 15, 12.0, (1, 2, 3, 4), 29
 WORK_BYTES, SCORE_BYTES, FEW, PIECE = 4 << 20, 1 << 19, 4, 4
@@ -325,5 +325,6 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in a language that could be told: not `und`, and one language holds at least a third of the letters."""
     model = learn(docs)
-    out = with_language(docs, model, "__language")
-    return out.filter("__language.lang <> 'und' AND __language.score * 3 >= 1").drop("__language").select(docs.columns)
+    own = unused(docs, "__language")
+    out = with_language(docs, model, own)
+    return out.filter((F.col(own)["lang"] != "und") & (F.col(own)["score"] * 3 >= 1)).drop(own)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, fold, held_out, utf8
+from .common import LOWER_BYTES, fold, held_out, unused, utf8
 
 SAMPLE, EPOCHS, SEED = 8000, 40, 17
 
@@ -169,4 +169,5 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier takes for label 1; learnt from docs itself and the labels of sf_dir."""
     model = learn(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_quality(docs, model, "__score").filter("__score >= 0.5").select(docs.columns)
+    own = unused(docs, "__score")
+    return with_quality(docs, model, own).filter(F.col(own) >= 0.5).drop(own)

@@ -8,6 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarry.llm import queries, sketch
 from tests.compare import same
@@ -189,3 +190,15 @@ def test_pipeline_stages_follow_their_queries(spark):
     assert kept[3] == {r.doc_id for r in run("op10_decontaminate") if not r.contaminated}
     final = corpus_pipeline.run(spark, folder).toPandas()
     assert 0 < len(final) <= len(set.intersection(*kept)) + 40 and (final.taken <= 3 * final["size"]).all() and np.isfinite(final.target).all()
+
+
+def test_stages_leave_own_columns_of_any_name(spark, edges):
+    """Columns that are named like those that stages work with keep their values."""
+    docs = spark.read.parquet(f"{edges}/documents.parquet").filter("doc_id IN (6, 7, 9, 13)").dropDuplicates(["doc_id"])
+    names = ["__score", "__language", "__hits", "___hits", "__id", "__token", "passes", "k", "doc"]
+    own = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, own, edges)
+        kept = [n for n in names if n != "passes" or name != corpus_pipeline.STAGES[-1][0]]
+        assert all(r[n] == f"{n} of {r.doc_id}" for r in out.collect() for n in kept), name
+        assert set(own.columns) <= set(out.columns)
