@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import markup
@@ -35,6 +35,45 @@ class Remote(Protocol):
     def record(self, pmid: str) -> str | None: ...
 
 
+class Search(Protocol):
+    """A paged search: how many ids there are, and those from `start` on, `size` at most; either may raise."""
+
+    def total(self) -> int: ...
+
+    def page(self, start: int, size: int) -> list[str]: ...
+
+
+def repeated(call: Callable, wait: float, attempts: int, sleep: Callable[[float], None] = time.sleep) -> object:
+    """call, again after a wait for as long as it fails; the last failure is raised, and the task tried elsewhere."""
+    for n in range(attempts):
+        try:
+            return call()
+        except Exception:  # noqa: BLE001  a request may fail in any way; the same page is asked for again
+            if n + 1 == attempts:
+                raise
+            sleep(wait)
+    raise ValueError("no attempt")
+
+
+def search_ids(spark: SparkSession, make: Callable[[], Search], page: int = 200, pause: float = 0.15, wait: float = 5.0, attempts: int = 1000) -> DataFrame:
+    """(page, pmcid): all ids that a remote search finds, a task for each of its pages; a page that fails is asked for again.
+
+    The first request tells how many there are; ids get the prefix PMC, in the search's order within their page.
+    """
+    total = int(repeated(make().total, wait, attempts))
+    pages = -(-total // page)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search = make()
+        for batch in batches:
+            for n in batch.id.tolist():
+                time.sleep(pause)
+                ids = repeated(lambda n=n, search=search: search.page(n * page, page), wait, attempts)
+                yield pd.DataFrame({"page": n, "pmcid": [f"PMC{i}" for i in ids]}).astype({"page": "int64"})
+
+    return spark.range(0, pages, 1, max(1, min(pages, 200))).mapInPandas(ask, "page long, pmcid string")
+
+
 def accepted(xml: Column) -> Column:
     """Whether a full-text answer is one: it holds an article or a set of them."""
     return F.coalesce(F.contains(xml, F.lit("<article")) | F.contains(xml, F.lit("<pmc-articleset")), F.lit(False))

@@ -30,7 +30,7 @@ BLOCK, ROWS, PAIRS = 2048, 2048, 1 << 22
 def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[list]:
     """The query set in blocks, each read from the executors when it is asked for."""
     held = []
-    for row in queries.toLocalIterator():
+    for row in queries.toLocalIterator(prefetchPartitions=True):
         held.append(row)
         if len(held) == size:
             yield held

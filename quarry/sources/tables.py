@@ -49,14 +49,7 @@ def read_markup(spark: SparkSession, path: str) -> DataFrame:
 
 def write_keyed(rows: DataFrame, path: str, value: str) -> None:
     """One file for each key (pmcid) and its text, in a folder of its own; writing a key again replaces its folder alone."""
-    spark = rows.sparkSession
-    mode = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")
-    try:
-        rows.select("pmcid", value).repartition("pmcid").write.partitionBy("pmcid").mode("overwrite").text(path)
-    finally:
-        spark.conf.set(mode, before)
+    rows.select("pmcid", value).repartition("pmcid").write.partitionBy("pmcid").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
 
 
 def write_metadata(records: DataFrame, path: str) -> None:

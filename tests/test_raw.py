@@ -35,6 +35,31 @@ class Remote:
         return {"5": "<broken", "7": f"<S>{PUBMED}</S>", "8": None, " 6 ": f"<S>{PUBMED}</S>"}.get(pmid)
 
 
+class Finder:
+    """Finds 450 ids; the second page fails the first two times that one instance is asked for it."""
+
+    def __init__(self):
+        self.failed = 0
+
+    def total(self):
+        return 450
+
+    def page(self, start, size):
+        if start == 200 and self.failed < 2:
+            self.failed += 1
+            raise OSError("busy")
+        return [str(i) for i in range(start, min(450, start + size))]
+
+
+def test_paged_search(spark):
+    rows = fetch.search_ids(spark, Finder, pause=0, wait=0).collect()
+    assert sorted((r.page, r.pmcid) for r in rows) == sorted((i // 200, f"PMC{i}") for i in range(450))
+    waits = []
+    with pytest.raises(ZeroDivisionError):
+        fetch.repeated(lambda: 1 / 0, 5.0, 3, waits.append)
+    assert waits == [5.0, 5.0]
+
+
 def test_outcomes_of_a_remote(spark):
     keys = spark.createDataFrame([(x,) for x in "ABCDEFGH"], "pmcid string")
     got = {r.pmcid: (r.outcome, r.pmid) for r in fetch.outcomes(fetch.answers(keys, Remote, pause=0)).collect()}
