@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: All that counts as white space, not only ASCII.
 WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same as characters.
+BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Months by the first three letters of their names.
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
 #: Titles of sections that are left out with all below them.
@@ -16,12 +18,12 @@ NAMESPACE_HEX = "6ba7b8109dad11d180b400c04fd430c8"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
     """White space runs to one blank, none at the ends."""
-    return strip(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
 
 
 def blank_to_null(c: Column) -> Column:

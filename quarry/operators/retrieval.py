@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.functions.text import strip
+from quarry.sources.shared import written
 
 RRF_K, WORD = 60, "[a-z0-9]+"
 #: Queries of a block; rows scored at once; pairs of a row's term and a query's counted at once.
@@ -204,12 +205,14 @@ def coverage(query_words: Column, text: Column) -> Column:
 def rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:
     """hits (qid, id, rrf_score, rank) rescored by the pair scorer and cut to n; ties keep their order. Only hits are scored.
 
-    The words of a query are worked out once, not for each of its hits.
+    Hits are written first, so that their true size decides how they meet the corpus: few are sent to where the texts are read,
+    and pairs are scored there. The words of a query are worked out once. A hit without a text scores like an empty one.
     """
+    hits = written(hits.select("qid", "id", "rrf_score", "rank"), "hits")
     asked = queries.select("qid", words(F.col("qtext")).alias("qwords"))
-    pairs = hits.join(corpus.select("id", "text"), "id", "left").join(asked, "qid")
-    scored = pairs.select("qid", "id", "rrf_score", F.col("rank").alias("hybrid_rank"), coverage(F.col("qwords"), F.col("text")).alias("rerank_score"))
-    return top(scored, n, F.col("rerank_score").desc(), F.col("hybrid_rank"))
+    scored = corpus.select("id", "text").join(hits.select("qid", "id").join(asked, "qid"), "id").select("qid", "id", coverage(F.col("qwords"), F.col("text")).alias("rerank_score"))
+    found = hits.join(scored, ["qid", "id"], "left").select("qid", "id", "rrf_score", F.col("rank").alias("hybrid_rank"), F.coalesce("rerank_score", F.lit(0.0)).alias("rerank_score"))
+    return top(found, n, F.col("rerank_score").desc(), F.col("hybrid_rank"))
 
 
 def search(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, top_k: int = 20, top_n: int = 5, filters: dict | None = None) -> DataFrame:
