@@ -197,22 +197,23 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0)))
 
 
-def coverage(query_words: Column, text: Column) -> Column:
+def coverage(query_words: Column, text_words: Column) -> Column:
     """The offline pair scorer: the share of the query's distinct words that the text has."""
-    return F.round(F.when(F.size(query_words) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(query_words, words(text))) / F.size(query_words)), 6)
+    return F.round(F.when(F.size(query_words) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(query_words, text_words)) / F.size(query_words)), 6)
 
 
 def rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:
     """hits (qid, id, rrf_score, rank) rescored by the pair scorer and cut to n; ties keep their order. Only hits are scored.
 
-    Hits are written first, so that their true size decides how they meet the corpus: few are sent to where the texts are read,
-    and pairs are scored there. The words of a query are worked out once. A hit without a text scores like an empty one.
+    Hits are written first, so that their true size decides how they meet the corpus: few are sent to where the texts are read.
+    The words of a text that several queries hit, and those of a query, are worked out once. A hit without a text scores 0.
     """
     hits = written(hits.select("qid", "id", "rrf_score", "rank"), "hits")
     asked = queries.select("qid", words(F.col("qtext")).alias("qwords"))
-    scored = corpus.select("id", "text").join(hits.select("qid", "id").join(asked, "qid"), "id").select("qid", "id", coverage(F.col("qwords"), F.col("text")).alias("rerank_score"))
-    found = hits.join(scored, ["qid", "id"], "left").select("qid", "id", "rrf_score", F.col("rank").alias("hybrid_rank"), F.coalesce("rerank_score", F.lit(0.0)).alias("rerank_score"))
-    return top(found, n, F.col("rerank_score").desc(), F.col("hybrid_rank"))
+    texts = corpus.select("id", "text").join(hits.select("id").distinct(), "id", "left_semi").select("id", words(F.col("text")).alias("twords"))
+    found = hits.join(asked, "qid").join(texts, "id", "left")
+    scored = found.select("qid", "id", "rrf_score", F.col("rank").alias("hybrid_rank"), coverage(F.col("qwords"), F.coalesce("twords", F.array().cast("array<string>"))).alias("rerank_score"))
+    return top(scored, n, F.col("rerank_score").desc(), F.col("hybrid_rank"))
 
 
 def search(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, top_k: int = 20, top_n: int = 5, filters: dict | None = None) -> DataFrame:
