@@ -31,10 +31,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 WRITTEN: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor. options: the writer's."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
