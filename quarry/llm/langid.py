@@ -19,7 +19,6 @@ same name; rows without an id are labelled, not learnt from.
 
 from __future__ import annotations
 
-import functools
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -44,10 +43,15 @@ UNSPACED = ["THAI", "LAO", "TIBETAN", "MYANMAR", "KHMER", "HIRAGANA", "KATAKANA"
 GAP, MARK, SHARED, FIRST = 0, 1, 2, 3
 
 
-@functools.cache
+#: What `kinds` has worked out: a plain dictionary, since functions travel by value with the globals that they read.
+KNOWN: dict[str, np.ndarray] = {}
+
+
 def kinds() -> np.ndarray:
     """The kind of every code point: ranges of the scripts, from the names of letters."""
-    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    if "kinds" in KNOWN:
+        return KNOWN["kinds"]
+    out = KNOWN["kinds"] = np.zeros(sys.maxunicode + 1, np.uint8)
     number = {name: i + FIRST for i, name in enumerate(SCRIPTS)}
     for c in range(sys.maxunicode + 1):
         category = unicodedata.category(chr(c))
@@ -171,7 +175,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) ->
         return label
     active = np.searchsorted(-size, -np.arange(longest), side="left")  # texts with more than t words
     few = int(max(1, np.searchsorted(-active, -FEW, side="left")))  # from this word on at most FEW texts are left
-    best_of, stay = np.zeros(len(scores), np.int8), np.ones(scores.shape, bool)
+    best_of, stay = np.zeros(len(scores), np.int16), np.ones(scores.shape, bool)
     v, now = scores[start[: active[0]]].copy(), np.zeros(len(size), np.int64)
     cost = np.float32(penalty)
     for t in range(1, min(few, longest)):
@@ -260,6 +264,7 @@ def char_spans(text: str | None, model: dict) -> list[dict]:
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG, alpha: float = 0.5, least_share: float = 0.01, most_langs: int = MOST_LANGS) -> dict:
     """The model from docs (doc_id, text, lang). A row of counts for each of at most most_langs languages goes to the driver."""
+    kinds()  # once here, not in every task
     ours = docs.select("doc_id", "text", "lang").filter((fold() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = ours.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"), F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(most_langs).collect()
     if not sizes:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 #: Fixed values: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -182,8 +182,8 @@ def with_verdicts(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, de
             yield pd.DataFrame([known[x] for x in pairs], columns=["rule", "verdict"], dtype=object)
 
     judged = judge.asNondeterministic()(F.substring_index("host", ".", -max(labels, 1)), F.substring("path", 1, longest))
-    out = split.withColumn("__judged", judged)
-    return out.select("*", "__judged.rule", "__judged.verdict").drop("__judged")
+    own = unused(split, "__judged")
+    return split.withColumn(own, judged).select("*", f"{own}.rule", f"{own}.verdict").drop(own)
 
 
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:

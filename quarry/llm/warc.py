@@ -41,6 +41,8 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: Of these, those without which a record can't be converted; the length is the last of a line.
+NEEDED = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 RECORD = "archive string, version int, kind string, record_id string, url string, ip string, ts string, mime string, key long, head binary, payload binary, payload_bytes long, digest string, sha1 string"
@@ -113,15 +115,18 @@ def arc_records(data: bytes) -> Iterator[tuple[int, dict, bytes]]:
         own = (ARC_FIELDS[2] if line.count(" ") >= 9 else ARC_FIELDS[1]).split() if opening else names
         parts = line.rsplit(" ", len(own) - 1)
         fields = dict(zip(own, parts, strict=False))
-        if len(parts) != len(own) or not fields.get("Archive-length", "").isdigit():
+        n = whole(fields.get("Archive-length", "").encode())
+        if len(parts) != len(own) or n is None or n < 0:
             raise ValueError(f"ARC header line at byte {at} is malformed")
-        n = int(fields["Archive-length"])
         body = data[end + 1 : end + 1 + n]
         if len(body) < n:
             raise ValueError(f"ARC record at byte {at} declares {n} bytes, {len(body)} are left")
         if opening:
             lines = body.decode("utf-8", "replace").splitlines()
-            version, names = int(lines[0].split()[0]), lines[1].split() or names
+            told = re.match(r"\s*(\d{1,9})(\s|$)", lines[0]) if lines else None
+            if not told or len(lines) < 2 or not set(NEEDED) <= set(lines[1].split()) or lines[1].split()[-1] != NEEDED[-1]:
+                raise ValueError(f"ARC version block at byte {at} names no version, or not the fields of its records")
+            version, names = int(told[1]), lines[1].split()
         yield version, fields, body
         at = end + 1 + n
 
@@ -143,6 +148,15 @@ def header(head: bytes, name: bytes) -> bytes | None:
     return m[1].strip() if m else None
 
 
+def sha1_of(value: bytes | None) -> str | None:
+    """A labelled digest in base 32 as hexadecimal digits; null where it is none."""
+    label, _, digits = (value or b"").partition(b":")
+    try:
+        return base64.b32decode(digits, casefold=True).hex() if label.lower() == b"sha1" and len(digits) == 32 else None
+    except ValueError:
+        return None
+
+
 def whole(value: bytes | None) -> int | None:
     return int(value) if value and re.fullmatch(rb"-?\d{1,18}", value) else None
 
@@ -242,7 +256,9 @@ def warc_records(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         if not data.startswith(b"WARC/", at) or end < 0:
             raise ValueError(f"no WARC record at byte {at}")
         head = data[at : end + 2]
-        n = int(header(head, b"Content-Length") or 0)
+        n = whole(header(head, b"Content-Length"))
+        if n is None or n < 0:
+            raise ValueError(f"WARC record at byte {at} declares no length")
         block = data[end + 4 : end + 4 + n]
         if len(block) < n:
             raise ValueError(f"WARC record at byte {at} declares {n} bytes, {len(block)} are left")
@@ -261,9 +277,9 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     for head, block in warc_records(unpacked(content)):
                         kind = told(header(head, b"WARC-Type"))
                         http, payload = split_http(block)
-                        said = base64.b32decode((header(head, b"WARC-Payload-Digest") or b"sha1:").split(b":")[1]).hex()
+                        said = sha1_of(header(head, b"WARC-Payload-Digest"))
                         if kind == "revisit":
-                            n, digest, intact = whole(header(head, f"{KEY}-Payload-Length".encode())), said, True
+                            n, digest, intact = whole(header(head, f"{KEY}-Payload-Length".encode())), said, said is not None
                         else:
                             n, digest = len(payload), hashlib.sha1(payload).hexdigest()
                             intact = digest == said

@@ -27,7 +27,11 @@ DOCS = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, h long, target double, fp long, language string, anchor long"
 
 
-def write(spark, folder, docs, labels, bench, pages, turns):
+VECTORS = [(i, [((i * 37 + j * 11) % 41 - 20) / 64 for j in range(64)], i % 3) for i in range(220)]
+VECTORS += [(100, VECTORS[100][1], 1), (300, None, 1), (301, [], 1), (302, [1.0], 1), (303, [None] * 64, 1), (304, [float("nan")] * 64, 1), (None, VECTORS[3][1], 0), (305, VECTORS[5][1], None), (200, VECTORS[200][1], 2)]
+
+
+def write(spark, folder, docs, labels, bench, pages, turns, vectors=()):
     rows = [(*d, len(d[1] or ""), 0.5, 1, 2, 3.0, 4, "clash", 5) for d in docs]
     put = lambda name, data, schema: spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
     put("documents", rows, SCHEMA)
@@ -35,6 +39,7 @@ def write(spark, folder, docs, labels, bench, pages, turns):
     put("benchmark", bench, "item_id long, text string, doc_id long")
     put("pages", pages, "page_id long, url string, html string, host string, digest string")
     put("conversations", turns, "conv_id long, turn long, role string, text string, part long")
+    put("embeddings", [(*v, 0, 0.0) for v in vectors], "vec_id long, embedding array<float>, label int, cluster int, score double")
     return f"file://{folder}"
 
 
@@ -46,7 +51,7 @@ def edges(spark, tmp_path_factory):
     turns += [(8, i, "user", f"turn {i}") for i in range(600)] + [(9, i, "user", f"turn {i}") for i in range(300)] + [(None, 0, "user", "unnumbered")]
     labels = [(d, q, 0, 0.0) for d, q in ((2, 0), (4, 1), (5, 0), (6, 1), (7, 1), (8, 1), (9, 1), (10, 0), (13, 1), (14, 0), (None, 1), (6, None))]
     bench = [(0, NOTE, 1), (1, None, 1), (2, "", 1), (3, "short note", 1), (10, NOTE.upper(), 1), (None, NOTE, 1)]
-    return write(spark, tmp_path_factory.mktemp("edges"), DOCS, labels, bench, [(*p,) for p in pages], [(*t, 0) for t in turns])
+    return write(spark, tmp_path_factory.mktemp("edges"), DOCS, labels, bench, [(*p,) for p in pages], [(*t, 0) for t in turns], VECTORS)
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +68,7 @@ def test_pipeline_on_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op5_mixing", "op6_chat", "op9_urlfilter", "op10_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_warc", "op5_mixing", "op6_chat", "op9_urlfilter", "op10_decontaminate", "op11_hardneg", "op12_clustering", "op13_substrings"])
 def test_against_sql(spark, edges, name):
     same(queries.QUERIES[name](spark, edges), queries.ORACLE_SQL[name], edges.removeprefix("file://"))
 

@@ -98,3 +98,11 @@ def test_repeated_rows_count_once(spark):
     once, often = (L.learn(spark.createDataFrame(x, schema)) for x in (rows, rows * 5 + [rows[4]] * 200))
     assert once["langs"] == often["langs"] == ["de", "en"] and np.array_equal(once["table"], often["table"])
     assert L.learn(spark.createDataFrame(rows, schema), most_langs=1)["langs"] in (["de"], ["en"])
+
+
+def test_more_languages_than_a_byte_counts():
+    """A path over 200 languages that switches away from one with a number over 127."""
+    scores = np.full((9, 200), -5.0, np.float32)
+    scores[:4, 150], scores[4:, 180] = 30, 30
+    label = L.viterbi(np.concatenate([scores, scores]), np.array([0, 9, 18]))
+    assert label.tolist() == ([150] * 4 + [180] * 5) * 2

@@ -38,3 +38,9 @@ def test_many_rules_against_a_plain_scan(spark):
 def test_no_rules(spark):
     urls = spark.createDataFrame([(1, "http://a.com/x"), (2, None)], "page_id long, url string")
     assert [(r.rule, r.verdict) for r in U.with_verdicts(urls, [], "other").collect()] == [(None, "other")] * 2
+
+
+def test_own_columns_of_any_name_stay(spark):
+    own = spark.createDataFrame([(1, "http://a.net/es/", "mine", "its")], "page_id long, url string, __judged string, ___judged string")
+    row = U.with_verdicts(own).first()
+    assert (row["__judged"], row["___judged"], row.rule, row.verdict) == ("mine", "its", "net/es/", "block")
