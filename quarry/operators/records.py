@@ -11,6 +11,13 @@ from quarry.functions.text import blank_to_null, point_id, pub_date, strip
 EXCLUDED_TYPES = ["Erratum", "Published Erratum", "Retraction of Publication"]
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, or with as many more underscores before it as it takes to be none of columns."""
+    while name.lower() in (c.lower() for c in columns):
+        name = f"_{name}"
+    return name
+
+
 def validity() -> Column:
     """The first rule that a raw record fails, or `valid`: no pmid, an excluded type, a blank title."""
     return (
@@ -47,8 +54,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: tuple[str, ...] =
     replace null keys.
     """
     rows = last(new, key, version).select(old.columns)
-    gone = rows.select(F.col(key).alias("__key"))
-    return old.join(gone, F.col(key).eqNullSafe(F.col("__key")), "left_anti").unionByName(rows)
+    return matching(old, rows, key, "left_anti").unionByName(rows)
+
+
+def matching(old: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """old's rows with (left_semi) or without (left_anti) one of these keys; null is a key like any other."""
+    own = unused(old.columns, "__key")
+    return old.join(keys.select(F.col(key).alias(own)), F.col(key).eqNullSafe(F.col(own)), how)
 
 
 def lookup(rows: DataFrame, papers: DataFrame, key: str, columns: list[str], version: tuple[str, ...] = ()) -> DataFrame:
@@ -61,8 +73,9 @@ def lookup(rows: DataFrame, papers: DataFrame, key: str, columns: list[str], ver
 def backfill(rows: DataFrame, newer: DataFrame, key: str, column: str, version: tuple[str, ...] = ()) -> DataFrame:
     """rows with `column` from the last row of newer that has the key and a value, else as it was; a blank key takes nothing."""
     known = newer.filter(F.col(column).isNotNull() & (strip(F.col(key).cast("string")) != ""))
-    got = last(known.select(key, *dict.fromkeys([column, *version])), key, version).select(key, F.col(column).alias("__new"))
-    return rows.join(got, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+    own = unused(rows.columns, "__new")
+    got = last(known.select(key, *dict.fromkeys([column, *version])), key, version).select(key, F.col(column).alias(own))
+    return rows.join(got, key, "left").withColumn(column, F.coalesce(own, column)).drop(own)
 
 
 def update_groups(rows: DataFrame, key: str, values: list[str], most: int = 500) -> DataFrame:
@@ -71,12 +84,13 @@ def update_groups(rows: DataFrame, key: str, values: list[str], most: int = 500)
     A key is dealt to a part by a hash, as many parts as the group's size asks for, so no list grows with the table.
     """
     # eqNullSafe on the values, so that rows that set a null are a group too.
-    sizes = rows.groupBy(*values).agg(F.count("*").alias("__n"))
+    own = unused(rows.columns, "__n")
+    sizes = rows.groupBy(*values).agg(F.count("*").alias(own))
     same = None
     for v in values:
         one = F.col(f"r.{v}").eqNullSafe(F.col(f"s.{v}"))
         same = one if same is None else same & one
-    dealt = rows.alias("r").join(sizes.alias("s"), same).select("r.*", F.pmod(F.xxhash64(F.col(f"r.{key}")), F.ceil(F.col("__n") * 2 / most)).alias("part"))
+    dealt = rows.alias("r").join(sizes.alias("s"), same).select("r.*", F.pmod(F.xxhash64(F.col(f"r.{key}")), F.ceil(F.col(own) * 2 / most)).alias("part"))
     lists = dealt.groupBy(*values, "part").agg(F.array_sort(F.collect_set(key)).alias("keys"))
     return lists.select(*values, "part", "keys")
 
@@ -107,5 +121,6 @@ def pending(keys: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def move(status: DataFrame, key: str, moved: DataFrame, to: str) -> DataFrame:
     """status (key, status) with the keys of moved set to `to`."""
-    hit = moved.select(key).distinct().withColumn("__hit", F.lit(True))
-    return status.join(hit, key, "left").withColumn("status", F.when(F.col("__hit"), to).otherwise(F.col("status"))).drop("__hit")
+    own = unused(status.columns, "__hit")
+    hit = moved.select(key).distinct().withColumn(own, F.lit(True))
+    return status.join(hit, key, "left").withColumn("status", F.when(F.col(own), to).otherwise(F.col("status"))).drop(own)

@@ -47,12 +47,13 @@ class Best:
         self.n, self.k = n, k
         self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def add(self, ids: np.ndarray, scores: np.ndarray, candidate: np.ndarray | None = None) -> None:
-        """scores: rows by queries; candidate: which of them count."""
+    def add(self, ids: np.ndarray, scores: np.ndarray, candidate: np.ndarray | None = None, of: np.ndarray | None = None) -> None:
+        """scores: rows by queries (by those of some, where `of` tells which); candidate: which of them count."""
         scores = np.where(np.isnan(scores) if candidate is None else ~candidate, -np.inf, scores)
-        least = np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k] if len(ids) > self.k else np.full(self.n, -np.inf)
+        least = np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k] if len(ids) > self.k else np.full(scores.shape[1], -np.inf)
         row, query = np.nonzero((scores >= least) & (scores > -np.inf))
-        query, ids, score = (np.concatenate(x) for x in ((self.query, query), (self.id, ids[row]), (self.score, scores[row, query])))
+        query, score = query if of is None else of[query], scores[row, query]
+        query, ids, score = (np.concatenate(x) for x in ((self.query, query), (self.id, ids[row]), (self.score, score)))
         order = np.lexsort((ids, -score, query))
         query, ids, score = query[order], ids[order], score[order]
         first = np.searchsorted(query, np.arange(self.n))
