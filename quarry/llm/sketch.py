@@ -19,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, input_bytes, shuffle_partitions, utf8, written
 
 WORDS, SCALE, PIECE, RANGE_BYTES = 5, 2, 4 << 20, 96 << 20
+#: Ranges at most, each a task that sorts and streams its rows; rows of a sample for each; the sample's seed.
+MOST_RANGES, TRIED, SEED = 20_000, 64, 23
 #: All ASCII blanks to one.
 BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 #: Odd multipliers: of byte positions (with its inverse modulo 2 ** 64) and of word positions.
@@ -194,47 +196,56 @@ def at_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")], dtype=object)
 
 
-def numbered(key: Column, prefix: Column, bounds: list[tuple[int, int]], low: int = 0) -> Column:
-    """A row's range, the number of bounds (key, prefix) up to it: a binary search as an expression."""
-    if not bounds:
-        return F.lit(low)
-    m = len(bounds) // 2
-    k, x = bounds[m]
-    before = (key < F.lit(k)) if x <= 0 else (key < F.lit(k)) | ((key == F.lit(k)) & (prefix < F.lit(x)))
-    return F.when(before, numbered(key, prefix, bounds[:m], low)).otherwise(numbered(key, prefix, bounds[m + 1 :], low + m + 1))
+def numberer(bounds: list[tuple[int, int]]):
+    """A Pandas UDF: (key, prefix) to the number of bounds up to it, found in two sorted arrays. Marked as not deterministic only so that Spark runs it once."""
+    keys, prefixes = (np.array([b[i] for b in bounds], np.int64) for i in range(2))
+
+    @F.pandas_udf("int")
+    def part(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for key, prefix in batches:
+            key, prefix = key.to_numpy(np.int64), prefix.to_numpy(np.int64)
+            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            # Few rows have the id of a bound, but for ids that fill several ranges.
+            for k in np.unique(key[low < high]):
+                own = key == k
+                a, b = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+                low[own] = a + np.searchsorted(prefixes[a:b], prefix[own], "right")
+            yield pd.Series(low.astype(np.int32))
+
+    return part.asNondeterministic()
 
 
 def ranges(rows: DataFrame, n: int) -> list[tuple[int, int]]:
-    """Bounds (key, prefix) of about n ranges of rows (key, prefix) of equal numbers of rows. An id that fills more than one is cut by its texts' first bytes."""
-    quantiles = lambda m: F.lit([i / m for i in range(1, m)])
-    found = (rows.agg(F.percentile_approx("key", quantiles(n), max(10_000, 20 * n))).first()[0] or []) if n > 1 else []
-    times = Counter(found)
-    hot = [k for k, m in times.items() if m > 1]
-    bounds = {(k, 0) for k in times}
-    if hot:
-        cuts = rows.filter(F.col("key").isin(hot)).groupBy("key").agg(F.percentile_approx("prefix", quantiles(max(times.values()) + 1), 10_000).alias("cuts"))
-        for r in cuts.collect():  # as many rows as ids with over a range's share of all rows: fewer than n
-            step = max(1, len(r.cuts) // times[r.key])
-            bounds |= {(r.key, x) for x in r.cuts[step - 1 :: step]}
-    return sorted(bounds)
+    """Bounds (key, prefix) of about n ranges of rows (key, prefix) of about equal numbers of rows, from a sample of `TRIED` rows a range.
+
+    A range begins with a whole id, but for an id that fills more than one: that is cut by its texts' first bytes. The bounds are
+    worked out once, so that a recomputation cuts alike, whatever the sample was.
+    """
+    total = rows.count() if n > 1 else 0
+    if not total:
+        return []
+    few = rows.sample(min(1.0, TRIED * n / total), SEED).select("key", "prefix").toArrow()
+    pairs = sorted(zip(few["key"].to_pylist(), few["prefix"].to_pylist(), strict=True))
+    found = [pairs[len(pairs) * i // n] for i in range(1, n)] if pairs else []
+    times = Counter(k for k, _ in found)
+    return sorted({(k, x if times[k] > 1 else 0) for k, x in found} | {(k, 0) for k in times})
 
 
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """docs (doc_id, text): each row's sketches and likenesses (OUT), its edited text made with the next row.
 
     One shuffle by ranges of ids; within a range rows follow each other as a stream. Only the ranges' first and last
-    texts (two for each partition) cross ranges. The ranges' bounds are worked out first, from ids alone (and from the first
-    bytes of the texts of an id that many rows share), so that a recomputation cuts them alike; bounds and ranges' least and
-    greatest ids are all that goes to the driver.
+    texts (two for each partition) cross ranges. The ranges' bounds are worked out first, from a sample of ids and first bytes
+    of texts; these, and the ranges' least and greatest ids, are all that goes to the driver: some for each of MOST_RANGES.
     """
     spark = docs.sparkSession
-    n = partitions or max(shuffle_partitions(spark), input_bytes(docs) // RANGE_BYTES)
+    n = partitions or min(MOST_RANGES, max(shuffle_partitions(spark), input_bytes(docs) // RANGE_BYTES))
     least = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", least))
     # The first six bytes as a number that orders as they do.
     prefix = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
     bounds = ranges(rows.withColumn("prefix", prefix), n)
-    rows = rows.withColumn("part", numbered(F.col("key"), prefix, bounds))
+    rows = rows.withColumn("part", numberer(bounds)(F.col("key"), prefix) if bounds else F.lit(0))
     ends = sorted((r.part, r.low, r.high) for r in rows.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect())
     ranged = rows.select("part", "doc_id", "text").repartitionByRange(max(n, len(bounds) + 1), "part").sortWithinPartitions("part", "doc_id", "text")
     done = ranged.mapInPandas(in_order, OUT)

@@ -1,6 +1,8 @@
 """Sketches of short texts still tell how alike they are."""
 
+import bisect
 import random
+import time
 
 import pytest
 
@@ -73,5 +75,16 @@ def test_an_id_that_many_rows_share_is_cut(spark):
     assert sorted(str((r.doc_id, r.n_chars, bytes(r.edited_sketch).hex())) for r in sketch.with_next(frame, 12).collect()) == want
     keyed = frame.selectExpr("coalesce(doc_id, -9223372036854775808L) AS key", "cast(conv(rpad(hex(substring(encode(text, 'utf-8'), 1, 6)), 12, '0'), 16, 10) AS long) AS prefix")
     bounds = sketch.ranges(keyed, 12)
-    sizes = [r["count"] for r in keyed.withColumn("part", sketch.numbered(keyed.key, keyed.prefix, bounds)).groupBy("part").count().collect()]
+    sizes = [r["count"] for r in keyed.withColumn("part", sketch.numberer(bounds)(keyed.key, keyed.prefix)).groupBy("part").count().collect()]
     assert len(bounds) >= 9 and max(sizes) < 250
+
+
+def test_very_many_ranges(spark):
+    """20,000 ranges: numbered as by a binary search over pairs, with a plan of a line."""
+    rng = random.Random(15)
+    bounds = sorted({(rng.randrange(-(10**6), 10**6), 0) for _ in range(16_000)} | {(77, rng.randrange(1 << 48)) for _ in range(4000)} | {(77, 0)})
+    rows = [(rng.choice([77, rng.randrange(-(10**6), 10**6), rng.choice(bounds)[0]]), rng.randrange(1 << 48)) for _ in range(5000)]
+    start = time.time()
+    numbered = spark.createDataFrame(rows, "key long, prefix long").withColumn("part", sketch.numberer(bounds)("key", "prefix"))
+    assert "CASE" not in numbered._jdf.queryExecution().executedPlan().toString() and time.time() - start < 5
+    assert all(r.part == bisect.bisect_right(bounds, (r.key, r.prefix)) for r in numbered.collect())
