@@ -2,10 +2,12 @@
 
 A text is lower-cased (A-Z) and cut into words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; joined by single blanks they are what
 is searched. Base phrases count at every place where their words stand consecutively. A notice is a phrase, its label, the
-most edits k, the words that must stand as they are (those that tell it from other notices, and all numbers), and what may
-not follow it. The phrase is split into k + 1 pieces; by the pigeonhole principle one of them occurs unchanged in any match,
-so exact search for the pieces finds every candidate window, and the regex library's bounded-error matching of what lies
-between the fixed words then verifies the edits and gives the span. A match starts and ends at whole words. Of matches that
+most edits k, its telling words (those that tell it from other notices), and what may not follow it. The phrase is split into
+k + 1 pieces; by the pigeonhole principle one of them occurs unchanged in any match, so exact search for the pieces finds
+every candidate window, and the regex library's bounded-error matching then verifies the edits and gives the span. Numbers
+stand as they are. A telling word must be matched by one whole word with errors of its own: two neighbouring letters that
+are exchanged (two edits), or one edit, from nine letters on two; a word of up to three letters takes no letter more at its ends,
+so `smit` is not `mit`. What lies between may have any of the k edits. A match starts and ends at whole words. Of matches that
 overlap the longer notice's stays, of one notice's the one with fewer edits. Nothing caps the number of candidates.
 
 Notices are a table and a parameter of `with_notices` and `Scanner`; `notices_of` reads one from a DataFrame.
@@ -75,16 +77,33 @@ def pieces(phrase: str, k: int) -> list[tuple[int, bytes]]:
     return [(a, phrase[a:b].encode()) for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def exchanged(word: str) -> list[str]:
+    """The word with two neighbouring letters exchanged, in all ways that change it."""
+    return sorted({word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word})
+
+
+def telling(word: str, number: int) -> str:
+    """A pattern for a telling word: one whole word with the errors that it may have. What the library can't count has a group whose name tells its edits."""
+    if word.isdigit():
+        return f"(?<= ){word}(?= )"
+    swaps = "|".join(map(regex.escape, exchanged(word)))
+    # Kinds of edits that aren't named may not occur, once one is.
+    errors = "s<=1,d<=1,e<=1" if len(word) < 4 else "e<=2" if len(word) >= 9 else "e<=1"
+    ways = [f"(?:{regex.escape(word)}){{{errors}:[^ ]}}"]
+    if len(word) < 4:
+        ways.append(f"(?P<one{number}>{'|'.join(f'{regex.escape(word[:i])}[^ ]{regex.escape(word[i:])}' for i in range(1, len(word)))})")
+    return f"(?<= )(?:{'|'.join(ways + ([f'(?P<two{number}>{swaps})'] if swaps else []))})(?= )"
+
+
 def pattern_of(n: Notice) -> regex.Pattern:
-    """The phrase with its fixed words and numbers as they are, and up to `edits` errors in each stretch between them."""
+    """The phrase with its numbers as they are, its telling words with errors of their own, and up to `edits` errors in each stretch between them."""
     words = n.phrase.split(" ")
-    stands = [w in n.fixed or w.isdigit() for w in words]
     parts, held = [], ""
     fuzzy = lambda x: f"(?:{regex.escape(x, literal_spaces=True)}){{e<={n.edits}}}" if x.strip() else x
     for i, word in enumerate(words):
         held += " " if i else ""
-        if stands[i]:
-            parts += [fuzzy(held), f"(?<= ){regex.escape(word)}(?= )"]
+        if word in n.fixed or word.isdigit():
+            parts += [fuzzy(held), telling(word, i)]
             held = ""
         else:
             held += word
@@ -92,6 +111,10 @@ def pattern_of(n: Notice) -> regex.Pattern:
     return regex.compile(text.encode())
 
 
+def edits_of(m: regex.Match) -> int:
+    return sum(m.fuzzy_counts) + sum({"one": 1, "two": 2}[name[:3]] for name, g in m.groupdict().items() if g is not None)
+
+
 class Scanner:
     def __init__(self, base: dict[str, str] = BASE, notices: list[Notice] = NOTICES):
         self.base = [(f" {p} ".encode(), label) for p, label in base.items()]
@@ -105,11 +128,11 @@ class Scanner:
             if len(self.known) >= KNOWN:
                 self.known.clear()
             m = pattern.search(window)
-            ok = m and sum(m.fuzzy_counts) <= notice.edits
+            ok = m and edits_of(m) <= notice.edits
             # What may not follow is looked for after the best match: within the pattern, a worse match would reach over it.
             if ok and notice.unless and regex.match(f" (?:{notice.unless})".encode(), window, pos=m.end()):
                 ok = False
-            self.known[pattern, window] = (sum(m.fuzzy_counts), m.start(), m.end()) if ok else None
+            self.known[pattern, window] = (edits_of(m), m.start(), m.end()) if ok else None
         return self.known[pattern, window]
 
     @staticmethod
@@ -131,7 +154,7 @@ class Scanner:
     def matches_of(self, text: bytes, notice: Notice, parts: list[tuple[int, bytes]], pattern: regex.Pattern) -> list[tuple[int, int, int]]:
         """(edits, start byte, end byte) of one notice's matches, by start; of overlapping ones the better."""
         k, kept = notice.edits, []
-        if not all(w.encode() in text for w in notice.fixed):
+        if not all(w.encode() in text for w in notice.fixed if w.isdigit()):
             return kept
         # Each candidate has a window of its own: a best match over merged windows takes the square of their length.
         windows = set()
