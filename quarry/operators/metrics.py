@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,10 +16,39 @@ def ir_metrics(runs: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
     """
     positive = qrels.filter("rel > 0")
     ideal_rank = F.row_number().over(W.partitionBy("qid").orderBy(F.col("rel").desc(), "id"))
-    gain = lambda rel, rank: F.col(rel) / F.log2(F.col(rank) + 1)
     ideal = positive.withColumn("i", ideal_rank).groupBy("qid").agg(F.sum(F.when(F.col("i") <= k, gain("rel", "i")).otherwise(0.0)).alias("idcg"), F.count("*").alias("n"))
-    ranked = runs.withColumn("i", F.row_number().over(W.partitionBy("strategy", "qid").orderBy(F.col("score").desc(), "id")))
-    judged = ranked.join(positive, ["qid", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    return means(in_order(runs).join(positive, ["qid", "id"], "left"), ideal, k)
+
+
+def ir_metrics_by_class(runs: DataFrame, queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
+    """`ir_metrics` where a row's grade for a query is its own if their classes are equal, else 0; without the pairs.
+
+    queries (qid, class), rows (id, class, rel). Hits look their rows up; how many positives a query has, and its ideal gain,
+    follow from the number of rows of each class and grade. So the work is that of hits and rows, not of queries x rows.
+    """
+    positive = rows.filter("rel > 0 AND class IS NOT NULL")
+    asked = queries.filter("class IS NOT NULL")
+    counts = positive.groupBy("class", "rel").agg(F.count("*").alias("m"))
+    # A class has as many rows here as there are grades. Places last - m + 1 to last of the ideal ranking have this grade.
+    placed = counts.withColumn("last", F.sum("m").over(W.partitionBy("class").orderBy(F.col("rel").desc())))
+    upto = F.array(F.lit(0.0), *[F.lit(sum(1 / math.log2(i + 1) for i in range(1, m + 1))) for m in range(1, k + 1)])
+    weight = lambda place: F.element_at(upto, F.least(place, F.lit(k)).cast("int") + 1)
+    of_class = placed.groupBy("class").agg(F.sum(F.col("rel") * (weight(F.col("last")) - weight(F.col("last") - F.col("m")))).alias("idcg"), F.sum("m").alias("n"))
+    hits = in_order(runs).join(asked, "qid", "left").join(positive.withColumnRenamed("class", "own"), "id", "left")
+    return means(hits.withColumn("rel", F.when(F.col("own") == F.col("class"), F.col("rel"))), asked.join(of_class, "class").select("qid", "idcg", "n"), k)
+
+
+def gain(rel: str, rank: str) -> Column:
+    return F.col(rel) / F.log2(F.col(rank) + 1)
+
+
+def in_order(runs: DataFrame) -> DataFrame:
+    return runs.withColumn("i", F.row_number().over(W.partitionBy("strategy", "qid").orderBy(F.col("score").desc(), "id")))
+
+
+def means(hits: DataFrame, ideal: DataFrame, k: int) -> DataFrame:
+    """Of hits (strategy, qid, i, rel or null) and ideal (qid, idcg, n): the means over ideal's queries."""
+    judged = hits.withColumn("rel", F.coalesce("rel", F.lit(0)))
     hit, top = F.col("rel") > 0, F.col("i") <= k
     per = judged.groupBy("strategy", "qid").agg(
         F.sum(F.when(top, gain("rel", "i")).otherwise(0.0)).alias("dcg"),

@@ -72,12 +72,14 @@ def runs(spark: SparkSession, d: str, q: DataFrame | None = None) -> DataFrame:
     return written(out, "runs")
 
 
-def qrels(spark: SparkSession, d: str) -> DataFrame:
-    """Grades: 2 for the query's label and quality 1, 1 for the query's label alone; a known label beats a judged grade."""
-    q, v = query_set(spark, d).select("qid", "qlabel"), vectors(spark, d).select("id", "label")
+def graded(spark: SparkSession, d: str) -> DataFrame:
+    """(id, class, rel) of every vector: what it is worth to queries of its label, 2 for quality 1, else 1; a known label beats a judged grade."""
     good = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"), F.lit(2).alias("known"))
-    same = v.join(q, F.col("label") == F.col("qlabel"))
-    return same.join(good, "id", "left").select("qid", "id", F.coalesce("known", F.lit(1)).alias("rel"))
+    return vectors(spark, d).select("id", F.col("label").alias("class")).join(good, "id", "left").select("id", "class", F.coalesce("known", F.lit(1)).alias("rel"))
+
+
+def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return M.ir_metrics_by_class(runs(spark, d), query_set(spark, d).select("qid", F.col("qlabel").alias("class")), graded(spark, d))
 
 
 def sets(spark: SparkSession, d: str) -> DataFrame:
@@ -203,8 +205,8 @@ QUERIES = {
     "ablation_jaccard": ablation_jaccard,
     "rerank_churn": rerank_churn,
     "pooled_hits": pooled_hits,
-    "ir_metrics": lambda s, d: M.ir_metrics(runs(s, d), qrels(s, d)),
-    "metric_advice": lambda s, d: M.advice(M.ir_metrics(runs(s, d), qrels(s, d))),
+    "ir_metrics": ir_metrics,
+    "metric_advice": lambda s, d: M.advice(ir_metrics(s, d)),
     "result_diversity": result_diversity,
     "health_warnings": health,
     "health_run": health_run,

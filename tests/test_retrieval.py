@@ -62,3 +62,19 @@ def test_metrics_count_queries_without_hits(spark):
     got = {r.strategy: (r.ndcg, r.recall, r.precision, r.mrr) for r in metrics.ir_metrics(runs, qrels).collect()}
     assert got == {"A": (0.5, 0.5, 0.1, 0.5), "B": (0.0, 0.0, 0.0, 0.0)}
     assert metrics.ir_metrics(runs, qrels.limit(0)).count() == 0
+
+
+def test_metrics_by_class_are_those_of_all_pairs(spark):
+    """Grades by class without the pairs, against the pairs: grades of 0 to 3, classes without rows, repeated rows, null classes."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(80), rng.choice([None, 0, 1, 2, 7]), rng.randrange(4)) for _ in range(90)]
+    asked = [(q, rng.choice([None, 0, 1, 2, 9])) for q in range(30)]
+    hits = [(s, q, i, rng.randrange(6) / 4) for s in "AB" for q in range(30) if rng.random() < 0.8 for i in rng.sample(range(100), rng.randrange(1, 9))]
+    r = spark.createDataFrame(rows, "id long, class int, rel int").dropDuplicates(["id"])
+    q = spark.createDataFrame(asked, "qid long, class int")
+    runs = spark.createDataFrame(hits, "strategy string, qid long, id long, score double")
+    want = metrics.ir_metrics(runs, q.join(r, "class").select("qid", "id", "rel"))
+    for k in (5, 2):
+        want = metrics.ir_metrics(runs, q.join(r, "class").select("qid", "id", "rel"), k)
+        got = metrics.ir_metrics_by_class(runs, q, r, k)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
