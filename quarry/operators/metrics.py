@@ -70,15 +70,46 @@ def advice(metrics: DataFrame) -> DataFrame:
     return d.select("*", (F.col("hybrid_gain") > 0.05).alias("hybrid_helps"), (F.col("rerank_gain") > 0.03).alias("rerank_helps"), (F.col("recall") < 0.4).alias("recall_low"))
 
 
-def by_index(rows: DataFrame, column: str, points: dict[str, tuple[int, int]]) -> DataFrame:
-    """Percentiles by index of the sorted values, without interpolation: element n * a // b, counted from 0.
+#: Values of a range that are sorted at last; cuts of a range in a round.
+REST, CUTS = 10_000, 64
 
-    The value at a place is found from counts of distinct values, so no list of all values is made.
+
+def by_index(rows: DataFrame, column: str, points: dict[str, tuple[int, int]], rest: int = REST) -> DataFrame:
+    """Percentiles by index of the sorted values, without interpolation: element n * a // b, counted from 0. Nulls are no values.
+
+    Distributed selection: a range that holds the element is cut at approximate quantiles of its values, the exact counts up to
+    each cut tell which part holds it, and so on until at most `rest` different values are left, which are counted. Tasks send
+    counts and small sketches, so no task sees all values, however many differ. One row; of no values, nulls.
     """
-    counts = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    upto = counts.withColumns({"last": F.sum("c").over(W.orderBy("v")), "n": F.sum("c").over(W.partitionBy())})
-    at = lambda a, b: F.min(F.when(F.col("last") > F.floor(F.col("n") * a / b), F.col("v")))
-    return upto.agg(*[at(a, b).alias(name) for name, (a, b) in points.items()])
+    v = F.col(column)
+    values = rows.filter(v.isNotNull()).select(v.alias("v"))
+    n = values.count()
+    found = {name: selected(values, n * a // b, rest) if n else None for name, (a, b) in points.items()}
+    kind = rows.schema[column].dataType.simpleString()
+    return rows.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"`{name}` {kind}" for name in found))
+
+
+def selected(values: DataFrame, rank: int, rest: int = REST) -> object:
+    """The element of this rank, from 0, of the sorted values (v)."""
+    low = high = None  # low < element <= high
+    while True:
+        inside = values
+        inside = inside if low is None else inside.filter(F.col("v") > F.lit(low))
+        inside = inside if high is None else inside.filter(F.col("v") <= F.lit(high))
+        counts = inside.groupBy("v").agg(F.count("*").alias("c")).limit(rest + 1).collect()
+        if len(counts) <= rest:
+            skip = 0 if low is None else values.filter(F.col("v") <= F.lit(low)).count()
+            for v, c in sorted(map(tuple, counts)):
+                skip += c
+                if skip > rank:
+                    return v
+        cuts = inside.agg(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 10 * CUTS).alias("q"), F.max("v").alias("top")).first()
+        edges = sorted({*cuts.q, cuts.top})
+        # Cuts are values of the range; if all are its greatest, the one before it is one too.
+        edges = edges if len(edges) > 1 else [inside.filter(F.col("v") < F.lit(cuts.top)).agg(F.max("v")).first()[0], cuts.top]
+        upto = values.agg(*[F.count(F.when(F.col("v") <= F.lit(e), 1)).alias(str(i)) for i, e in enumerate(edges)]).first()
+        at = next(i for i in range(len(edges)) if upto[i] > rank)
+        low, high = edges[at - 1] if at else low, edges[at]
 
 
 def paper_status(paragraphs: Column, garbage: Column) -> Column:

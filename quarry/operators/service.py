@@ -2,75 +2,90 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime
 import json
 import logging
-import zlib
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from quarry.operators.agent import Agent
-from quarry.operators.records import latest
+from quarry.sources.keyed import KeyedTable, Taken
 
 log = logging.getLogger(__name__)
 
-SESSION = "session_id string, summary string, history string, retrieved_chunks string, version long, updated_at timestamp, bucket int"
-BUCKETS = 256
+SESSION = "session_id string, summary string, history string, retrieved_chunks string, version long, updated_at timestamp"
+BUCKETS, VERSIONS = 256, 20
 #: How a model says that there is nothing to sum up.
 NOTHING = ("无", "无。", "无.")
 
 
-def bucket_of(key: str) -> int:
-    return zlib.crc32(key.encode("utf-8", "surrogatepass")) % BUCKETS
-
-
 class Sessions:
-    """Sessions as an append-only Parquet log in folders by a hash of the id; the latest version of an id is the session.
+    """Sessions as a versioned keyed table: a lookup reads one bucket, and a write rewrites one.
 
-    A lookup reads one folder of BUCKETS. Saving and loading are best effort: a failure is told, and the turn goes on.
+    Of two writers of a session at once, the second builds on what the first has left (`change`), so no turn is lost. Saving and
+    loading are best effort: a failure is told, and the turn goes on.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.table = spark, KeyedTable(spark, path)
 
     def rows(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema(SESSION).parquet(self.path)
-        except AnalysisException:
+            return self.table.read()
+        except ValueError:
             return None
 
     def load(self, session_id: str) -> dict | None:
-        key, rows = (session_id or "").strip(), self.rows()
-        if not key or rows is None:
-            return None
-        last = rows.filter((F.col("bucket") == bucket_of(key)) & (F.col("session_id") == key)).orderBy(F.col("version").desc()).limit(1).collect()
-        if not last:
+        key = (session_id or "").strip()
+        if not key or not self.table.versions():
             return None
-        listed = lambda x: y if isinstance(y := parsed(x), list) else []
-        return {"summary": last[0].summary or "", "history": listed(last[0].history), "retrieved_chunks": listed(last[0].retrieved_chunks), "version": last[0].version, "updated_at": last[0].updated_at}
+        found = self.table.lookup([key]).collect()
+        return session_of(found[0]) if found else None
 
-    def save(self, session_id: str, summary: str, history: list, chunks: list) -> bool:
-        """Whether it was saved; a blank id is no session."""
+    def change(self, session_id: str, update: Callable[[dict | None], dict]) -> bool:
+        """Puts update(the session as it is, or None) in its place, as one step; whether it was saved. update may be called again. A blank id is no session."""
         key = (session_id or "").strip()
         if not key:
             return False
+
+        def merged(old: DataFrame, names: list[str], column: str) -> DataFrame:
+            found = old.filter(F.col(column) == key).collect()
+            now = session_of(found[0]) if found else None
+            new = update(now)
+            lists = [json.dumps(x if isinstance(x, list) else [], ensure_ascii=False) for x in (new["history"], new["retrieved_chunks"])]
+            row = (key, new["summary"] or "", *lists, (now["version"] or 0) + 1 if now else 1, datetime.datetime.now(datetime.UTC))
+            return old.filter(~F.col(column).eqNullSafe(F.lit(key))).unionByName(self.spark.createDataFrame([row], SESSION))
+
         try:
-            version = ((self.load(key) or {}).get("version") or 0) + 1
-            row = (key, summary or "", json.dumps(history or [], ensure_ascii=False), json.dumps(chunks if isinstance(chunks, list) else [], ensure_ascii=False), version, None, bucket_of(key))
-            frame = self.spark.createDataFrame([row], SESSION).withColumn("updated_at", F.current_timestamp())
-            frame.coalesce(1).write.partitionBy("bucket").mode("append").parquet(self.path)
+            if not self.table.versions():
+                with contextlib.suppress(Taken):
+                    self.table.create(self.spark.createDataFrame([], SESSION), "session_id", BUCKETS)
+            version = self.table.write(self.spark.createDataFrame([(key,)], "session_id string"), merged)
+            if version % VERSIONS == 0:
+                self.table.expire(VERSIONS)
         except Exception:
             log.warning("session %s was not saved", key, exc_info=True)
             return False
         return True
 
+    def save(self, session_id: str, summary: str, history: list, chunks: list) -> bool:
+        """Whether it was saved, whatever was there before."""
+        return self.change(session_id, lambda now: {"summary": summary, "history": history, "retrieved_chunks": chunks})
+
     def compacted(self, path: str) -> Sessions:
-        """The latest versions alone, under another path: one file a folder instead of one a turn."""
-        rows = self.rows()
+        """The sessions as they are now, under another path, without their earlier versions."""
+        rows, out = self.rows(), Sessions(self.spark, path)
         if rows is not None:
-            latest(rows, "session_id", "version").select([x.split()[0] for x in SESSION.split(", ")]).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
-        return Sessions(self.spark, path)
+            out.table.create(rows, "session_id", BUCKETS).upsert(rows)
+        return out
+
+
+def session_of(row: Row) -> dict:
+    listed = lambda x: y if isinstance(y := parsed(x), list) else []
+    return {"summary": row.summary or "", "history": listed(row.history), "retrieved_chunks": listed(row.retrieved_chunks), "version": row.version, "updated_at": row.updated_at}
 
 
 def parsed(text: str | None) -> object:
@@ -102,8 +117,19 @@ def chat(agent: Agent, sessions: Sessions, user_input: str, session_id: str = "d
     key = (session_id or "").strip() or "default"
     past = sessions.load(key) or {"summary": "", "history": [], "retrieved_chunks": []}
     out = agent.run(user_input, past["history"], past["retrieved_chunks"], past["summary"])
-    summary, recent = summarized(past["summary"], out["messages"], write)
-    sessions.save(key, summary, recent, out["retrieved_chunks"])
+
+    def turned(now: dict | None) -> dict:
+        """The session after this turn. If another turn was saved meanwhile, this one's messages come after that one's."""
+        base = now or {"summary": "", "history": [], "retrieved_chunks": [], "version": None}
+        messages = out["messages"]
+        if base.get("version") != past.get("version"):
+            old = len(past["history"]) if messages[: len(past["history"])] == past["history"] else 0
+            messages = base["history"] + messages[old:]
+        summary, recent = summarized(base["summary"], messages, write)
+        known = [c for c in base["retrieved_chunks"] if c not in out["retrieved_chunks"]] if base.get("version") != past.get("version") else []
+        return {"summary": summary, "history": recent, "retrieved_chunks": known + out["retrieved_chunks"]}
+
+    sessions.change(key, turned)
     return {"answer": out["answer"], "iterations": out["iterations"], "session_id": key}
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -142,6 +143,19 @@ def test_metrics(spark):
     assert (got.m, got.a, got.z) == (order[5], order[1], order[9])
 
 
+@pytest.mark.parametrize("kind", ["different", "few", "skewed", "doubles"])
+def test_percentiles_are_selected_in_rounds(spark, kind):
+    """Ranges that are cut several times: as many values as rows, few values, one value nearly everywhere; nulls are none."""
+    rng = random.Random(3)
+    make = {"different": lambda i: i * 7 % 5003, "few": lambda i: i % 3, "skewed": lambda i: 9 if i % 40 else i, "doubles": lambda i: rng.gauss(0, 1)}[kind]
+    held = [make(i) for i in range(5003)]
+    rows = spark.createDataFrame([(x,) for x in [*held, None, None]], "v double" if kind == "doubles" else "v long").repartition(5)
+    points = {"least": (0, 1), "m": (1, 2), "a": (1, 10), "z": (9, 10), "most": (5002, 5003)}
+    got = metrics.by_index(rows, "v", points, rest=1 if kind in ("few", "skewed") else 50).first()
+    assert [got[name] for name in points] == [sorted(held)[5003 * a // b] for a, b in points.values()]
+    assert list(metrics.by_index(rows.filter("v IS NULL"), "v", points).first()) == [None] * 5
+
+
 def test_labels_and_memory(spark):
     rows = spark.createDataFrame([("a", 1, "x", None), ("a", 2, "y", None), ("a", 3, None, None), ("a", 4, None, "e"), ("b", 1, None, "e")], "k string, pos long, label string, error string")
     got = {r.k: (r.total, r.valid, r.dominant, r.dominant_count) for r in memory.label_summary(rows, "k").collect()}

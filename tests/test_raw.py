@@ -242,6 +242,23 @@ def test_sessions(spark, tmp_path):
     assert service.summarized("old", m, lambda o, t: "无。") == ("", m[1:]) and service.summarized("old", m, lambda o, t: 1 / 0) == ("old", m[1:])
 
 
+def test_turns_at_once_are_all_kept(spark, tmp_path):
+    """Ten threads talk in one session: every turn is in its summary or its last messages, and counts one version."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    class Echo:
+        def run(self, said, history, chunks, summary):
+            return {"answer": said, "iterations": 1, "messages": [*history, {"role": "user", "content": said}], "retrieved_chunks": [*chunks, {"pmcid": said}]}
+
+    s = service.Sessions(spark, f"file://{tmp_path}/s")
+    with ThreadPoolExecutor(10) as pool:
+        list(pool.map(lambda i: service.chat(Echo(), s, f"turn-{i}", "one"), range(10)))
+    got = s.load("one")
+    told = got["summary"] + " ".join(m["content"] for m in got["history"])
+    assert got["version"] == 10 and len(got["history"]) == 3 and all(told.count(f"turn-{i}") == 1 for i in range(10))
+    assert sorted(c["pmcid"] for c in got["retrieved_chunks"]) == [f"turn-{i}" for i in range(10)]
+
+
 def test_service_over_http(spark, talker, tmp_path):
     http = server.served(talker, service.Sessions(spark, f"file://{tmp_path}/s"), {"a": lambda: 1, "b": lambda: 1 / 0}, port=0)
     threading.Thread(target=http.serve_forever, daemon=True).start()
