@@ -33,17 +33,27 @@ ROWS, STEPS, BUCKETS, PLACES = 64, 4, 32, 4
 POSTINGS = "term string, block long, most double, ids array<long>, weights array<double>, bucket int"
 
 
+WEIGHTS = "id long, terms array<string>, weights array<double>"
+
+
 def terms(corpus: DataFrame) -> DataFrame:
-    """(id, term, weight) of texts (id, text): ln(1 + count), as the lexical encoder weighs."""
-    each = corpus.filter("id IS NOT NULL AND text IS NOT NULL").select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
-    return each.groupBy("id", "term").agg(F.log1p(F.count("*").cast("double")).alias("weight"))
+    """WEIGHTS of texts (id, text), ln(1 + count) each, as the lexical encoder weighs; a row's terms are counted where it is read."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [terms_of(t) for t in b.column(1).to_pylist()]
+            weights = [np.log1p(np.fromiter(r.values(), np.float64, len(r))) for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))], ["id", "terms", "weights"])
+
+    return corpus.filter("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long").alias("id"), "text").mapInArrow(counted, WEIGHTS)
 
 
 def stored(vectors: DataFrame, column: str = "sparse") -> DataFrame:
-    """(id, term, weight) of stored sparse vectors (id, struct of indices and values)."""
+    """WEIGHTS of stored sparse vectors (id, struct of indices and values): an index is a term, and one that repeats counts in sum."""
     pairs = F.arrays_zip(F.col(f"{column}.indices").alias("i"), F.col(f"{column}.values").alias("v"))
-    each = vectors.filter(F.col("id").isNotNull()).select("id", F.explode(pairs).alias("p"))
-    return each.select("id", F.col("p.i").cast("string").alias("term"), F.col("p.v").cast("double").alias("weight")).filter("weight > 0").groupBy("id", "term").agg(F.sum("weight").alias("weight"))
+    each = vectors.filter(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.explode(pairs).alias("p")).filter("p.v > 0")
+    summed = each.groupBy("id", F.col("p.i").cast("string").alias("term")).agg(F.sum(F.col("p.v").cast("double")).alias("weight"))
+    return summed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("p")).select("id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
 
 
 def bucket(term: Column, buckets: int) -> Column:
@@ -51,25 +61,51 @@ def bucket(term: Column, buckets: int) -> Column:
 
 
 def build(weights: DataFrame, path: str, rows: int = ROWS, buckets: int = BUCKETS) -> None:
-    """Writes the index of weights (id long, term, weight > 0), one row for each id and term."""
-    held = written(weights.select(F.col("id").cast("long").alias("id"), "term", F.col("weight").cast("double").alias("weight")), "weights")
-    # A row's heaviest term; of equal ones the first.
-    heaviest = F.max(F.struct(F.col("weight"), F.col("term"))).alias("top")
-    each = written(held.groupBy("id").agg(F.floor(F.log2(F.sum("weight")) * STEPS).cast("int").alias("scale"), heaviest).select("id", "scale", F.col("top.term").alias("top")), "each")
-    common = each.groupBy("scale", "top").agg(F.count("*").alias("m")).filter(F.col("m") >= rows).select("scale", "top", F.col("top").alias("common"))
-    kind = written(each.join(common, ["scale", "top"], "left").select("id", "scale", "common"), "kind")
+    """Writes the index of weights (WEIGHTS), one row for each id. Texts aren't shuffled: a row's terms go to its block once, a block's postings to their buckets."""
+    scale = F.floor(F.log2(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)) * STEPS).cast("int")
+    # A row's heaviest term; of equal ones the last by code point.
+    top = F.array_max(F.arrays_zip(F.col("weights").alias("w"), F.col("terms").alias("t")))["t"]
+    held = written(weights.filter(F.size("terms") > 0).select("id", "terms", "weights", scale.alias("scale"), top.alias("top")), "weights", compression="zstd")
+    common = written(held.groupBy("scale", "top").agg(F.count("*").alias("m")).filter(F.col("m") >= rows).select("scale", "top", F.col("top").alias("common")), "common")
+    kind = held.join(common, ["scale", "top"], "left")
     # As many blocks of a kind as its rows ask for; a block's number is a hash, and two that meet are one block.
-    sizes = kind.groupBy("scale", "common").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    sizes = written(kind.groupBy("scale", "common").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts")), "sizes")
     same = (F.col("k.scale") == F.col("s.scale")) & F.col("k.common").eqNullSafe(F.col("s.common"))
     block = F.xxhash64("k.scale", "k.common", F.col("k.common").isNull(), F.pmod(F.xxhash64("k.id"), F.col("s.parts")))
-    placed = written(kind.alias("k").join(sizes.alias("s"), same).select("k.id", block.alias("block")), "placed")
-    entry = F.array_sort(F.collect_list(F.struct("id", "weight")))
-    postings = held.join(placed, "id").groupBy("term", "block").agg(F.max("weight").alias("most"), entry.alias("p")).select(bucket(F.col("term"), buckets).alias("bucket"), "term", "block", "most", F.col("p.id").alias("ids"), F.col("p.weight").alias("weights"))
+    placed = kind.alias("k").join(sizes.alias("s"), same).select(block.alias("block"), "k.id", "k.terms", "k.weights")
+    postings = placed.repartition("block").sortWithinPartitions("block", "id").mapInArrow(posted, "term string, block long, most double, ids array<long>, weights array<double>")
     # Within a bucket's file terms are in order, so the file's statistics tell which of its parts hold a term.
-    postings.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "block").write.option("maxRecordsPerFile", 1 << 20).partitionBy("bucket").parquet(f"{path}/postings")
-    placed.groupBy("block").agg(F.count("*").alias("n")).write.parquet(f"{path}/blocks")
-    facts = held.agg(F.count_distinct("id").alias("rows"), F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
-    facts.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/facts")
+    dealt = postings.withColumn("bucket", bucket(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "block")
+    dealt.write.options(maxRecordsPerFile=1 << 20, compression="zstd").partitionBy("bucket").parquet(f"{path}/postings")
+    kind.alias("k").join(sizes.alias("s"), same).groupBy(block.alias("block")).agg(F.count("*").alias("n")).write.parquet(f"{path}/blocks")
+    there = held.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
+    facts = there.agg(F.count_distinct("term").alias("terms"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("postings"))
+    facts.withColumns({"rows": F.lit(held.count()), "buckets": F.lit(buckets)}).write.parquet(f"{path}/facts")
+
+
+def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, id, terms, weights), block after block, ids rising: a row for each term of each block."""
+    now, own = None, {}
+
+    def flush() -> pa.RecordBatch:
+        most = [max(w) for _, w in own.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([now] * len(own), pa.int64()), pa.array(most, pa.float64()), pa.array([i for i, _ in own.values()], pa.list_(pa.int64())), pa.array([w for _, w in own.values()], pa.list_(pa.float64()))], ["term", "block", "most", "ids", "weights"])
+
+    for b in batches:
+        for block, id_, terms_, weights in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if block != now:
+                if own:
+                    yield flush()
+                now, own = block, {}
+            for t, w in zip(terms_, weights, strict=True):
+                held = own.get(t)
+                if held is None:
+                    own[t] = ([id_], [w])
+                else:
+                    held[0].append(id_)
+                    held[1].append(w)
+    if own:
+        yield flush()
 
 
 class Index:
