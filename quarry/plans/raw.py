@@ -77,9 +77,9 @@ def id_cache(s: SparkSession, d: str) -> DataFrame:
     return tables.cached_ids(s, path, lambda: documents_ids(s, d).limit(0))
 
 
-def metadata_scan(s: SparkSession, d: str) -> DataFrame:
-    """The benchmark as one JSON file for each item, some malformed, read again: the status of each, and the titles of valid ones."""
-    path, i = fresh_path(s, "metadata"), F.col("item_id")
+def benchmark_records(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The benchmark as records, and as malformed JSON (pmcid, json)."""
+    i = F.col("item_id")
     raw = table(s, d, "benchmark").select(
         F.concat(F.lit("B"), i.cast("string")).alias("pmcid"),
         F.when(i % 5 != 0, i.cast("string")).alias("pmid"),
@@ -87,22 +87,53 @@ def metadata_scan(s: SparkSession, d: str) -> DataFrame:
         F.array(F.when(i % 11 == 0, "Erratum").otherwise("Journal Article")).alias("article_types"),
         (i % 7 == 3).alias("bad"),
     )
-    tables.write_metadata(raw.filter("NOT bad").drop("bad"), path)
-    tables.write_keyed(raw.filter("bad").select("pmcid", F.concat(F.lit('{"pmcid": "'), F.col("pmcid")).alias("json")), path, "json")
-    valid, status = tables.scanned(tables.read_metadata(s, path))
+    return raw.filter("NOT bad").drop("bad"), raw.filter("bad").select("pmcid", F.concat(F.lit('{"pmcid": "'), F.col("pmcid")).alias("json"))
+
+
+def statuses(found: tuple[DataFrame, DataFrame]) -> DataFrame:
+    valid, status = found
     return status.join(valid.select("pmcid", "title"), "pmcid", "left")
 
 
-def markup_scan(s: SparkSession, d: str) -> DataFrame:
-    """The benchmark as one markup file for each item, some malformed, one written again, and all read again as paragraphs."""
-    path, i = fresh_path(s, "markup"), F.col("item_id")
+def metadata_scan(s: SparkSession, d: str) -> DataFrame:
+    """The benchmark as one JSON file for each item, some malformed, read again: the status of each, and the titles of valid ones."""
+    path, (good, bad) = fresh_path(s, "metadata"), benchmark_records(s, d)
+    tables.write_metadata(good, path)
+    tables.write_keyed(bad, path, "json")
+    return statuses(tables.scanned(tables.read_metadata(s, path)))
+
+
+def packed_metadata_scan(s: SparkSession, d: str) -> DataFrame:
+    """The same from a packed store, in as many files as it has buckets."""
+    path, (good, bad) = fresh_path(s, "packed"), benchmark_records(s, d)
+    tables.pack(good.select("pmcid", F.to_json(F.struct("*")).alias("json")).unionByName(bad), path, "json", 16)
+    return statuses(tables.scanned(tables.packed_metadata(tables.packed(s, path))))
+
+
+def benchmark_markup(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The benchmark as markup (pmcid, xml), some malformed; and one item as it is written again."""
+    i = F.col("item_id")
     body = F.concat(F.lit("<article><body><sec><title>S</title><p>"), escaped(F.col("text")), F.lit("</p>"))
     rows = table(s, d, "benchmark").select(F.concat(F.lit("B"), i.cast("string")).alias("pmcid"), F.concat(body, F.when(i % 9 == 4, "").otherwise("</sec></body></article>")).alias("xml"))
-    tables.write_fulltext(rows, path)
-    tables.write_fulltext(rows.filter("pmcid = 'B1'").withColumn("xml", F.lit("<article><body><p>A text that was written again.</p></body></article>")), path)
+    return rows, rows.filter("pmcid = 'B1'").withColumn("xml", F.lit("<article><body><p>A text that was written again.</p></body></article>"))
+
+
+def markup_scan(s: SparkSession, d: str) -> DataFrame:
+    """The benchmark as one markup file for each item, some malformed, one written again, and all read again as paragraphs."""
+    path = fresh_path(s, "markup")
+    for rows in benchmark_markup(s, d):
+        tables.write_fulltext(rows, path)
     return markup.exploded(markup.paragraphs(tables.read_markup(s, path)))
 
 
+def packed_markup_scan(s: SparkSession, d: str) -> DataFrame:
+    """The same from a packed store; what is written again takes its bucket's place alone."""
+    path = fresh_path(s, "packed")
+    for rows in benchmark_markup(s, d):
+        tables.pack(rows, path, "xml", 16)
+    return markup.exploded(markup.paragraphs(tables.packed_markup(tables.packed(s, path))))
+
+
 def report_sink(s: SparkSession, d: str) -> DataFrame:
     """The parse scan's statuses as a report, written as JSON and read again."""
     path = fresh_path(s, "report")
@@ -167,7 +198,7 @@ def etl_run(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "fetch_outcomes": fetch_outcomes, "fetch_resume": fetch_resume, "id_pages": lambda s, d: tables.id_pages(s, documents_ids(s, d)), "id_cache": id_cache, "metadata_scan": metadata_scan, "markup_scan": markup_scan,
+    "fetch_outcomes": fetch_outcomes, "fetch_resume": fetch_resume, "id_pages": lambda s, d: tables.id_pages(s, documents_ids(s, d)), "id_cache": id_cache, "metadata_scan": metadata_scan, "markup_scan": markup_scan, "packed_metadata_scan": packed_metadata_scan, "packed_markup_scan": packed_markup_scan,
     "report_sink": report_sink, "table_columns": table_columns, "reprocess_dry_run": lambda s, d: reprocess(s, d, True), "reprocess_failed": reprocess, "embed_chunks": embed_chunks,
     "question_set": question_set, "events_by_day": events_by_day, "etl_run": etl_run,
 }
@@ -217,3 +248,4 @@ SELECT 'papers' AS name, count(*) FILTER (WHERE status = 'fetched') AS n FROM o
 UNION ALL SELECT 'fulltext chunks', count(*) FROM (SELECT DISTINCT pmcid, substr(replace(lower(section), ' ', '_'), 1, 30) AS section, chunk_index FROM chunks) c JOIN o ON c.pmcid = o.doc_id
 UNION ALL SELECT 'status ' || status, count(*) FROM o GROUP BY ALL""",
 }
+ORACLE_SQL |= {f"packed_{name}": ORACLE_SQL[name] for name in ("metadata_scan", "markup_scan")}

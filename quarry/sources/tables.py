@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.operators.records import validity
+from quarry.sources.keyed import KeyedTable, Taken
 from quarry.sources.shared import exists, written
 
 METADATA_SCHEMA = (
@@ -52,6 +54,37 @@ def write_keyed(rows: DataFrame, path: str, value: str) -> None:
     rows.select("pmcid", value).repartition("pmcid").write.partitionBy("pmcid").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
 
 
+def packed(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """A keyed store of texts in which many keys share a file: as many files as buckets, whatever the number of keys; made if absent.
+
+    Writing keys again replaces their bodies in one step; a lookup reads the keys' buckets, and of these the parts whose statistics
+    hold them. Buckets should hold some ten MB each.
+    """
+    held = KeyedTable(spark, path)
+    if not held.versions():
+        with contextlib.suppress(Taken):
+            held.create(spark.createDataFrame([], "pmcid string, body string"), "pmcid", buckets)
+    return held
+
+
+def pack(rows: DataFrame, path: str, value: str, buckets: int = 64) -> KeyedTable:
+    """rows (pmcid, value) in the packed store at path."""
+    held = packed(rows.sparkSession, path, buckets)
+    held.upsert(rows.select("pmcid", F.col(value).alias("body")))
+    return held
+
+
+def packed_metadata(held: KeyedTable) -> DataFrame:
+    """The store's bodies as records, like `read_metadata`: a malformed one has only `_corrupt` and its key."""
+    parsed = F.from_json("body", METADATA_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = held.read().select(F.col("pmcid").alias("stem"), parsed.alias("x")).select("stem", "x.*")
+    return rows.withColumn("pmcid", F.coalesce("pmcid", "stem"))
+
+
+def packed_markup(held: KeyedTable) -> DataFrame:
+    return held.read().select("pmcid", F.col("body").alias("xml"))
+
+
 def write_metadata(records: DataFrame, path: str) -> None:
     """Keyed JSON sink: a record is the one JSON file in its key's folder."""
     write_keyed(records.select("pmcid", F.to_json(F.struct("*")).alias("json")), path, "json")
