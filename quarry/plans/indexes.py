@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import inverted, ivf
-from quarry.plans import corpus, search
+from quarry.plans import search
 from quarry.sources.keyed import KeyedTable
 from quarry.sources.shared import fresh_path
 from quarry.sources.tables import table
@@ -39,10 +39,10 @@ def dense_ann(spark: SparkSession, d: str) -> DataFrame:
     return search.flat(vector_index(spark, d).search(search.query_set(spark, d), 20))
 
 
-def customers(spark: SparkSession, d: str) -> KeyedTable:
-    """A keyed table of all customers' segments; on top of it a version with the priorities of those who have finished orders."""
-    old = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
-    new = table(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderpriority").alias("value"))
+def sourced(spark: SparkSession, d: str) -> KeyedTable:
+    """A keyed table of all documents' sources; on top of it a version in which the toxic ones are marked."""
+    old = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("value"))
+    new = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("key"), F.lit("toxic").alias("value")).distinct()
     kept = KeyedTable(spark, fresh_path(spark, "keyed")).create(old, "key", 16)
     kept.upsert(old)
     kept.upsert(new)
@@ -50,12 +50,12 @@ def customers(spark: SparkSession, d: str) -> KeyedTable:
 
 
 def keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return customers(spark, d).read()
+    return sourced(spark, d).read()
 
 
 def keyed_as_of(spark: SparkSession, d: str) -> DataFrame:
     """What each key held before and after the last write, where that changed it."""
-    kept = customers(spark, d)
+    kept = sourced(spark, d)
     before, after = (kept.read(v).withColumnRenamed("value", name) for v, name in ((1, "before"), (2, "after")))
     return before.join(after, "key", "full_outer").filter(~F.col("before").eqNullSafe(F.col("after"))).select("key", "before", "after")
 
@@ -66,7 +66,7 @@ ORACLE_SQL = {
     "sparse_indexed": search.ORACLE_SQL["sparse_topk"],
     "dense_indexed": search.ORACLE_SQL["dense_topk"],
     "dense_indexed_filtered": search.ORACLE_SQL["dense_topk_filtered"],
-    "keyed_upsert": corpus.ORACLE_SQL["table_upsert"],
-    "keyed_as_of": """WITH n AS (SELECT o_custkey AS key, max(o_orderpriority) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
-SELECT coalesce(c_custkey, n.key) AS key, c_mktsegment AS before, coalesce(n.value, c_mktsegment) AS after FROM customer FULL JOIN n ON c_custkey = n.key WHERE c_mktsegment IS DISTINCT FROM coalesce(n.value, c_mktsegment)""",
+    "keyed_upsert": "WITH n AS (SELECT DISTINCT doc_id AS key FROM labels WHERE toxic = 1) SELECT key, 'toxic' AS value FROM n UNION ALL SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT key FROM n)",
+    "keyed_as_of": """WITH n AS (SELECT DISTINCT doc_id AS key, 'toxic' AS value FROM labels WHERE toxic = 1)
+SELECT coalesce(doc_id, key) AS key, source AS before, value AS after FROM documents FULL JOIN n ON doc_id = key WHERE value IS NOT NULL""",
 }
