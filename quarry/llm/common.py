@@ -2,29 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset: a temporary folder on a local master (as in tests), else a folder beside the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        found = f"file://{tempfile.mkdtemp(prefix='quarry-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quarry-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/quarry-{name}-{uuid.uuid4().hex}"
+from quarry.sources.shared import fresh_path, shared_folder  # noqa: F401  operators take both from here
 
 
 #: The tables written so far, by path; what a caller no longer reads can be deleted (`deleted`).
