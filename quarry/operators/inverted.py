@@ -61,7 +61,7 @@ def bucket(term: Column, buckets: int) -> Column:
 
 
 def build(weights: DataFrame, path: str, rows: int = ROWS, buckets: int = BUCKETS) -> None:
-    """Writes the index of weights (WEIGHTS), one row for each id. Texts aren't shuffled: a row's terms go to its block once, a block's postings to their buckets."""
+    """Writes the index of weights (WEIGHTS), one row for each id. Texts aren't shuffled: a row's terms go to its block, and that is all."""
     scale = F.floor(F.log2(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)) * STEPS).cast("int")
     # A row's heaviest term; of equal ones the last by code point.
     top = F.array_max(F.arrays_zip(F.col("weights").alias("w"), F.col("terms").alias("t")))["t"]
@@ -74,8 +74,8 @@ def build(weights: DataFrame, path: str, rows: int = ROWS, buckets: int = BUCKET
     block = F.xxhash64("k.scale", "k.common", F.col("k.common").isNull(), F.pmod(F.xxhash64("k.id"), F.col("s.parts")))
     placed = kind.alias("k").join(sizes.alias("s"), same).select(block.alias("block"), "k.id", "k.terms", "k.weights")
     postings = placed.repartition("block").sortWithinPartitions("block", "id").mapInArrow(posted, "term string, block long, most double, ids array<long>, weights array<double>")
-    # Within a bucket's file terms are in order, so the file's statistics tell which of its parts hold a term.
-    dealt = postings.withColumn("bucket", bucket(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "block")
+    # A task writes its blocks' postings, a file for each bucket. There terms are in order, so the file's statistics tell which of its parts hold a term.
+    dealt = postings.withColumn("bucket", bucket(F.col("term"), buckets)).sortWithinPartitions("bucket", "term", "block")
     dealt.write.options(maxRecordsPerFile=1 << 20, compression="zstd").partitionBy("bucket").parquet(f"{path}/postings")
     kind.alias("k").join(sizes.alias("s"), same).groupBy(block.alias("block")).agg(F.count("*").alias("n")).write.parquet(f"{path}/blocks")
     there = held.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
