@@ -30,6 +30,8 @@ from quarry.sources.shared import written
 
 #: Rows of a block; steps of the log scale for each doubling of weight; buckets of terms; places of a score.
 ROWS, STEPS, BUCKETS, PLACES = 64, 4, 32, 4
+#: Texts whose terms a task holds at once.
+SLICE = 256
 POSTINGS = "term string, block long, most double, ids array<long>, weights array<double>, bucket int"
 
 
@@ -40,7 +42,7 @@ def terms(corpus: DataFrame) -> DataFrame:
     """WEIGHTS of texts (id, text), ln(1 + count) each, as the lexical encoder weighs; a row's terms are counted where it is read."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             rows = [terms_of(t) for t in b.column(1).to_pylist()]
             weights = [np.log1p(np.fromiter(r.values(), np.float64, len(r))) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))], ["id", "terms", "weights"])
