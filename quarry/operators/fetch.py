@@ -43,15 +43,15 @@ class Search(Protocol):
     def page(self, start: int, size: int) -> list[str]: ...
 
 
-def repeated(call: Callable, wait: float, attempts: int, sleep: Callable[[float], None] = time.sleep) -> object:
-    """call, again after a wait for as long as it fails; the last failure is raised, and the task tried elsewhere."""
+def repeated(call: Callable, wait: float, attempts: int, sleep: Callable[[float], None] = time.sleep, growth: float = 1.0) -> object:
+    """call, again after a wait (`growth` times as long with each) for as long as it fails; the last failure is raised, and the task tried elsewhere."""
     for n in range(attempts):
         try:
             return call()
         except Exception:  # noqa: BLE001  a request may fail in any way; the same page is asked for again
             if n + 1 == attempts:
                 raise
-            sleep(wait)
+            sleep(wait * growth**n)
     raise ValueError("no attempt")
 
 

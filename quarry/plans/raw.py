@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry import etl
 from quarry.operators import chunking, fetch, markup, providers, records
 from quarry.plans import corpus
-from quarry.sources import tables
+from quarry.sources import paged, tables
 from quarry.sources.shared import fresh_path
 from quarry.sources.tables import table
 from quarry.streaming import incremental
@@ -70,6 +71,33 @@ def documents_ids(s: SparkSession, d: str) -> DataFrame:
     return corpus.docs(s, d).select(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("pmcid"))
 
 
+def paged_source(s: SparkSession, d: str) -> DataFrame:
+    """All ids through the paged data source; the search behind it holds the ids of all documents as pages in the shared folder."""
+    path = fresh_path(s, "pages")
+    tables.id_pages(s, documents_ids(s, d)).repartitionByRange("page").sortWithinPartitions("page", "pmcid").write.parquet(path)
+    paged.register(s, "paged", lambda: StoredSearch(path))
+    return s.read.format("paged").option("pause", 0).load()
+
+
+class StoredSearch:
+    """A search over pages of 200 ids in Parquet, of which a request reads the row groups that can hold its pages."""
+
+    def __init__(self, path: str):
+        import pyarrow.dataset as ds
+
+        self.pages = ds.dataset(re.sub("^s3a:", "s3:", path), format="parquet")
+
+    def total(self) -> int:
+        return self.pages.count_rows()
+
+    def page(self, start: int, size: int) -> list[str]:
+        import pyarrow.dataset as ds
+
+        first, last = start // 200, (start + size - 1) // 200
+        ids = self.pages.to_table(["pmcid"], filter=(ds.field("page") >= first) & (ds.field("page") <= last)).column(0).to_pylist()
+        return [i.removeprefix("PMC") for i in sorted(ids)[start - first * 200 :][:size]]
+
+
 def id_cache(s: SparkSession, d: str) -> DataFrame:
     """The id list is searched once; what a later search would give is not asked for."""
     path = fresh_path(s, "ids")
@@ -198,7 +226,7 @@ def etl_run(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "fetch_outcomes": fetch_outcomes, "fetch_resume": fetch_resume, "id_pages": lambda s, d: tables.id_pages(s, documents_ids(s, d)), "id_cache": id_cache, "metadata_scan": metadata_scan, "markup_scan": markup_scan, "packed_metadata_scan": packed_metadata_scan, "packed_markup_scan": packed_markup_scan,
+    "fetch_outcomes": fetch_outcomes, "fetch_resume": fetch_resume, "id_pages": lambda s, d: tables.id_pages(s, documents_ids(s, d)), "paged_source": paged_source, "id_cache": id_cache, "metadata_scan": metadata_scan, "markup_scan": markup_scan, "packed_metadata_scan": packed_metadata_scan, "packed_markup_scan": packed_markup_scan,
     "report_sink": report_sink, "table_columns": table_columns, "reprocess_dry_run": lambda s, d: reprocess(s, d, True), "reprocess_failed": reprocess, "embed_chunks": embed_chunks,
     "question_set": question_set, "events_by_day": events_by_day, "etl_run": etl_run,
 }
@@ -248,4 +276,5 @@ SELECT 'papers' AS name, count(*) FILTER (WHERE status = 'fetched') AS n FROM o
 UNION ALL SELECT 'fulltext chunks', count(*) FROM (SELECT DISTINCT pmcid, substr(replace(lower(section), ' ', '_'), 1, 30) AS section, chunk_index FROM chunks) c JOIN o ON c.pmcid = o.doc_id
 UNION ALL SELECT 'status ' || status, count(*) FROM o GROUP BY ALL""",
 }
+ORACLE_SQL["paged_source"] = ORACLE_SQL["id_pages"]
 ORACLE_SQL |= {f"packed_{name}": ORACLE_SQL[name] for name in ("metadata_scan", "markup_scan")}
