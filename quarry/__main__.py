@@ -5,12 +5,13 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import SparkSession
 
 from quarry import etl, server
-from quarry.operators import service
+from quarry.operators import collection, service
 from quarry.operators.agent import Agent
 from quarry.plans import catalog, raw, search
 from quarry.sources.shared import fresh_path, shared_folder
@@ -34,6 +35,7 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--top", type=int, default=5)
     parser.add_argument("--pipeline", action="store_true", help="from raw answers to papers and chunks with vectors")
     parser.add_argument("--out", help="where the pipeline's tables go; a fresh folder if not told")
+    parser.add_argument("--collection", help="a folder that --pipeline made (its `collection`): search that, not the tables of documents")
     parser.add_argument("--api", action="store_true", help="serve /chat, /search and /health")
     parser.add_argument("--port", type=int, default=port_of(os.environ.get("API_PORT")))
     parser.add_argument("--session", default=os.environ.get("AGENT_SESSION_ID", "default"))
@@ -60,10 +62,14 @@ def main(argv: list[str] | None = None) -> int:
         catalog.QUERIES[args.query](spark, args.data).show(20, truncate=80)
         return 0
     if args.pipeline:
-        made = etl.run(spark, raw.answers(spark, args.data, 2), args.out or fresh_path(spark, "pipeline"))
+        out = args.out or fresh_path(spark, "pipeline")
+        made = etl.run(spark, raw.answers(spark, args.data, 2), out)
         etl.summary(spark, made).orderBy("name").show(truncate=False)
+        held = f"{out}/collection-{uuid.uuid4().hex}"
+        collection.build(made, held)
+        print(f"search it with --collection {held}")
         return 0
-    agent = Agent(spark, search.corpus(spark, args.data), search.vectors(spark, args.data))
+    agent = collection.Collection(spark, args.collection).agent() if args.collection else Agent(spark, search.corpus(spark, args.data), search.vectors(spark, args.data))
     sessions = service.Sessions(spark, f"{shared_folder(spark)}/sessions")
     if args.search:
         for hit in service.search(agent, args.search, top_n=args.top)["results"]:

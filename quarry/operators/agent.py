@@ -69,10 +69,13 @@ def sentiment(pairs: list[dict], score, topic: str = "") -> dict:
 
 
 class Agent:
-    """Tools over a corpus (id, text, lang, journal; section, source_type and pub_year if it has them) and vectors (id, vec), and the loop that calls them."""
+    """Tools over a corpus (id, text, lang, journal; pmcid, section, source_type and pub_year if it has them) and vectors (id, vec), and the loop that calls them.
 
-    def __init__(self, spark: SparkSession, corpus: DataFrame, vectors: DataFrame, encode=None, planner: Planner | None = None, chat: ChatModel | None = None, classify=None):
-        self.spark, self.corpus, self.vectors = spark, corpus, vectors
+    legs: gives the dense and the sparse hits of queries (qid, qtext, qvec), a number and filters; without it both tables are scanned.
+    """
+
+    def __init__(self, spark: SparkSession, corpus: DataFrame, vectors: DataFrame, encode=None, planner: Planner | None = None, chat: ChatModel | None = None, classify=None, legs=None):
+        self.spark, self.corpus, self.vectors, self.legs = spark, corpus, vectors, legs
         self.encode, self.planner, self.chat, self.classify = encode, planner or RulePlanner(), chat or Extractive(), classify
         self.tools = {"search_literature": self.search, "get_paper_detail": self.paper, "analyze_sentiment": self.sentiment, "answer_question": self.answer, "synthesize_review": self.review}
 
@@ -82,16 +85,16 @@ class Agent:
         used = {k: v for k, v in (filters or {}).items() if k in FILTERS and k in self.corpus.columns and v}
         q = self.spark.createDataFrame([(0, query)], "qid long, qtext string")
         corpus = R.must(self.corpus, used)
-        sparse = R.sparse_topk(q, corpus, 2 * top_k)
-        if self.encode is None:
-            dense = sparse.limit(0)
+        vec = None if self.encode is None else self.spark.createDataFrame([(0, query, [float(x) for x in self.encode(query)])], "qid long, qtext string, qvec array<double>")
+        if self.legs is not None and vec is not None:
+            dense, sparse = self.legs(vec, 2 * top_k, used)
         else:
-            vec = self.spark.createDataFrame([(0, query, [float(x) for x in self.encode(query)])], "qid long, qtext string, qvec array<double>")
-            dense = R.dense_topk(vec, self.vectors.join(corpus.select("id"), "id", "left_semi") if used else self.vectors, 2 * top_k)
+            sparse = R.sparse_topk(q, corpus, 2 * top_k)
+            dense = sparse.limit(0) if vec is None else R.dense_topk(vec, self.vectors.join(corpus.select("id"), "id", "left_semi") if used else self.vectors, 2 * top_k)
         found = R.rerank(R.rrf(dense, sparse, top_k), q, corpus, top_n).join(self.corpus, "id", "left").orderBy("rank")
         told = [c for c in ("journal", "section", "source_type", "pub_year") if c in found.columns]
         rows = (r.asDict() for r in found.collect())  # top_n rows
-        return [{"pmcid": str(r["id"]), "text": r["text"] or "", "section": r.get("journal") or "", "pub_year": ""} | {c: r[c] or "" for c in told} | {"score": round(r["rerank_score"], 3)} for r in rows]
+        return [{"pmcid": str(r.get("pmcid") or r["id"]), "text": r["text"] or "", "section": r.get("journal") or "", "pub_year": ""} | {c: r[c] or "" for c in told} | {"score": round(r["rerank_score"], 3)} for r in rows]
 
     def search(self, state: State, query: str, top_k: int = 20, top_n: int = 10, filters: dict | None = None) -> str:
         found = self.hits(query, top_k, top_n, filters)
@@ -99,7 +102,8 @@ class Agent:
         return json.dumps({"count": len(found), "results": [c | {"text": c["text"][:150]} for c in found]}, ensure_ascii=False)
 
     def paper(self, state: State, pmcid: str) -> str:
-        row = self.corpus.filter(F.col("id").cast("string") == pmcid).limit(1).collect()
+        key = "pmcid" if "pmcid" in self.corpus.columns else "id"
+        row = self.corpus.filter(F.col(key).cast("string") == pmcid).orderBy("id").limit(1).collect()
         return json.dumps({k: v if v is not None else "" for k, v in row[0].asDict().items()} if row else {"error": f"no paper {pmcid}"}, ensure_ascii=False)
 
     def sentiment(self, state: State, papers: str | list, topic: str = "") -> str:

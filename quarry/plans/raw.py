@@ -217,12 +217,15 @@ def events_by_day(s: SparkSession, d: str) -> DataFrame:
     return incremental.totals(table(s, d, "events").select("ts", "event_type")).select(F.col("day").cast("date").cast("string").alias("day"), "event_type", "n")
 
 
+def etl_tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables that every stage leaves, from the raw answers for all documents."""
+    given = answers(s, d, 2).drop("xml").join(corpus.jats(s, d).select(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("pmcid"), "xml"), "pmcid")
+    return etl.run(s, given, fresh_path(s, "etl"), providers.letters, providers.term_weights, wait=0.0)
+
+
 def etl_run(s: SparkSession, d: str) -> DataFrame:
     """Every stage from raw answers to vector rows, over all documents; the rows of each table it leaves."""
-    out = fresh_path(s, "etl")
-    given = answers(s, d, 2).drop("xml").join(corpus.jats(s, d).select(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("pmcid"), "xml"), "pmcid")
-    made = etl.run(s, given, out, providers.letters, providers.term_weights, wait=0.0)
-    return etl.summary(s, made)
+    return etl.summary(s, etl_tables(s, d))
 
 
 QUERIES = {
@@ -243,6 +246,7 @@ def answered_sql(attempt: int) -> str:
 
 
 OUTCOME = "CASE WHEN NOT ok THEN 'failed' WHEN pmid_of IS NULL THEN 'no_pmid' WHEN NOT read THEN 'failed' ELSE 'fetched' END"
+STATUS = "SELECT *, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'no_pmid' WHEN doc_id % 7 = 1 THEN 'failed' ELSE 'fetched' END AS status FROM documents"
 STRIPPED = corpus.STRIP("text")
 ABSTRACT = f"CASE WHEN {STRIPPED} <> '' THEN (CASE WHEN doc_id % 2 = 0 THEN 'AIM: ' ELSE '' END) || {STRIPPED} || chr(10) ELSE '' END || source"
 ORACLE_SQL = {
@@ -271,7 +275,7 @@ FROM chunks c LEFT JOIN g ON c.pmcid = g.pmcid AND c.section = g.section AND c.c
     "question_set": f"""WITH s AS (SELECT doc_id AS pmcid, text, string_split({corpus.COLLAPSE('substr(text, 1, 1500)')}, ' ') AS w FROM documents ORDER BY md5('42|' || doc_id) LIMIT 50), q(pos, a, b, intent) AS (VALUES (0, 1, 5, 'mechanism'), (1, 3, 6, 'treatment'))
 SELECT pmcid, pos, array_to_string(w[a:b], ' ') AS query, intent, 2 AS relevance, substr(text, 1, 300) AS source_abstract FROM s CROSS JOIN q WHERE len(w) >= 5""",
     "events_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "etl_run": JATS_CHUNKS + f""", o AS (SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'no_pmid' WHEN doc_id % 7 = 1 THEN 'failed' ELSE 'fetched' END AS status FROM documents)
+    "etl_run": JATS_CHUNKS + f""", o AS ({STATUS})
 SELECT 'papers' AS name, count(*) FILTER (WHERE status = 'fetched') AS n FROM o UNION ALL SELECT 'abstract chunks', count(*) FILTER (WHERE status = 'fetched') FROM o
 UNION ALL SELECT 'fulltext chunks', count(*) FROM (SELECT DISTINCT pmcid, substr(replace(lower(section), ' ', '_'), 1, 30) AS section, chunk_index FROM chunks) c JOIN o ON c.pmcid = o.doc_id
 UNION ALL SELECT 'status ' || status, count(*) FROM o GROUP BY ALL""",
