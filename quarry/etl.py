@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, fetch, markup, providers, records
+from quarry.sources.shared import deleted
 
 
 def put(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -27,7 +28,9 @@ def fetch_raw(spark: SparkSession, answers: DataFrame, out: str) -> dict[str, Da
     """Raw metadata, full texts and the status of each key from answers (pmcid, xml, mapped, record_xml)."""
     found = put(fetch.outcomes(answers), f"{out}/outcomes")
     metadata = found.filter("outcome = 'fetched'").select("pmcid", "pmid", F.lit(False).alias("no_pubmed_record"), "record.*")
-    return {"metadata": put(metadata, f"{out}/metadata"), "fulltext": put(found.filter("xml IS NOT NULL").select("pmcid", "xml"), f"{out}/fulltext"), "status": found.select("pmcid", F.col("outcome").alias("status"))}
+    made = {"metadata": put(metadata, f"{out}/metadata"), "fulltext": put(found.filter("xml IS NOT NULL").select("pmcid", "xml"), f"{out}/fulltext"), "status": put(found.select("pmcid", F.col("outcome").alias("status")), f"{out}/status")}
+    deleted(spark, f"{out}/outcomes")
+    return made
 
 
 def vectors(chunks: DataFrame, dense: Callable, sparse: Callable, batch: int = 200, wait: float = 1.0) -> DataFrame:
@@ -35,10 +38,18 @@ def vectors(chunks: DataFrame, dense: Callable, sparse: Callable, batch: int = 2
     return providers.embedded_both(chunks, dense, sparse, batch, wait).withColumn("seq", F.col("chunk_index"))
 
 
+def kept(spark: SparkSession, chunks: DataFrame, out: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Vector rows of chunks, and the papers that lack a vector. The chunks are embedded once, into a table that goes when both are written."""
+    rows = put(chunks, f"{out}/{kind}_vectors")
+    made = put(records.points(rows, stored=True), f"{out}/{kind}_chunks"), put(records.failed(rows, "pmcid", "dense", "sparse"), f"{out}/{kind}_failed")
+    deleted(spark, f"{out}/{kind}_vectors")
+    return made
+
+
 def process_metadata(spark: SparkSession, metadata: DataFrame, out: str, dense: Callable, sparse: Callable, wait: float = 1.0) -> dict[str, DataFrame]:
     papers = put(records.papers(metadata), f"{out}/papers")
-    chunks = put(vectors(chunking.abstract_chunks(papers), dense, sparse, wait=wait), f"{out}/abstract_vectors")
-    return {"papers": papers, "abstract chunks": put(records.points(chunks), f"{out}/abstract_chunks"), "failed": records.failed(chunks, "pmcid", "dense", "sparse")}
+    chunks, failed = kept(spark, vectors(chunking.abstract_chunks(papers), dense, sparse, wait=wait), out, "abstract")
+    return {"papers": papers, "abstract chunks": chunks, "failed": failed}
 
 
 def fulltext_vectors(fulltext: DataFrame, papers: DataFrame, dense: Callable, sparse: Callable, batch: int = 200, wait: float = 1.0) -> DataFrame:
@@ -47,8 +58,8 @@ def fulltext_vectors(fulltext: DataFrame, papers: DataFrame, dense: Callable, sp
 
 
 def process_fulltext(spark: SparkSession, fulltext: DataFrame, papers: DataFrame, out: str, dense: Callable, sparse: Callable, wait: float = 1.0) -> dict[str, DataFrame]:
-    chunks = put(fulltext_vectors(fulltext, papers, dense, sparse, wait=wait), f"{out}/fulltext_vectors")
-    return {"fulltext chunks": put(records.points(chunks), f"{out}/fulltext_chunks"), "failed": records.failed(chunks, "pmcid", "dense", "sparse")}
+    chunks, failed = kept(spark, fulltext_vectors(fulltext, papers, dense, sparse, wait=wait), out, "fulltext")
+    return {"fulltext chunks": chunks, "failed": failed}
 
 
 def run(spark: SparkSession, answers: DataFrame, out: str, dense: Callable = providers.letters, sparse: Callable = providers.term_weights, wait: float = 1.0) -> dict[str, DataFrame]:

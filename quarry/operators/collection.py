@@ -40,7 +40,7 @@ def build(made: dict[str, DataFrame], path: str, indexed: bool = True) -> Collec
     abstracts = records.lookup(made["abstract chunks"].select(*KEY, "text", "dense"), made["papers"], "pmcid", ["pub_year", "journal"])
     rows = abstracts.unionByName(made["fulltext chunks"].select(*KEY, "text", "dense", "pub_year", "journal"))
     rows = rows.withColumn("vec", F.col("dense").cast("array<double>")).drop("dense")
-    rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("id", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+    rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("id", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/rows")
     found = Collection(spark, path)
     if indexed:
         ivf.build(found.rows.select("id", "vec", *FILTERS), f"{path}/cells")

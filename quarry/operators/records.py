@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import blank_to_null, point_id, pub_date, strip
+from quarry.sources.shared import written
 
 #: Article types that are left out.
 EXCLUDED_TYPES = ["Erratum", "Published Erratum", "Retraction of Publication"]
@@ -95,11 +96,20 @@ def update_groups(rows: DataFrame, key: str, values: list[str], most: int = 500)
     return lists.select(*values, "part", "keys")
 
 
-def points(chunks: DataFrame) -> DataFrame:
-    """Vector rows from chunks (pmcid, source_type, section, chunk_index, dense, sparse, seq): incomplete ones dropped, of equal ids the last."""
+def points(chunks: DataFrame, stored: bool = False) -> DataFrame:
+    """Vector rows from chunks (pmcid, source_type, section, chunk_index, dense, sparse, seq): incomplete ones dropped, of equal ids the last.
+
+    stored: chunks are a table, so reading it again is cheap. Then ids alone are shuffled to find those that repeat, which are
+    written, so that their true size decides how they meet the rows; texts and vectors are shuffled for these ids only.
+    """
     ready = chunks.filter(F.col("dense").isNotNull() & F.col("sparse").isNotNull())
     ident = point_id(F.col("pmcid"), F.col("source_type"), F.col("section"), F.col("chunk_index"))
-    return latest(ready.withColumn("id", ident), "id", "seq")
+    rows = ready.withColumn("id", ident)
+    if not stored:
+        return latest(rows, "id", "seq")
+    repeated = written(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated")
+    last_ones = latest(rows.join(repeated, "id", "left_semi"), "id", "seq")
+    return last_ones.unionByName(rows.join(repeated, "id", "left_anti"))
 
 
 def states(log: DataFrame, key: str, status: str, *version: str) -> DataFrame:

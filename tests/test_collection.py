@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import quarry.__main__ as cli
-from quarry.operators import collection, providers
+from quarry.operators import collection, providers, records
 from quarry.plans import raw
 
 CHUNK = "pmcid string, source_type string, section string, chunk_index int, text string, dense array<float>"
@@ -101,6 +101,18 @@ def test_empty_collections_and_unknown_filters(spark, made, tmp_path):
         empty.search(q, filters={"color": "red"})
 
 
+def test_points_of_stored_chunks_are_the_same(spark, tmp_path):
+    """Repeated ids (sections with equal slugs, rows written again), nulls, missing vectors, no rows."""
+    sparse = "struct<indices: array<int>, values: array<float>>"
+    rows = [(p, "fulltext", s, i, f"{s} {i} {n}", [1.0], ([1], [2.0]) if n != 3 else None, n) for n, (p, s, i) in enumerate([("A", "My part", 0), ("A", "my_part", 0), ("A", "My part", 1), ("B", "x", 0), ("B", "x", 0), (None, "x", 0), (None, "x", 0), ("C", None, 0)])]
+    chunks = spark.createDataFrame(rows, f"pmcid string, source_type string, section string, chunk_index int, text string, dense array<float>, sparse {sparse}, seq int")
+    chunks.write.parquet(f"file://{tmp_path}/chunks")
+    kept = spark.read.parquet(f"file://{tmp_path}/chunks")
+    plain, stored = records.points(kept), records.points(kept, stored=True)
+    assert plain.columns == stored.columns and told(plain) == told(stored) and plain.count() == 5
+    assert records.points(kept.limit(0), stored=True).count() == 0
+
+
 def test_agents_search_it(held):
     for each in held:
         own = each.agent()
