@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 import quarry.__main__ as cli
 from quarry import etl, server
 from quarry.operators import agent, fetch, markup, providers, records, service
+from quarry.plans import raw
 from quarry.sources import shared, tables
 from quarry.streaming import incremental
+from tests.compare import same
 
 PUBMED = "<PubmedArticle><ArticleTitle>T</ArticleTitle></PubmedArticle>"
 ARTICLE = "<article><front><article-meta><article-id pub-id-type='pmid'>{}</article-id></article-meta></front></article>"
@@ -140,6 +142,13 @@ def test_embedding_waits_and_marks_whole_batches(spark):
     assert providers.model(maker, 0.0, 800) is providers.model(maker, 0.0, 800) is not providers.model(maker, 0.5, 800) and len(made) == 2
 
 
+def test_terms_that_share_an_index_are_counted_in_sum(spark, tmp_path):
+    """`eahain` and `sheash` have equal first 28 bits of their MD5; an index's value is ln(1 + count) of both, so counts can be told from it."""
+    text = "eahain sheash sheash " + "and a text that is long enough for a chunk " * 3
+    spark.createDataFrame([(1, text, "en", "web")], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    same(raw.QUERIES["embed_chunks"](spark, str(tmp_path)), raw.ORACLE_SQL["embed_chunks"], str(tmp_path))
+
+
 def test_judges_and_questions(spark):
     pairs = spark.createDataFrame([(1, "red fox", "a red fox", None), (2, "red fox", "x", 2), (3, "q", "bad", None), (4, "q", "raise", None), (5, None, None, None)], "id long, qtext string, text string, known int")
 
