@@ -1,12 +1,15 @@
 """The pipeline's near-dedup stage: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-`op8_simhash` keeps its contract (three words, 2 of 64 bits). That radius finds few pairs of this similarity, and anchors for
-the 11 and more bits by which such pairs differ would be most of them; so candidates come from MinHash here: 28 bands of 5
-minima, which miss a pair at 0.8 with a chance of 0.00002, and fewer above. Each candidate pair is then checked on its
-whole sets of shingles, so that no link is an estimate.
-
-Scale: texts with equal sets are one row before bands are made. In a band's bucket of at most `MOST` sets all pairs are
-candidates. In a larger one each set is compared with the bucket's hub alone at first: the set whose own buckets are largest in sum,
+SimHash with anchor points, as `op8_simhash` has them, which keeps its own contract (three words, 2 of 64 bits). That radius finds few
+pairs of this similarity, which differ in some 15 of 100 bits; so a set has one long fingerprint of 128 words of 23 bits here. A bit
+is the sign of a sum over the set, and a word's codeword is that of the binary Golay code which agrees best with the sums, not with
+their signs alone. Every two neighbouring words' codewords are an anchor; sets are compared where they meet at an anchor. Two sets at
+0.8 have a codeword in common with a chance of 0.26 for each word, and no anchor of 128 with one of about 0.0006, less above.
+Pairs whose fingerprints differ in more than `FAR` of 256 bits are left out (a pair at 0.8 with a chance under 0.000001). Each pair
+that stays is then checked on its whole sets of shingles, so that no link is an estimate.
+
+Scale: texts with equal sets are one row before anchors are made. At an anchor of at most `MOST` sets all pairs are
+candidates. At a larger one, called a bucket, each set is compared with its hub alone at first: the set whose own buckets are largest in sum,
 which is mostly the text that the others were made from. The sets that share a hub are its family. Of a family whose sets are
 then in more than one component, every set outside the largest is compared with every set of another component, so that no
 pair of a bucket is left undecided, whatever its size: two sets that are not compared are in one component already. For this
@@ -28,12 +31,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, unused, utf8, written
-from .simhash import components
+from .simhash import BITS, Golay, components
 
-WORDS, SEED, BANDS, ROWS, MOST, SALTS, PART = 5, 42, 28, 5, 32, 16, 1000
+WORDS, SEED, MOST, SALTS, PART = 5, 42, 32, 16, 1000
+#: Words of a fingerprint, as many anchors; bits that are compared before sets are; in how many of these a candidate may differ.
+PARTS, COMPARED_BITS, FAR = 128, 256, 84
 #: Similarity of 0.8, as a fraction.
 OVER, UNDER = 4, 5
-MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.int64).view(np.uint64) << np.uint64(1) | np.uint64(1)
+#: For each 64 bits of a fingerprint two numbers that hash a shingle's hash again.
+MIXED = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PARTS * BITS // 64), dtype=np.int64).view(np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -48,39 +54,68 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """A key for each band of minima; none for an empty set."""
-    if not len(h):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 1 << 12):
-        np.minimum(least, (MULTIPLIERS[:, None] * h[at : at + (1 << 12)]).min(1), out=least)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def sums(h: np.ndarray) -> np.ndarray:
+    """For each bit of the fingerprint: how many more of the set's hashes have it than have it not."""
+    ones = np.zeros(PARTS * BITS, np.int64)
+    for at in range(0, len(h), 255):
+        x = (h[at : at + 255, None] ^ MIXED[0]) * MIXED[1]
+        x ^= x >> np.uint64(32)
+        x *= MIXED[0]
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return 2 * ones - len(h)
+
+
+class Anchors:
+    """Codewords as signs, a column for each message."""
+
+    def __init__(self):
+        words = np.arange(1 << 12) << 11
+        codewords = words ^ Golay(0).syndrome(words)
+        self.signs = ((codewords[None, :] >> np.arange(BITS)[:, None] & 1) * 2 - 1).astype(np.float32)
+
+    def of(self, total: np.ndarray) -> np.ndarray:
+        """A set's anchors by its sums: the messages of each word's best codeword and of the next word's."""
+        best = (total.reshape(PARTS, BITS).astype(np.float32) @ self.signs).argmax(1)
+        return (best << 12 | np.roll(best, -1)).astype(np.int32)
 
 
 def signer():
-    """A Pandas UDF: text to its set's digest, size and bands. Marked as not deterministic only so that Spark runs it once."""
+    """A Pandas UDF: text to its set's digest, size, anchors (none for an empty set) and first bits. Marked as not deterministic only so that Spark runs it once."""
 
-    @F.pandas_udf("fp long, n int, bands array<long>")
+    @F.pandas_udf("fp long, n int, anchors array<int>, bits array<long>")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        anchors = Anchors()
         for texts in batches:
-            sets = [shingles(t) for t in texts]
-            fps = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"fp": fps, "n": [len(h) for h in sets], "bands": [bands(h) for h in sets]})
+            out = []
+            for t in texts:
+                h = shingles(t)
+                total = sums(h)
+                bits = np.packbits(total[:COMPARED_BITS] > 0).view(np.int64)
+                out.append((np.array(xxhash.xxh64_intdigest(h.tobytes()), np.uint64).view(np.int64), len(h), anchors.of(total) if len(h) else np.zeros(0, np.int32), bits))
+            yield pd.DataFrame(out, columns=["fp", "n", "anchors", "bits"]).astype({"fp": "int64", "n": "int32"})
 
     return signed.asNondeterministic()
 
 
+def close(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose fingerprints differ in at most FAR of the bits that distinct (fp, bits) has."""
+    side = lambda name: distinct.select(F.col("fp").alias(name), F.col("bits").alias(f"{name}_bits"))
+    differing = sum(F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(COMPARED_BITS // 64))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(differing <= FAR).select("a", "b")
+
+
 def candidates(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """Pairs (a, b, family): sets of distinct (fp, n, bands) that share a band. family: a is the hub of a large bucket that b is in."""
-    rows = distinct.select(F.struct("fp", "n").alias("x"), F.explode("bands").alias("key"))
+    """Pairs (a, b, family): sets of distinct (fp, n, anchors, bits) that share an anchor. family: a is the hub of a large bucket that b is in."""
+    placed_at = distinct.select(F.struct("fp", "n").alias("x"), F.posexplode("anchors").alias("word", "anchor"))
+    rows = placed_at.select("x", F.shiftleft(F.col("word").cast("long"), 24).bitwiseOR(F.col("anchor").cast("long")).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     placed = written(rows.join(sizes, "key"), "placed")
     may = lambda x, y: UNDER * F.least(x["n"], y["n"]).cast("long") >= OVER * F.greatest(x["n"], y["n"]).cast("long")
-    pair = lambda x, y: F.struct(F.least(x["fp"], y["fp"]).alias("a"), F.greatest(x["fp"], y["fp"]).alias("b"), F.lit(False).alias("family"))
+    pair = lambda x, y: F.struct(F.least(x["fp"], y["fp"]).alias("a"), F.greatest(x["fp"], y["fp"]).alias("b"))
     group = placed.filter(F.col("m") <= most).groupBy("key").agg(F.collect_list("x").alias("g"))
     within = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (x["fp"] < y["fp"]) & may(x, y)), lambda y: pair(x, y))))
-    # A set's weight: the sizes of its large buckets, summed. One shuffle by sets, whose large buckets are BANDS at most.
+    # A set's weight: the sizes of its large buckets, summed. One shuffle by sets, whose large buckets are PARTS at most.
     large = placed.filter(F.col("m") > most).groupBy("x").agg(F.collect_list("key").alias("keys"), F.sum("m").alias("weight"))
     weighed = written(large.select(F.explode("keys").alias("key"), "x.fp", "weight"), "weighed")
     best = weighed.groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("best"))
@@ -89,7 +124,8 @@ def candidates(distinct: DataFrame, most: int = MOST) -> DataFrame:
     hubs = best.select("key", F.col("best.fp").alias("hub"), F.explode(salts).alias("salt"))
     members = weighed.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(SEED)), F.lit(SALTS).cast("long"))).join(hubs, ["key", "salt"])
     across = members.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"), F.lit(True).alias("family"))
-    return written(group.select(F.explode(within).alias("p")).select("p.*").unionByName(across).distinct(), "pairs")
+    near = close(group.select(F.explode(within).alias("p")).select("p.*").distinct(), distinct).withColumn("family", F.lit(False))
+    return written(near.unionByName(across.distinct()), "pairs")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -219,7 +255,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = MOST, p
     token = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("token"))).alias("first")
     prints = docs.select("doc_id", token.alias("token"), signer()(F.col("text")).alias("s")).select("doc_id", "token", "s.*")
-    distinct = written(prints.groupBy("fp").agg(first, F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "distinct")
+    distinct = written(prints.groupBy("fp").agg(first, *[F.any_value(c).alias(c) for c in ("n", "anchors", "bits")]), "distinct")
     names = [unused(docs, "__id"), unused(docs, "__token")]
     marked = docs.withColumns(keys(F.col("doc_id"), token, names))
     linked = links(distinct, marked, names, most, part).select(F.col("node").alias("fp"), "root")

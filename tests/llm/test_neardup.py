@@ -78,6 +78,23 @@ def test_differences_from_a_hub_tell_likeness():
     assert want and set(map(tuple, got.to_numpy().tolist())) == want
 
 
+def test_anchors_are_nearest_codewords_of_the_fingerprint():
+    """Sets at 0.8 meet at an anchor and differ in few bits; unrelated ones do not; a codeword is the best of all 4,096 for its sums."""
+    rng, anchors, apart = np.random.default_rng(19), neardup.Anchors(), 0
+    assert len({tuple(x) for x in anchors.signs.T.astype(int).tolist()}) == 4096
+    for n in (9, 45, 450):
+        for _ in range(100):
+            base = rng.integers(0, 1 << 63, n + n // 9).astype(np.uint64)
+            x, y = (neardup.sums(np.sort(s)) for s in (base[:n], base[n // 9 :]))
+            other = neardup.sums(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            assert (anchors.of(x) == anchors.of(y)).any()
+            assert ((x > 0) != (y > 0))[: neardup.COMPARED_BITS].sum() <= neardup.FAR < ((x > 0) != (other > 0))[: neardup.COMPARED_BITS].sum()
+            apart += not (anchors.of(x) == anchors.of(other)).any()
+        agree = anchors.signs.T[anchors.of(x) >> 12] * x.reshape(neardup.PARTS, -1)
+        assert (agree.sum(1) == (x.reshape(neardup.PARTS, -1) @ anchors.signs).max(1)).all()
+    assert apart >= 299
+
+
 def test_stage_drops_all_near_copies_of_the_small_tables(spark):
     frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs = [(r.doc_id, r.text) for r in frame.collect()]
