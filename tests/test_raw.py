@@ -149,6 +149,14 @@ def test_terms_that_share_an_index_are_counted_in_sum(spark, tmp_path):
     same(raw.QUERIES["embed_chunks"](spark, str(tmp_path)), raw.ORACLE_SQL["embed_chunks"], str(tmp_path))
 
 
+def test_a_task_parses_a_slice_at_a_time(spark):
+    """However many rows Spark sends at once, Python values of no more than a slice are held; nulls and empty tables go through."""
+    rows = spark.range(0, 1000, 1, 1).select(F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("x"))
+    got = rows.select("x", markup.sliced(lambda texts: [f"{len(texts)} {t}" for t in texts], "string", 100)("x").alias("y")).collect()
+    assert len(got) == 1000 and all(r.y == f"100 {r.x}" for r in got)
+    assert rows.limit(0).select(markup.column(markup.parse_pubmed, markup.RECORD)("x").alias("r")).select("r.*").count() == 0
+
+
 def test_judges_and_questions(spark):
     pairs = spark.createDataFrame([(1, "red fox", "a red fox", None), (2, "red fox", "x", 2), (3, "q", "bad", None), (4, "q", "raise", None), (5, None, None, None)], "id long, qtext string, text string, known int")
 
