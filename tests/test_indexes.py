@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quarry.operators import inverted, ivf
+from quarry.operators import inverted, ivf, markup
 from quarry.operators import retrieval as R
 
 
@@ -111,3 +112,22 @@ def test_empty_indexes(spark, tmp_path):
     inverted.build(inverted.terms(spark.createDataFrame([], "id long, text string")), f"file://{tmp_path}/t")
     q = spark.createDataFrame([(1, "a", [1.0])], "qid long, qtext string, qvec array<double>")
     assert rows(ivf.Index(spark, f"file://{tmp_path}/v").search(q, 5, exact=True)) == rows(inverted.Index(spark, f"file://{tmp_path}/t").search(q, 5)) == []
+
+
+def test_postings_of_blocks_that_span_batches():
+    """A row for each term of each block, ids rising, whatever the batches; a text's own pmid is looked for only where it can stand."""
+    rows = [(7, 1, ["a", "b"], [1.0, 2.0]), (7, 3, ["b"], [0.5]), (9, 2, ["b", "a"], [3.0, 0.25])]
+    schema = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("terms", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))])
+    held = pa.table([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
+    want = [("a", 7, 1.0, [1], [1.0]), ("b", 7, 2.0, [1, 3], [2.0, 0.5]), ("b", 9, 3.0, [2], [3.0]), ("a", 9, 0.25, [2], [0.25])]
+    for size in (1, 2, 3):
+        made = list(inverted.posted(iter(held.to_batches(size))))
+        assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want and all(len(b.schema) == 5 for b in made)
+    assert list(inverted.posted(iter([]))) == []
+
+
+def test_own_pmid_is_parsed_only_where_it_can_stand(monkeypatch):
+    text = "<article><article-meta><article-id pub-id-type='p&#109;id'> 5 </article-id></article-meta></article>"
+    assert markup.own_pmid(text) == "5" == markup.own_pmid(text.replace("&#109;", "m")) and markup.own_pmid(None) is None
+    monkeypatch.setattr(markup.ET, "fromstring", None)
+    assert markup.own_pmid("<article><body/></article>") is None
