@@ -44,8 +44,10 @@ def terms(corpus: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             rows = [terms_of(t) for t in b.column(1).to_pylist()]
-            weights = [np.log1p(np.fromiter(r.values(), np.float64, len(r))) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))], ["id", "terms", "weights"])
+            first = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+            weights = np.log1p(np.fromiter((n for r in rows for n in r.values()), np.float64))
+            lists = pa.ListArray.from_arrays(first, pa.array([t for r in rows for t in r], pa.string())), pa.ListArray.from_arrays(first, pa.array(weights))
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["id", "terms", "weights"])
 
     return corpus.filter("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long").alias("id"), "text").mapInArrow(counted, WEIGHTS)
 
@@ -87,26 +89,31 @@ def build(weights: DataFrame, path: str, rows: int = ROWS, buckets: int = BUCKET
 
 def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, id, terms, weights), block after block, ids rising: a row for each term of each block."""
-    now, own = None, {}
+    now, held = None, []
 
     def flush() -> pa.RecordBatch:
-        most = [max(w) for _, w in own.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([now] * len(own), pa.int64()), pa.array(most, pa.float64()), pa.array([i for i, _ in own.values()], pa.list_(pa.int64())), pa.array([w for _, w in own.values()], pa.list_(pa.float64()))], ["term", "block", "most", "ids", "weights"])
+        ids = np.concatenate([b.column(1).to_numpy() for b in held])
+        size = np.concatenate([b.column(2).value_lengths().to_numpy() for b in held])
+        weights = np.concatenate([b.column(3).flatten().to_numpy() for b in held])
+        found = pa.concat_arrays([b.column(2).flatten() for b in held]).dictionary_encode()
+        code = found.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(found.dictionary)))]).astype(np.int32)
+        weights, ids = weights[order], np.repeat(ids, size)[order]
+        most = np.maximum.reduceat(weights, first[:-1])
+        lists = [pa.ListArray.from_arrays(first, x) for x in (ids, weights)]
+        return pa.RecordBatch.from_arrays([found.dictionary, pa.array(np.full(len(most), now), pa.int64()), pa.array(most), *lists], ["term", "block", "most", "ids", "weights"])
 
     for b in batches:
-        for block, id_, terms_, weights in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if block != now:
-                if own:
+        block = b.column(0).to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist() if len(block) else []
+        for at, end in zip(cut, [*cut[1:], len(block)], strict=True):
+            if block[at] != now:
+                if held:
                     yield flush()
-                now, own = block, {}
-            for t, w in zip(terms_, weights, strict=True):
-                held = own.get(t)
-                if held is None:
-                    own[t] = ([id_], [w])
-                else:
-                    held[0].append(id_)
-                    held[1].append(w)
-    if own:
+                now, held = block[at], []
+            held.append(b.slice(at, end - at))
+    if held:
         yield flush()
 
 
