@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,5 +64,15 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Texts that a task has as Python strings at once, if it takes them from Arrow.
+SLICE = 256
+
+
+def slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """A batch as Spark sends it (10,000 rows) is held as Arrow alone; its texts come SLICE at a time."""
+    for at in range(0, len(texts), SLICE):
+        yield texts.slice(at, SLICE).to_pylist()
+
+
 def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

@@ -21,18 +21,19 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fold, held_out, unused
+from .common import fold, held_out, slices, unused
 
 PER_LANG, MOST_LANGS, BITS, PENALTY, ORDERS, SEED = 1500, 256, 15, 12.0, (1, 2, 3, 4), 29
-WORK_BYTES, SCORE_BYTES, FEW, PIECE = 4 << 20, 1 << 19, 4, 4
+WORK_BYTES, SCORE_BYTES, FEW, PIECE = 4 << 20, 1 << 17, 4, 4
 BUCKETS = 1 << BITS
 
 #: Scripts, by the first word of their letters' Unicode names; `OTHER` is any further letter.
@@ -204,7 +205,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) ->
 
 
 def label_texts(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
-    """Scores are made for half a million letters at a time, and the paths of all texts then side by side."""
+    """Scores are made for some hundred thousand letters at a time, and the paths of all texts then side by side."""
     langs, scores, lengths, sizes = model["langs"], [], [], []
     for part in in_parts(texts, SCORE_BYTES):
         w = Words(part)
@@ -230,7 +231,7 @@ def spans(text: str | None, model: dict) -> list[tuple[int, int, str]]:
     return [(int(a), int(b) - 1, model["langs"][label[a]]) for a, b in zip(cut, cut[1:], strict=False) if b > a]
 
 
-def in_parts(texts: list, most: int = WORK_BYTES) -> Iterator[list]:
+def in_parts(texts: Iterable, most: int = WORK_BYTES) -> Iterator[list]:
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -270,7 +271,8 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, alpha: float = 0.5, least_s
     if not sizes:
         return {"langs": [], "table": np.zeros((BUCKETS, 0), np.float32), "allowed": np.zeros((len(SCRIPTS), 0), bool)}
     # Thin each language to about twice its bound by a hash of the id first, so that no large group is ranked.
-    share = docs.sparkSession.createDataFrame([(r.lang, min(2.0, 2.0 * per_lang / max(r.n, 1))) for r in sizes], "lang string, share double")
+    # From Arrow: rows of Python objects would take Python workers of their own on each executor, which stay.
+    share = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([r.lang for r in sizes], pa.string()), "share": [min(2.0, 2.0 * per_lang / max(r.n, 1)) for r in sizes]}))
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     thin = ours.select("doc_id", "lang").join(F.broadcast(share), "lang").filter(hashed < F.col("share")).select("doc_id", "lang").distinct()
     # A bound of per_lang ids for each of at most most_langs languages; rows that repeat an id and language count once.
@@ -301,17 +303,14 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, alpha: float = 0.5, least_s
 
 
 def labeller(model: dict):
-    """A Pandas UDF: text to (lang, score). Marked as not deterministic only so that Spark runs it once for each row."""
+    """An Arrow UDF: text to (lang, score). Marked as not deterministic only so that Spark runs it once for each row."""
 
-    @F.pandas_udf("lang string, score double")
-    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            langs, scores = [], []
-            for part in in_parts(list(texts)):
-                a, b = label_texts(part, model) if model["langs"] else (["und"] * len(part), [0.0] * len(part))
-                langs += a
-                scores += b
-            yield pd.DataFrame({"lang": langs, "score": scores})
+            for part in in_parts(t for some in slices(texts) for t in some):
+                langs, scores = label_texts(part, model) if model["langs"] else (["und"] * len(part), [0.0] * len(part))
+                yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return label.asNondeterministic()
 

@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, unused, utf8, written
+from .common import LOWER_BYTES, SLICE, slices, unused, utf8, written
 from .simhash import BITS, Golay, components
 
 WORDS, SEED, MOST, SALTS, PART = 5, 42, 32, 16, 1000
@@ -81,19 +82,19 @@ class Anchors:
 
 
 def signer():
-    """A Pandas UDF: text to its set's digest, size, anchors (none for an empty set) and first bits. Marked as not deterministic only so that Spark runs it once."""
+    """An Arrow UDF: text to its set's digest, size, anchors (none for an empty set) and first bits. Marked as not deterministic only so that Spark runs it once."""
 
-    @F.pandas_udf("fp long, n int, anchors array<int>, bits array<long>")
-    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        anchors = Anchors()
-        for texts in batches:
+    @F.arrow_udf("fp long, n int, anchors array<int>, bits array<long>")
+    def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        anchors, kinds = Anchors(), [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        for texts in (some for batch in batches for some in slices(batch)):
             out = []
             for t in texts:
                 h = shingles(t)
                 total = sums(h)
                 bits = np.packbits(total[:COMPARED_BITS] > 0).view(np.int64)
                 out.append((np.array(xxhash.xxh64_intdigest(h.tobytes()), np.uint64).view(np.int64), len(h), anchors.of(total) if len(h) else np.zeros(0, np.int32), bits))
-            yield pd.DataFrame(out, columns=["fp", "n", "anchors", "bits"]).astype({"fp": "int64", "n": "int32"})
+            yield pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["fp", "n", "anchors", "bits"])
 
     return signed.asNondeterministic()
 
@@ -131,13 +132,14 @@ def candidates(distinct: DataFrame, most: int = MOST) -> DataFrame:
 def sets_of(texts: DataFrame) -> DataFrame:
     """(fp, s) of texts (fp, text): their sets as longs, some hundred at a time."""
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch[at : at + 500]
-                yield pd.DataFrame({"fp": some.fp, "s": [shingles(t).view(np.int64) for t in some.text]})
+            for at in range(0, len(batch), SLICE):
+                some = batch.slice(at, SLICE)
+                sets = [shingles(t).view(np.int64) for t in some.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
 
-    return texts.mapInPandas(made, "fp long, s array<long>")
+    return texts.mapInArrow(made, "fp long, s array<long>")
 
 
 def alike(x: int, y: int, shared: int) -> bool:
@@ -148,7 +150,7 @@ def alike(x: int, y: int, shared: int) -> bool:
 def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (a, part, b, family, s) by (a, part), a's own set first, with b null: each b's likeness to a, and in families what they differ in."""
     key, own = None, np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in (x[at : at + SLICE] for x in batches for at in range(0, len(x), SLICE)):
         out = []
         for a, part, other, family, b, s in zip(batch.a.tolist(), batch.part.tolist(), batch.other.tolist(), batch.family.tolist(), batch.b.tolist(), batch.s, strict=True):
             s = np.asarray(s, np.int64)
@@ -181,7 +183,8 @@ def checked(pairs: DataFrame, distinct: DataFrame, marked: DataFrame, names: lis
     """COMPARED of pairs (a, b, family), on whole sets. marked: documents with `keys` of these names. a's set is sent once to each part of its pairs."""
     fps = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     wanted = distinct.join(fps, "fp").withColumns(keys(F.col("first.doc_id"), F.col("first.token"), names)).select("fp", *names)
-    texts = marked.select(*names, "text").join(wanted, names).dropDuplicates(names)
+    # Ids are hashed, so that texts are only sorted where they are among those wanted.
+    texts = marked.select(*names, "text").join(wanted.hint("shuffle_hash"), names).dropDuplicates(names)
     sets = written(sets_of(texts.select("fp", "text")), "sets")
     parts = written(in_parts(pairs, "a", part), "parts")
     first = sets.withColumnRenamed("fp", "a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("other"), F.lit(False).alias("family"), F.col("a").alias("b"), "s")
@@ -263,6 +266,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = MOST, p
     keep = written(rooted.withColumns(keys(F.col("first.doc_id"), F.col("first.token"), names)).select(*names), "kept")
     # Ids and tokens alone tell which rows repeat; only the texts of these are brought together, the others stay where they are read.
     again = written(marked.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1").select(*names), "again")
+    # The few numbers of a document to keep are hashed in each task; a sort would hold its texts.
+    keep = keep.hint("shuffle_hash")
     once = marked.join(again, names, "left_anti").join(keep, names, "left_semi")
     one = marked.join(again, names, "left_semi").join(keep, names, "left_semi").dropDuplicates(names)
     return once.unionByName(one).drop(*names)

@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, fold, held_out, unused, utf8
+from .common import LOWER_BYTES, fold, held_out, slices, unused, utf8
 
 SAMPLE, EPOCHS, SEED = 8000, 40, 17
 
@@ -137,16 +138,16 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
 
 def scorer(model: dict):
-    """A Pandas UDF: text to score. Marked as not deterministic only so that Spark runs it once for each row."""
+    """An Arrow UDF: text to score. Marked as not deterministic only so that Spark runs it once for each row."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in (some for batch in batches for some in slices(batch)):
             if model["w"] is None:
-                yield pd.Series(np.full(len(texts), 0.5))
+                yield pa.array(np.full(len(texts), 0.5))
                 continue
             z = np.array([features(t) @ model["w"] for t in texts], dtype=np.float64) + model["b"]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return score.asNondeterministic()
 

@@ -106,3 +106,13 @@ def test_more_languages_than_a_byte_counts():
     scores[:4, 150], scores[4:, 180] = 30, 30
     label = L.viterbi(np.concatenate([scores, scores]), np.array([0, 9, 18]))
     assert label.tolist() == ([150] * 4 + [180] * 5) * 2
+
+
+def test_learning_starts_no_workers_for_a_local_table(spark, monkeypatch):
+    """A list given to createDataFrame goes through an RDD, whose Python workers stay on each executor beside those of UDFs."""
+
+    def refused(*a, **k):
+        raise AssertionError("a local table went through an RDD of Python objects")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert L.learn(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))["langs"]

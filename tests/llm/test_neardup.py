@@ -2,9 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from quarry.llm import neardup
+from quarry.llm import common, neardup
 
 LOWER = str.maketrans({i: i + 32 for i in range(65, 91)})
 
@@ -120,3 +121,22 @@ def test_large_groups_of_near_copies(spark, shape):
     docs = list(enumerate(docs))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id for r in neardup.stage(spark, frame, "").collect()} == kept(docs)
+
+
+def test_texts_are_not_sorted_to_find_those_to_keep(spark):
+    """Rows to keep are hashed: no join of theirs sorts whole texts, which took hundreds of MB of an executor's heap."""
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = neardup.stage(spark, frame, "")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ShuffledHashJoin") == 2
+
+
+def test_a_batch_is_turned_into_python_texts_by_slices():
+    """Of a batch that Spark sends, SLICE texts at most are Python strings at once; order, nulls and an empty batch stay."""
+    texts = [None, "", *(f"t{i}" for i in range(2 * common.SLICE))]
+    parts = list(common.slices(pa.array(texts, pa.string())))
+    assert [len(p) for p in parts] == [common.SLICE, common.SLICE, 2] and [t for p in parts for t in p] == texts
+    assert list(common.slices(pa.array([], pa.string()))) == []
